@@ -3,22 +3,21 @@
 from pyspark.sql import functions as F
 
 from placewise import dims
-from placewise.bind import GRID, point_lat, point_lon
+from placewise.bind import GRID
 from placewise.checks import check
 from placewise.functions import encode as e
 from placewise.functions.geometry import rings_area_km2
-from placewise.functions.rounding import half_up
 from placewise.operators.aggregate import CELL
 from placewise.operators.quantile import exact_quantiles
 from placewise.operators.ranking import share_pct
-from placewise.operators.score import encode_layers, validate_formulas
+from placewise.operators.score import validate_formulas
 
 
 def byte_sql(value, lo, hi, invert=False, log=False):
     v = f"CASE WHEN {value} > 0 THEN ln(1 + {value}) ELSE 0 END" if log else value
     share = f"least(greatest(({v} - ({lo})) / (({hi}) - ({lo})), 0), 1)"
     share = f"1 - {share}" if invert else share
-    return f"CAST(coalesce(trunc(least(greatest(({share}) * 254 + 1, 1), 255)), 0) AS INTEGER)"
+    return f"CASE WHEN {value} IS NULL THEN 0 ELSE CAST(trunc(least(greatest(({share}) * 254 + 1, 1), 255)) AS INTEGER) END"
 
 
 def band_sql(name, value):
@@ -110,9 +109,9 @@ def f11(t):
     return temp.join(t.layer_pop(), CELL).select(*CELL, (F.col("temp") * F.col("value")).alias("result"))
 
 
-@check("n01_linear_bytes", f"SELECT row, col, {byte_sql('value', -30.0, 45.0)} AS byte, {byte_sql('value', 5.0, 6.0)} AS flat FROM b_temp")
+@check("n01_linear_bytes", f"SELECT row, col, {byte_sql('value', -30.0, 45.0)} AS byte, {byte_sql('value', 5.0, 6.0)} AS flat FROM (SELECT row, col, CASE WHEN col % 5 <> 0 THEN value END AS value FROM b_temp)")
 def n01(t):
-    v = F.col("value")
+    v = F.when(F.col("col") % 5 != 0, F.col("value"))
     return t.layer_temp().select(*CELL, e.to_byte(v, -30, 45).alias("byte"), e.to_byte(v, 5, 5).alias("flat"))
 
 
@@ -211,11 +210,10 @@ def n13(t):
     return t["events"].select(F.col("event_id").alias("id"), e.minutes_label(F.col("value") * 1.3).alias("label"))
 
 
-@check("n14_lookup_tenths", "SELECT row, col, CAST(least(greatest(round_even(value * 10, 0), 0), 65000) AS INTEGER) AS tenths, round_even(value, 2) AS hundredths FROM b_gdp WHERE year = 1997")
+@check("n14_lookup_tenths", "SELECT row, col, CAST(least(greatest(round_even(value * 10, 0), 0), 65000) AS INTEGER) AS tenths, round_even(value, 2) AS hundredths FROM b_temp")
 def n14(t):
     v = F.col("value")
-    one = t.layer_gdp().where(F.col("year") == 1997)
-    return one.select(*CELL, e.lookup_tenths(v).alias("tenths"), F.bround(v, 2).alias("hundredths"))
+    return t.layer_temp().select(*CELL, e.lookup_tenths(v).alias("tenths"), F.bround(v, 2).alias("hundredths"))
 
 
 @check("n15_share_pct", """SELECT row, col, crop, CAST(floor(value / total * 100 + 0.5) AS BIGINT) AS pct FROM (SELECT *, sum(value) OVER (PARTITION BY row, col) AS total FROM b_crops) WHERE floor(value / total * 100 + 0.5) > 0""")

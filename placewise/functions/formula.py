@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placewise import dims
+from placewise.functions.rounding import clamp
 
 #: Numbers, words, operators and brackets; anything else in a formula is ignored.
 PIECES = r"\d+\.?\d*|\.\d+|[A-Za-z_]\w*|[-+*/()]"
@@ -93,4 +94,4 @@ def formula_column(formula: str) -> Column:
 
 def clamp_score(result: Column) -> Column:
     """Into [0, 1]; not-a-number has no score."""
-    return F.when(~F.isnan(result), F.least(F.greatest(result, F.lit(0.0)), F.lit(1.0)))
+    return F.when(~F.isnan(result), clamp(result, 0.0, 1.0))

@@ -20,4 +20,5 @@ def truncate(value: Column) -> Column:
 
 
 def clamp(value: Column, lo, hi) -> Column:
-    return F.least(F.greatest(value, F.lit(lo)), F.lit(hi))
+    """Into [lo, hi]; NULL stays NULL (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(lo)), F.lit(hi)))

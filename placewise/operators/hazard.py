@@ -74,7 +74,7 @@ def distribute(intensity: DataFrame, deaths_per_year: float = dims.TSUNAMI_DEATH
 
 
 def wildfire(drought: DataFrame, value: str = "value") -> DataFrame:
-    return drought.withColumn(value, F.least(F.col(value), F.lit(0.4)))
+    return drought.withColumn(value, F.when(F.col(value) > 0.4, F.lit(0.4)).otherwise(F.col(value)))
 
 
 def composite(rates: DataFrame) -> DataFrame:
