@@ -59,7 +59,11 @@ def to_byte(value: Column, lo, hi, log: bool = False, invert: bool = False) -> C
     hi_c = hi if isinstance(hi, Column) else F.lit(_log_bound(hi, hi > 0) if log else float(hi))
     top = F.when(hi_c <= lo_c, lo_c + 1.0).otherwise(hi_c)
     share = clamp((scaled_value - lo_c) / (top - lo_c), 0.0, 1.0)
-    share = F.lit(1.0) - share if invert else share
+    return share_to_byte(F.lit(1.0) - share if invert else share)
+
+
+def share_to_byte(share: Column) -> Column:
+    """0..1 to 1..255, missing to 0."""
     return F.coalesce(truncate(clamp(share * 254.0 + 1.0, 1.0, 255.0)), F.lit(0))
 
 

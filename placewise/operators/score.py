@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.functions.encode import to_byte
+from placewise.functions.encode import share_to_byte
 from placewise.functions.formula import PIECES, clamp_score, formula_column, validate_formula
-from placewise.functions.rounding import half_up
+from placewise.functions.rounding import clamp, half_up
 from placewise import dims
 from placewise.operators.curves import apply_curve, curve_lut, quantize_lut
 
@@ -17,13 +17,13 @@ PROFILE_GROUP = 256
 
 
 def encode_layers(layers: DataFrame) -> DataFrame:
-    """axis, row, col, byte under each axis's registered bounds."""
-    axis, value = F.col("axis"), F.col("value")
-    byte = F.lit(None).cast("int")
-    for name, enc in dims.ENCODING.items():
-        if enc["hi"] is not None:
-            byte = F.when(axis == name, to_byte(value, enc["lo"] or 0.0, enc["hi"], enc["log"], enc["invert"])).otherwise(byte)
-    return layers.select("axis", *CELL, byte.alias("byte"))
+    """axis, row, col, byte under each axis's registered bounds, which come from a 36-row dimension."""
+    registry = F.broadcast(dims.axis_dim(layers.sparkSession))
+    value, log = F.col("value"), F.col("is_log")
+    shown = F.when(log, F.when(value > 0, F.log1p(value)).when(value.isNotNull(), F.lit(0.0))).otherwise(value)
+    share = clamp((shown - F.col("lo")) / (F.col("hi") - F.col("lo")), 0.0, 1.0)
+    share = F.when(F.col("inverted"), F.lit(1.0) - share).otherwise(share)
+    return layers.join(registry, "axis").select("axis", *CELL, share_to_byte(share).alias("byte"))
 
 
 def axes_at(layer: DataFrame, axes: list[str], value: str, prefix: str = "f_") -> DataFrame:
