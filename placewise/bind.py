@@ -118,7 +118,7 @@ class Tables:
         """One 72-degree strip per region: exactly the union of its nations."""
         west = F.lit(-180.0) + F.col("r_regionkey") * 72.0
         return self["region"].select(
-            F.col("r_regionkey").alias("ord"), F.col("r_name").alias("name"),
+            F.col("r_regionkey").alias("ord"), F.concat(F.lit("REGION_"), F.col("r_regionkey")).alias("name"),
             F.concat(F.lit("R0"), F.col("r_regionkey")).alias("iso3"),
             F.array(rectangle(west, F.lit(90.0), 72.0, 180.0)).alias("rings"),
         )

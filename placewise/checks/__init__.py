@@ -13,7 +13,7 @@ from placewise.checks.sqlbind import with_bindings
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["sources", "grids", "encoding", "aggregates", "joins", "windows", "scoring", "masks"]
+MODULES = ["sources", "grids", "encoding", "aggregates", "joins", "windows", "scoring", "masks", "plans"]
 
 
 def check(name: str, sql: str | None = None):

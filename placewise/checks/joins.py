@@ -136,7 +136,7 @@ def j08(t):
 
 @check("j09_anchor_join", """SELECT s.ord, coalesce(a.value, b.value) AS value FROM
 (SELECT ord, CASE WHEN ord % 3 = 0 THEN '' ELSE 'R0' || ord % 7 END AS iso3, 'REGION_' || ord % 6 AS admin FROM b_adm1) s
-LEFT JOIN (SELECT 'R0' || r_regionkey AS iso3, r_regionkey * 10.5::DOUBLE AS value FROM region) a ON a.iso3 = s.iso3 LEFT JOIN (SELECT r_name AS name, r_regionkey * 10.5::DOUBLE AS value FROM region) b ON b.name = s.admin""")
+LEFT JOIN (SELECT 'R0' || r_regionkey AS iso3, r_regionkey * 10.5::DOUBLE AS value FROM region) a ON a.iso3 = s.iso3 LEFT JOIN (SELECT 'REGION_' || r_regionkey AS name, r_regionkey * 10.5::DOUBLE AS value FROM region) b ON b.name = s.admin""")
 def j09(t):
     key = F.col("ord")
     states = t.zones_adm1().select(

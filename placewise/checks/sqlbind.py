@@ -44,7 +44,7 @@ BINDINGS = {
     "b_plants": f"SELECT p_partkey AS id, {lon('p_partkey')} AS lon, {lat('p_partkey')} AS lat, p_retailprice AS capacity, p_type AS fuel, n_name AS country FROM part LEFT JOIN nation ON n_nationkey = p_partkey % 25",
     "b_speed": f"SELECT event_id AS id, {lon('event_id')} AS west, {lat('event_id')} AS south, value * 2000::DOUBLE AS kbps FROM events",
     "b_adm1": f"SELECT n_nationkey AS ord, n_name AS name, {iso3('n_nationkey')} AS iso3, 'REG' || n_regionkey AS admin, -180::DOUBLE + n_nationkey % 5 * 72::DOUBLE AS west, 90::DOUBLE - n_nationkey // 5 * 36::DOUBLE AS north, 72::DOUBLE AS w, 36::DOUBLE AS h FROM nation",
-    "b_adm0": "SELECT r_regionkey AS ord, r_name AS name, 'R0' || r_regionkey AS iso3, -180::DOUBLE + r_regionkey * 72::DOUBLE AS west, 90::DOUBLE AS north, 72::DOUBLE AS w, 180::DOUBLE AS h FROM region",
+    "b_adm0": "SELECT r_regionkey AS ord, 'REGION_' || r_regionkey AS name, 'R0' || r_regionkey AS iso3, -180::DOUBLE + r_regionkey * 72::DOUBLE AS west, 90::DOUBLE AS north, 72::DOUBLE AS w, 180::DOUBLE AS h FROM region",
     "b_cells": "SELECT CAST(r.v AS INTEGER) AS row, CAST(c.v AS INTEGER) AS col, -180::DOUBLE + (c.v + 0.5::DOUBLE) * 10::DOUBLE AS xc, 90::DOUBLE - (r.v + 0.5::DOUBLE) * 10::DOUBLE AS yc FROM range(18) r(v), range(36) c(v)",
     "b_cell_adm1": "SELECT row, col, ord AS zone FROM b_cells JOIN b_adm1 ON xc >= west AND xc < west + w AND yc <= north AND yc > north - h",
     "b_cell_adm0": "SELECT row, col, ord AS zone FROM b_cells JOIN b_adm0 ON xc >= west AND xc < west + w AND yc <= north AND yc > north - h",

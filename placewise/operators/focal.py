@@ -96,22 +96,28 @@ def max_filter(df: DataFrame, grid: Grid, size: int = 13, keys: list[str] | None
     return _focal(df, grid, radius, widen, list(keys or []), False, 0.0, block)
 
 
-def slope_deg(elev: DataFrame, grid: Grid, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """Slope in degrees: central differences, one-sided at the grid's edge, one pixel being res * 111 km."""
-    metres = grid.res * 111_000.0
+def rise_per_cell(elev: DataFrame, grid: Grid, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Length of the elevation gradient per cell: central differences, one-sided at the grid's edge.
+
+    Cells next to an absent cell have no gradient and are left out.
+    """
     height, width = grid.height, grid.width
 
-    def slope(dense, row0, col0):
+    def gradient(dense, row0, col0):
         down = (dense[2:, 1:-1] - dense[:-2, 1:-1]) / 2.0
         across = (dense[1:-1, 2:] - dense[1:-1, :-2]) / 2.0
-        rows, cols = down.shape
         # the mirrored neighbour equals the edge cell, so an edge difference is halved once too often
         for at, size, part in ((row0, height, down), (col0, width, across.T)):
-            n = part.shape[0]
             if at == 0:
                 part[0] *= 2.0
-            if at + n == size:
+            if at + part.shape[0] == size:
                 part[-1] *= 2.0
-        return np.degrees(np.arctan(np.sqrt(down ** 2 + across ** 2) / metres))
+        return np.sqrt(down ** 2 + across ** 2)
 
-    return _focal(elev, grid, 1, slope, list(keys or []), True, math.nan, block)
+    return _focal(elev, grid, 1, gradient, list(keys or []), True, math.nan, block)
+
+
+def slope_deg(elev: DataFrame, grid: Grid, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Slope in degrees, one pixel being res * 111 km."""
+    rise = rise_per_cell(elev, grid, keys, block)
+    return rise.withColumn("value", F.degrees(F.atan(F.col("value") / (grid.res * 111_000.0))))
