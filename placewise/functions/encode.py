@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from placewise import dims
-from placewise.functions.rounding import clamp, half_even, half_up, truncate
+from placewise.functions.rounding import clamp, half_even, half_up, squeeze, truncate
 
 # --- cleaning ------------------------------------------------------------------------------------
 
@@ -54,17 +54,17 @@ def to_byte(value: Column, lo, hi, log: bool = False, invert: bool = False) -> C
     ``lo`` and ``hi`` are numbers or columns already on the scale of ``value``; with ``log`` they are
     log1p'd here under the same sign rule as plain numbers.
     """
-    scaled_value = F.when(value > 0, F.log1p(value)).otherwise(F.when(value.isNotNull(), F.lit(0.0))) if log else value
+    scaled_value = F.when(value > 0, F.log1p(value)).otherwise(F.lit(0.0)) if log else value
     lo_c = lo if isinstance(lo, Column) else F.lit(_log_bound(lo, lo >= 0) if log else float(lo))
     hi_c = hi if isinstance(hi, Column) else F.lit(_log_bound(hi, hi > 0) if log else float(hi))
     top = F.when(hi_c <= lo_c, lo_c + 1.0).otherwise(hi_c)
-    share = clamp((scaled_value - lo_c) / (top - lo_c), 0.0, 1.0)
-    return share_to_byte(F.lit(1.0) - share if invert else share)
+    share = squeeze((scaled_value - lo_c) / (top - lo_c), 0.0, 1.0)
+    return share_to_byte(value, F.lit(1.0) - share if invert else share)
 
 
-def share_to_byte(share: Column) -> Column:
-    """0..1 to 1..255, missing to 0."""
-    return F.coalesce(truncate(clamp(share * 254.0 + 1.0, 1.0, 255.0)), F.lit(0))
+def share_to_byte(value: Column, share: Column) -> Column:
+    """0..1 to 1..255; 0 where ``value``, which the share was made from, is missing."""
+    return F.when(value.isNotNull(), truncate(squeeze(share * 254.0 + 1.0, 1.0, 255.0))).otherwise(F.lit(0))
 
 
 def _log_bound(bound: float, apply: bool) -> float:

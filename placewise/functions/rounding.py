@@ -19,6 +19,11 @@ def truncate(value: Column) -> Column:
     return value.cast("int")
 
 
+def squeeze(value: Column, lo, hi) -> Column:
+    """Into [lo, hi] for a value known to be present; a NULL would come out as ``lo``."""
+    return F.least(F.greatest(value, F.lit(lo)), F.lit(hi))
+
+
 def clamp(value: Column, lo, hi) -> Column:
-    """Into [lo, hi]; NULL stays NULL (``least`` and ``greatest`` alone would skip it)."""
-    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(lo)), F.lit(hi)))
+    """Into [lo, hi]; NULL stays NULL. Names its argument twice, so give it a plain column."""
+    return F.when(value.isNotNull(), squeeze(value, lo, hi))

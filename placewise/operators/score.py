@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions.encode import share_to_byte
 from placewise.functions.formula import PIECES, clamp_score, formula_column, validate_formula
-from placewise.functions.rounding import clamp, half_up
+from placewise.functions.rounding import half_up, squeeze
 from placewise import dims
 from placewise.operators.curves import apply_curve, curve_lut, quantize_lut
 
@@ -20,10 +20,10 @@ def encode_layers(layers: DataFrame) -> DataFrame:
     """axis, row, col, byte under each axis's registered bounds, which come from a 36-row dimension."""
     registry = F.broadcast(dims.axis_dim(layers.sparkSession))
     value, log = F.col("value"), F.col("is_log")
-    shown = F.when(log, F.when(value > 0, F.log1p(value)).when(value.isNotNull(), F.lit(0.0))).otherwise(value)
-    share = clamp((shown - F.col("lo")) / (F.col("hi") - F.col("lo")), 0.0, 1.0)
-    share = F.when(F.col("inverted"), F.lit(1.0) - share).otherwise(share)
-    return layers.join(registry, "axis").select("axis", *CELL, share_to_byte(share).alias("byte"))
+    shown = F.when(log & (value > 0), F.log1p(value)).when(log, F.lit(0.0)).otherwise(value)
+    share = squeeze((shown - F.col("lo")) / (F.col("hi") - F.col("lo")), 0.0, 1.0)
+    sign, base = F.when(F.col("inverted"), F.lit(-1.0)).otherwise(F.lit(1.0)), F.when(F.col("inverted"), F.lit(1.0)).otherwise(F.lit(0.0))
+    return layers.join(registry, "axis").select("axis", *CELL, share_to_byte(value, base + sign * share).alias("byte"))
 
 
 def axes_at(layer: DataFrame, axes: list[str], value: str, prefix: str = "f_") -> DataFrame:
@@ -45,7 +45,15 @@ def score(layer: DataFrame, formula: str, curves: DataFrame, active_axis: str |
     lut = quantize_lut(curve_lut(curves.where(F.col("axis").isin(axes))))
     scored = apply_curve(layer.where(F.col("axis").isin(axes)), lut)
     wide = axes_at(scored, axes, "score")
-    return wide.select(*CELL, clamp_score(formula_column(text)).alias("score")).where(F.col("score").isNotNull())
+    return _finished(wide.select(*CELL, formula_column(text).alias("score")))
+
+
+def _finished(results: DataFrame) -> DataFrame:
+    """Formula results clamped to scores; cells without a score are left out.
+
+    A step of its own, so that the optimizer keeps the formula in one place.
+    """
+    return results.withColumn("score", clamp_score(F.col("score"))).where(F.col("score").isNotNull())
 
 
 def match_pct(value: Column) -> Column:
@@ -117,8 +125,7 @@ def score_profiles(layer: DataFrame, profiles: DataFrame, curves: DataFrame) ->
             rows = wide.na.drop(subset=[f"b_{a}" for a in axes]).withColumn("_p", F.explode(listed))
             lookup = lambda a: F.element_at(F.element_at(F.col("_p.luts"), a), F.col(f"b_{a}") + 1).alias(f"f_{a}")
             cells = rows.select(F.col("_p.profile").alias("profile"), *CELL, *[lookup(a) for a in axes])
-            part = cells.select("profile", *CELL, clamp_score(formula_column(formula)).alias("score"))
-            part = part.where(F.col("score").isNotNull())
+            part = _finished(cells.select("profile", *CELL, formula_column(formula).alias("score")))
             out = part if out is None else out.unionByName(part)
     return out
 
