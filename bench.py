@@ -57,17 +57,17 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     checks.load_all()
     names = sys.argv[1:] or HEADLINE
-    seconds = {}
-    for name in names:
-        query = checks.QUERIES[name]
 
-        def run() -> float:
-            start = time.perf_counter()
-            query(spark, folder).write.format("noop").mode("overwrite").save()
-            return time.perf_counter() - start
+    def run(name: str) -> float:
+        start = time.perf_counter()
+        checks.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
 
-        run()
-        seconds[name] = round(statistics.median(run() for _ in range(repeat)), 3)
+    for name in names:  # warm-up: JIT, page cache, table schemas
+        run(name)
+    seconds = {}
+    for name in names:
+        seconds[name] = round(statistics.median(run(name) for _ in range(repeat)), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()
     total = round(sum(seconds.values()), 3)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from placewise.functions.grid import Grid
 
@@ -16,7 +17,7 @@ from placewise.functions.grid import Grid
 GRID = Grid.world(10.0)
 CELL_COUNT = GRID.width * GRID.height
 MONEY = "decimal(18,2)"
-TIMES = ["o_orderdate", "l_shipdate", "ts"]
+_SCHEMAS: dict[str, StructType] = {}
 
 
 class Tables:
@@ -27,7 +28,11 @@ class Tables:
         self.folder = folder
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """The table; its schema is looked up in the files once per folder."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     # --- cells ---------------------------------------------------------------------------------
 

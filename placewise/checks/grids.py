@@ -120,9 +120,8 @@ def g14(t):
 
 @check("g15_wkt_centroid", "SELECT id, round(west + 0.05, 6) AS lon, round(south + 0.05, 6) AS lat FROM b_speed")
 def g15(t):
-    ring = t.speedtests().withColumn("_ring", wkt_ring(F.col("tile")))
-    centre = ring_centroid(F.col("_ring"))
-    return ring.select("id", F.round(centre["lon"], 6).alias("lon"), F.round(centre["lat"], 6).alias("lat"))
+    centres = t.speedtests().select("id", ring_centroid(wkt_ring(F.col("tile"))).alias("c"))
+    return centres.select("id", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
 
 
 @check("g16_cell_center", "SELECT row, col, -180 + (col + 0.5::DOUBLE) * 10 AS lon, 90 - (row + 0.5::DOUBLE) * 10 AS lat, value FROM b_elev")

@@ -138,7 +138,7 @@ UNION ALL SELECT hazard, row, col, intensity / (SELECT sum(intensity) FROM inten
 
 @check("p05_hazard_mortality", f"WITH {HAZARD_CTES} SELECT hazard, row, col, round(rate, 4) AS rate FROM mort")
 def p05m(t):
-    rates = hazards.mortality(hazard_inputs(t), assign_zones(t.zones_adm1(), GRID), named_rates(t))
+    _native, rates, _lookup = hazards.hazard_job(hazard_inputs(t), assign_zones(t.zones_adm1(), GRID), named_rates(t), GRID, 3)
     return rounded(rates, "rate", digits=4)
 
 
@@ -148,9 +148,7 @@ tot AS (SELECT row, col, sum(rate) AS rate FROM low GROUP BY row, col)
 SELECT hazard, row, col, CAST(least(round_even(coalesce(low.rate, 0) * 10, 0), 65000) AS INTEGER) AS tenths, round(coalesce(intensity, 0), 2) AS intensity, CAST(least(round_even(coalesce(tot.rate, 0) * 10, 0), 65000) AS INTEGER) AS composite_tenths
 FROM low FULL JOIN lowi USING (hazard, row, col) LEFT JOIN tot USING (row, col)""")
 def p05(t):
-    native = hazard_inputs(t)
-    rates = hazards.mortality(native, assign_zones(t.zones_adm1(), GRID), named_rates(t))
-    return hazards.hazard_lookup(rates, native, GRID, 3)
+    return hazards.hazard_job(hazard_inputs(t), assign_zones(t.zones_adm1(), GRID), named_rates(t), GRID, 3)[2]
 
 
 @check("p06_legacy_risk", """SELECT row, col, round(greatest(least(greatest(coalesce(q.value, 0) / 4, 0), 1), least(greatest(coalesce(f.value, 0) / 5, 0), 1), CASE WHEN e.value > 0 THEN exp(-e.value / 5) ELSE 0 END, least(s.value / 500, 1)) * 100, 6) AS value FROM

@@ -15,12 +15,10 @@ EARTH_RADIUS_KM = 6371.0072
 def wkt_ring(wkt: Column) -> Column:
     """Outer ring of a WKT polygon as array<struct<x,y>>."""
     outer = F.regexp_extract(wkt, r"\(\(([^()]*)\)", 1)
+    number = lambda parts, i: F.try_element_at(parts, F.lit(i)).try_cast("double")
     return F.transform(
-        F.split(outer, ","),
-        lambda pair: F.struct(
-            F.split(F.trim(pair), r"\s+")[0].try_cast("double").alias("x"),
-            F.split(F.trim(pair), r"\s+")[1].try_cast("double").alias("y"),
-        ),
+        F.transform(F.split(outer, ","), lambda pair: F.split(F.trim(pair), r"\s+")),
+        lambda parts: F.struct(number(parts, 1).alias("x"), number(parts, 2).alias("y")),
     )
 
 
@@ -44,16 +42,30 @@ def ring_area(ring: Column) -> Column:
     return _fold(ring, lambda s: s["x1"] * s["y2"] - s["x2"] * s["y1"]) / 2.0
 
 
-def ring_centroid(ring: Column) -> dict[str, Column]:
-    """Area-weighted centroid; coordinates are taken relative to the first corner to keep digits."""
-    x0, y0 = ring[0]["x"], ring[0]["y"]
-    local = F.transform(ring, lambda p: F.struct((p["x"] - x0).alias("x"), (p["y"] - y0).alias("y")))
-    cross = lambda s: s["x1"] * s["y2"] - s["x2"] * s["y1"]
-    area6 = F.nullif(_fold(local, cross) * 3.0, F.lit(0.0))
-    return {
-        "lon": x0 + _fold(local, lambda s: (s["x1"] + s["x2"]) * cross(s)) / area6,
-        "lat": y0 + _fold(local, lambda s: (s["y1"] + s["y2"]) * cross(s)) / area6,
-    }
+def ring_centroid(ring: Column) -> Column:
+    """Area-weighted centroid as struct<lon, lat>, in one pass over the sides.
+
+    Coordinates are taken relative to the first corner to keep digits.
+    """
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def centre(r: Column) -> Column:
+        x0, y0 = r[0]["x"], r[0]["y"]
+
+        def add(acc: Column, s: Column) -> Column:
+            x1, y1, x2, y2 = s["x1"] - x0, s["y1"] - y0, s["x2"] - x0, s["y2"] - y0
+            cross = x1 * y2 - x2 * y1
+            return F.struct(
+                (acc["a"] + cross).alias("a"), (acc["x"] + (x1 + x2) * cross).alias("x"), (acc["y"] + (y1 + y2) * cross).alias("y")
+            )
+
+        def finish(acc: Column) -> Column:
+            area6 = F.nullif(acc["a"] * 3.0, F.lit(0.0))
+            return F.struct((x0 + acc["x"] / area6).alias("lon"), (y0 + acc["y"] / area6).alias("lat"))
+
+        return F.aggregate(_segments(r), zero, add, finish)
+
+    return F.transform(F.array(ring), centre)[0]
 
 
 def rings_area_km2(rings: Column) -> Column:

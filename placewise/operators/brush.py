@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions.grid import MAX_MASK_LEVEL
 from placewise.operators.prefix import previous_value, running_sum
+from placewise.session import materialised
 
 QUAD = ["level", "cx", "cy"]
 #: Levels up to here hold at most (4**8 - 1) / 3 = 21 845 cells together: always small enough to broadcast.
@@ -32,15 +33,27 @@ def _up(coordinate: str, steps: Column) -> Column:
     return F.floor(F.col(coordinate) / F.pow(F.lit(2.0), steps)).cast("int")
 
 
-def ancestors(cells: DataFrame, strict: bool) -> DataFrame:
-    """One row per ancestor (with the cell itself unless ``strict``): adds a_level, a_cx, a_cy."""
-    top = F.col("level") - 1 if strict else F.col("level")
-    base = cells.where(F.col("level") > 0) if strict else cells
-    rows = base.withColumn("a_level", F.explode(F.sequence(F.lit(0), top)))
+def ancestors(cells: DataFrame, strict: bool, levels: Column | None = None, top: Column | None = None) -> DataFrame:
+    """One row per ancestor (with the cell itself unless ``strict``): adds a_level, a_cx, a_cy.
+
+    ``levels`` limits the ancestors to a list of levels, ``top`` to levels from there down.
+    """
+    last = F.col("level") - 1 if strict else F.col("level")
+    first = F.lit(0) if top is None else top
+    if levels is None:
+        wanted = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    else:
+        wanted = F.filter(levels, lambda a: (a >= first) & (a <= last))
+    rows = cells.withColumn("a_level", F.explode(wanted))
     steps = F.col("level") - F.col("a_level")
     return rows.withColumns({"a_cx": _up("cx", steps), "a_cy": _up("cy", steps)})
 
 
+def _levels(table: DataFrame) -> Column:
+    """The levels a table has cells at (17 at most), as a scalar subquery."""
+    return table.agg(F.collect_set("level")).scalar()
+
+
 def _join_ancestors(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
     """Join ancestor rows to ``table`` on its own (level, cx, cy).
 
@@ -65,36 +78,37 @@ def _children(parents: DataFrame) -> DataFrame:
     )
 
 
-def _latest_above(cells: DataFrame, latest: DataFrame, strict: bool) -> DataFrame:
-    """Per cell the op of the newest event on its ancestors (and itself unless ``strict``)."""
-    reached = _join_ancestors(
-        ancestors(cells.select(*QUAD), strict), latest.withColumnsRenamed({"op": "_op", "seq": "_seq"}), "inner"
-    )
-    return reached.groupBy(*QUAD).agg(F.max_by("_op", "_seq").alias("_above"))
+def _events_above(cells: DataFrame, latest: DataFrame, strict: bool) -> DataFrame:
+    """(cell, event) pairs of the newest events on each cell's ancestors; levels without events are skipped."""
+    listed = cells.select(*QUAD).withColumn("_levels", _levels(latest))
+    rows = ancestors(listed, strict, F.col("_levels")).drop("_levels")
+    return _join_ancestors(rows, latest.withColumnsRenamed({"op": "_op", "seq": "_seq"}), "inner")
 
 
 def fold_mask(events: DataFrame) -> DataFrame:
     """The painted cells (level, cx, cy) after all paint/erase events, the newest event winning each area.
 
     Events shrink to the newest per cell and then to those that change what their surroundings say. The
-    cells around each remaining event are split down to it (siblings on its path), and every piece takes
-    the newest event above it. Cost is at most 17 rows per event cell; no cell is expanded to its
-    descendants. The result covers each painted area once, with the coarsest cells the erases allow.
+    event cells above each remaining event are split down to it (siblings on its path), and every piece
+    takes the newest event above it. Cost is at most 17 rows per event cell, fewer when few levels are in
+    use; no cell is expanded to its descendants. The result covers each painted area once, with the
+    coarsest cells the erases allow.
     """
-    latest = events.groupBy(*QUAD).agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq"))
-    own = _latest_above(latest, latest, strict=False).withColumnRenamed("_above", "_own")
-    outer = _latest_above(latest, latest, strict=True).withColumnRenamed("_above", "_outer")
-    changing = (
-        own.join(outer, QUAD, "left")
-        .where(F.col("_own") != F.coalesce("_outer", F.lit("erase")))
-        .select(*QUAD)
+    latest = materialised(events.groupBy(*QUAD).agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq")))
+    outer = _events_above(latest, latest, strict=True).groupBy(*QUAD).agg(
+        F.max_by("_op", "_seq").alias("_outer"), F.max("_seq").alias("_outer_seq"), F.min("a_level").alias("_top")
     )
-    inner = ancestors(changing, strict=True).select(
+    seen = latest.join(outer, QUAD, "left").withColumns({
+        "_own": F.when(F.col("_outer_seq") > F.col("seq"), F.col("_outer")).otherwise(F.col("op")),
+        "_outer": F.coalesce("_outer", F.lit("erase")),
+    })
+    changing = seen.where(F.col("_own") != F.col("_outer"))
+    inner = ancestors(changing.where(F.col("_top").isNotNull()), strict=True, top=F.col("_top")).select(
         F.col("a_level").alias("level"), F.col("a_cx").alias("cx"), F.col("a_cy").alias("cy")
     ).distinct()
-    pieces = _children(inner).unionByName(changing).distinct().join(inner, QUAD, "left_anti")
-    said = _latest_above(pieces, latest, strict=False)
-    return said.where(F.col("_above") == "paint").select(*QUAD)
+    pieces = _children(inner).unionByName(changing.select(*QUAD)).distinct().join(inner, QUAD, "left_anti")
+    said = _events_above(pieces, latest, strict=False).groupBy(*QUAD).agg(F.max_by("_op", "_seq").alias("_said"))
+    return said.where(F.col("_said") == "paint").select(*QUAD)
 
 
 def mask_count(mask: DataFrame) -> DataFrame:
@@ -110,7 +124,8 @@ def mask_has(mask: DataFrame) -> DataFrame:
 def mask_at(cells: DataFrame, mask: DataFrame) -> DataFrame:
     """Cells (level, cx, cy) that render as painted: paint in them, below them, or on an ancestor."""
     below = cells.join(mask_has(mask), QUAD, "left_semi")
-    above = _join_ancestors(ancestors(cells.select(*QUAD).distinct(), strict=True), mask.select(*QUAD), "left_semi")
+    listed = cells.select(*QUAD).distinct().withColumn("_levels", _levels(mask))
+    above = _join_ancestors(ancestors(listed, True, F.col("_levels")), mask.select(*QUAD), "left_semi")
     return below.select(*QUAD).unionByName(above.select(*QUAD)).distinct()
 
 

@@ -10,6 +10,7 @@ from placewise.functions.formula import PIECES, clamp_score, formula_column, val
 from placewise.functions.rounding import half_up, squeeze
 from placewise import dims
 from placewise.operators.curves import apply_curve, curve_lut, quantize_lut
+from placewise.session import materialised
 
 CELL = ["row", "col"]
 #: Profiles scored together; each carries up to four 256-entry lookups (8 KB), so 2 MB per group.
@@ -99,33 +100,36 @@ def validate_formulas(profiles: DataFrame) -> DataFrame:
 def score_profiles(layer: DataFrame, profiles: DataFrame, curves: DataFrame) -> DataFrame:
     """profile, row, col, score for every stored profile over one grid.
 
-    The layer is brought to one row per cell once. Profiles sharing a formula are then scored inside that
-    row: their lookups travel as small arrays of about ``PROFILE_GROUP`` profiles, so no cell is
-    shuffled per profile. Only the distinct formulas and their profile counts come to the driver.
+    The layer is brought to one row per cell once. Profiles sharing a formula are scored inside that row,
+    their lookups read in place from arrays of about ``PROFILE_GROUP`` profiles, so no cell is shuffled
+    per profile. Only the distinct formulas and their profile counts come to the driver.
     """
     sizes = {r["formula"]: r["count"] for r in profiles.groupBy("formula").count().collect()}
     formulas = sorted(sizes)
     wanted = sorted({a for f in formulas for a in validate_formula(f)})
     wide = _wide_bytes(layer, wanted)
-    lut = quantize_lut(curve_lut(curves)).groupBy("profile", "axis").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("byte", "lut_byte"))), lambda s: s["lut_byte"].cast("double") / 255.0).alias("lut")
+    entries = F.sort_array(F.collect_list(F.struct("byte", "lut_byte")))
+    lut = quantize_lut(curve_lut(curves.where(F.col("axis").isin(wanted)))).groupBy("profile", "axis").agg(
+        F.transform(entries, lambda s: s["lut_byte"].cast("double") / 255.0).alias("lut")
     )
+    per_profile = lut.groupBy("profile").agg(*[F.max(F.when(F.col("axis") == a, F.col("lut"))).alias(f"l_{a}") for a in wanted])
+    members = materialised(profiles.select("profile", "formula").join(per_profile, "profile"))
     out = None
     for formula in formulas:
         axes = validate_formula(formula)
         groups = -(-sizes[formula] // PROFILE_GROUP)
-        packed = (
-            profiles.where(F.col("formula") == formula).select("profile")
-            .join(lut.where(F.col("axis").isin(axes)), "profile")
-            .groupBy("profile").agg(F.map_from_entries(F.collect_list(F.struct("axis", "lut"))).alias("luts"))
-            .withColumn("_g", F.pmod(F.xxhash64("profile"), F.lit(groups)))
-        )
+        cells = wide.na.drop(subset=[f"b_{a}" for a in axes])
         for group in range(groups):
-            listed = packed.where(F.col("_g") == group).agg(F.collect_list(F.struct("profile", "luts"))).scalar()
-            rows = wide.na.drop(subset=[f"b_{a}" for a in axes]).withColumn("_p", F.explode(listed))
-            lookup = lambda a: F.element_at(F.element_at(F.col("_p.luts"), a), F.col(f"b_{a}") + 1).alias(f"f_{a}")
-            cells = rows.select(F.col("_p.profile").alias("profile"), *CELL, *[lookup(a) for a in axes])
-            part = _finished(cells.select("profile", *CELL, formula_column(formula).alias("score")))
+            chosen = members.where((F.col("formula") == formula) & (F.pmod(F.xxhash64("profile"), F.lit(groups)) == group))
+            item = F.struct("profile", *[f"l_{a}" for a in axes])
+            packed = chosen.agg(F.sort_array(F.collect_list(item)).alias("_l"))
+            # one struct of arrays, read by position: every use is the same (reused) subquery
+            arrays = packed.select(F.struct(*[F.col(f"_l.{c}").alias(c) for c in ("profile", *[f"l_{a}" for a in axes])])).scalar()
+            column = arrays.getField
+            rows = cells.withColumn("_i", F.explode(F.sequence(F.lit(1), F.size(column("profile")))))
+            lookup = lambda a: F.element_at(F.element_at(column(f"l_{a}"), F.col("_i")), F.col(f"b_{a}") + 1).alias(f"f_{a}")
+            scored = rows.select(F.element_at(column("profile"), F.col("_i")).alias("profile"), *CELL, *[lookup(a) for a in axes])
+            part = _finished(scored.select("profile", *CELL, formula_column(formula).alias("score")))
             out = part if out is None else out.unionByName(part)
     return out
 

@@ -14,6 +14,7 @@ from placewise.operators import focal
 from placewise.operators.aggregate import CELL, grid_max, grid_weighted
 from placewise.operators.hazard import calibrate, composite, distribute, wildfire
 from placewise.operators.resample import block_agg
+from placewise.session import materialised
 
 
 def intensities(grid: Grid, pga: DataFrame, flood: DataFrame, wind: DataFrame, runup: DataFrame, volcanoes: DataFrame, drought: DataFrame, elev: DataFrame) -> DataFrame:
@@ -46,6 +47,14 @@ def mortality(intensity: DataFrame, cell_zone: DataFrame, rates: DataFrame) -> D
     return rest.unionByName(waves)
 
 
+def hazard_job(intensity: DataFrame, cell_zone: DataFrame, rates: DataFrame, grid: Grid, factor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(intensity, mortality, lookup). The smoothed intensities and the zone grid feed several steps, so
+    each is computed once into the shared folder."""
+    native, zoned = materialised(intensity), materialised(cell_zone)
+    deaths = mortality(native, zoned, rates)
+    return native, deaths, hazard_lookup(deaths, native, grid, factor)
+
+
 def hazard_lookup(rates: DataFrame, intensity: DataFrame, grid: Grid, factor: int) -> DataFrame:
     """hazard, row, col, tenths, intensity, composite_tenths on the block grid.
 

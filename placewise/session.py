@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job wants; each is only a default and never overrides the caller's session.
 DEFAULTS = {
@@ -26,16 +26,18 @@ def build_session(master: str | None = None, app: str = "placewise", **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private temporary one only where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="placewise-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    """The shared folder the cluster names in spark.checkpoint.dir; a private one only where none is set."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="placewise-checkpoint-"))
+    return context.getCheckpointDir()
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of ``df`` in the shared checkpoint folder (survives executor loss)."""
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder.
+
+    For tables that several later steps read; they survive the loss of executors.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

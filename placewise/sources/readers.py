@@ -108,8 +108,8 @@ def clean_speedtests(raw: DataFrame) -> DataFrame:
     """Adds the tile centroid; files that carry only a quadkey are refused."""
     if not {"tile", "avg_d_kbps"} <= set(raw.columns):
         raise ValueError("speed tests need the columns tile (WKT) and avg_d_kbps")
-    ring = raw.withColumn("_ring", wkt_ring(F.col("tile")))
-    return ring.withColumns(ring_centroid(F.col("_ring"))).drop("_ring", "tile")
+    centre = raw.withColumn("_c", ring_centroid(wkt_ring(F.col("tile"))))
+    return centre.select("*", "_c.lon", "_c.lat").drop("_c", "tile")
 
 
 # --- tables by country -------------------------------------------------------------------------
