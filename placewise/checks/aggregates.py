@@ -59,8 +59,8 @@ def a06(t):
     return a.zonal_wmean(cells, weights, cell_zone, zones).select("zone", F.round("mean", 4).alias("mean"), F.round("weight", 2).alias("weight"))
 
 
-@check("a06_zonal_weighted_mean_by_year", """SELECT year, ord AS zone, round(vw / sw, 4) AS mean, round(coalesce(sw, 0), 2) AS weight FROM b_adm1 CROSS JOIN (SELECT DISTINCT year FROM b_gdp) LEFT JOIN
-(SELECT year, zone, sum(g.value * p.value) AS vw, sum(p.value) AS sw FROM b_gdp g JOIN b_pop p USING (row, col) JOIN b_cell_adm1 USING (row, col) WHERE p.value > 0 GROUP BY year, zone) z USING (year) WHERE zone = ord""")
+@check("a06_zonal_weighted_mean_by_year", """SELECT y.year, ord AS zone, round(vw / sw, 4) AS mean, round(coalesce(sw, 0), 2) AS weight FROM b_adm1 CROSS JOIN (SELECT DISTINCT year FROM b_gdp) y LEFT JOIN
+(SELECT year, zone, sum(g.value * p.value) AS vw, sum(p.value) AS sw FROM b_gdp g JOIN b_pop p USING (row, col) JOIN b_cell_adm1 USING (row, col) WHERE p.value > 0 GROUP BY year, zone) z ON z.zone = ord AND z.year = y.year""")
 def a06y(t):
     cells = t.layer_gdp()
     years = cells.select("year").distinct().agg(F.collect_set("year").alias("_y")).scalar()
@@ -120,11 +120,11 @@ def a13(t):
     return rounded(resample.resample_sum(t.layer_pop(), GRID, Grid.world(15.0)), "value", digits=4)
 
 
-@check("a14_resample_bilinear", """SELECT CAST(tr AS INTEGER) AS row, CAST(tc AS INTEGER) AS col, round(sum(value * wr * wc) / sum(wr * wc), 6) AS value FROM
+@check("a14_resample_bilinear", """SELECT CAST(tr AS INTEGER) AS row, CAST(tc AS INTEGER) AS col, round(sum(value * wr * wc) / sum(wr * wc), 4) AS value FROM
 (SELECT tr, tc, value, 1 - abs(least(greatest((tr + 0.5::DOUBLE) * 0.4 - 0.5, 0), 17) - row) AS wr, 1 - abs(least(greatest((tc + 0.5::DOUBLE) * 0.4 - 0.5, 0), 35) - col) AS wc
 FROM b_water, range(45) r(tr), range(90) c(tc)) WHERE wr > 0 AND wc > 0 GROUP BY tr, tc""")
 def a14(t):
-    return rounded(resample.resample_bilinear(t.layer_water(), GRID, Grid.world(4.0)), "value")
+    return rounded(resample.resample_bilinear(t.layer_water(), GRID, Grid.world(4.0)), "value", digits=4)
 
 
 @check("a15_resample_nearest", """SELECT CAST(tr AS INTEGER) AS row, CAST(tc AS INTEGER) AS col, value FROM b_water, range(60) r(tr), range(120) c(tc)

@@ -12,7 +12,7 @@ from placewise.checks.aggregates import RATES_SQL, index_cube, rounded, zone_rat
 from placewise.checks.encoding import byte_sql
 from placewise.checks.joins import CELL10, FREEDOM_SQL, GROUPS_SQL, HAZARD_ROWS, LAKES, freedom_sources, hazard_lookup_rows, lakes
 from placewise.checks.sources import SHDI_SQL, shdi_raw
-from placewise.checks.windows import gaussian_sql
+from placewise.checks.windows import STEEP, gaussian_sql, rise_sql
 from placewise.functions import encode
 from placewise.functions.grid import Grid
 from placewise.operators import focal, hazard, ranking
@@ -87,7 +87,7 @@ def p04(t):
 
 def hazard_inputs(t):
     """Rasters and points for the full job."""
-    layer = lambda h: t.hazard_cells().where(F.col("hazard") == h).select(*CELL, (F.col("intensity") * 10.0).alias("value"))
+    layer = lambda h: t.hazard_cells().where(F.col("hazard") == h).select(*CELL, (F.col("intensity") * 9.7).alias("value"))
     key = F.col("id")
     runup = t.points().where(key % 50 == 0).withColumn("runup", (key % 90 / 10.0).cast("double"))
     volcanoes = t.points().where(key % 40 == 1).withColumn("last_year", F.when(key % 3 == 0, F.lit(0)).otherwise((key % 400 + 1600).cast("int")))
@@ -109,14 +109,11 @@ PEAKS = f"(SELECT r.v AS row, c.v AS col, max(value) AS value FROM range(18) r(v
 ERUPTIONS = f"(SELECT row, col, sum(w) AS value FROM (SELECT CASE WHEN id % 3 = 0 THEN 0.3 WHEN id % 400 + 1600 > 1900 THEN 3 ELSE 1 END::DOUBLE AS w, {POINT_CELL} FROM b_points WHERE id % 40 = 1) GROUP BY row, col)"
 DRY = """(SELECT row, col, sum(CASE WHEN ppt / 20::DOUBLE - 3 < -1.5 THEN 1 ELSE 0 END) / 40::DOUBLE AS value FROM b_cube,
 (SELECT min(t) AS first FROM (SELECT DISTINCT year * 12 + month AS t FROM b_cube ORDER BY t DESC LIMIT 40)) WHERE year * 12 + month >= first GROUP BY row, col)"""
-SLOPE = """(SELECT row, col, degrees(atan(sqrt(dx * dx + dy * dy) / 1110000)) AS value FROM (SELECT row, col,
-(coalesce(lead(value) OVER r, value) - coalesce(lag(value) OVER r, value)) / CASE WHEN col IN (0, 35) THEN 1 ELSE 2 END::DOUBLE AS dx,
-(coalesce(lead(value) OVER c, value) - coalesce(lag(value) OVER c, value)) / CASE WHEN row IN (0, 17) THEN 1 ELSE 2 END::DOUBLE AS dy
-FROM (SELECT row, col, value * 100000 AS value FROM b_elev) WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)))"""
+SLOPE = f"(SELECT row, col, degrees(atan(value / 1110000)) AS value FROM {rise_sql(STEEP)})"
 
 
 def raw_layer(h):
-    return f"(SELECT row, col, intensity * 10 AS value FROM b_hazard WHERE hazard = {h})"
+    return f"(SELECT row, col, intensity * 9.7::DOUBLE AS value FROM b_hazard WHERE hazard = {h})"
 
 
 INTENSITY_SQL = {
@@ -151,12 +148,8 @@ def p05(t):
     return hazards.hazard_job(hazard_inputs(t), assign_zones(t.zones_adm1(), GRID), named_rates(t), GRID, 3)[2]
 
 
-@check("p06_legacy_risk", """SELECT row, col, round(greatest(least(greatest(coalesce(q.value, 0) / 4, 0), 1), least(greatest(coalesce(f.value, 0) / 5, 0), 1), CASE WHEN e.value > 0 THEN exp(-e.value / 5) ELSE 0 END, least(s.value / 500, 1)) * 100, 6) AS value FROM
-(SELECT row, col, value FROM b_elev) e JOIN (SELECT row, col, sqrt(dx * dx + dy * dy) AS value FROM (SELECT row, col,
-(coalesce(lead(value) OVER r, value) - coalesce(lag(value) OVER r, value)) / CASE WHEN col IN (0, 35) THEN 1 ELSE 2 END::DOUBLE AS dx,
-(coalesce(lead(value) OVER c, value) - coalesce(lag(value) OVER c, value)) / CASE WHEN row IN (0, 17) THEN 1 ELSE 2 END::DOUBLE AS dy
-FROM b_elev WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row))) s USING (row, col)
-LEFT JOIN (SELECT row, col, intensity * 50 AS value FROM b_hazard WHERE hazard = 1) q USING (row, col) LEFT JOIN (SELECT row, col, intensity * 20 AS value FROM b_hazard WHERE hazard = 2) f USING (row, col)""")
+@check("p06_legacy_risk", f"""SELECT row, col, round(greatest(least(greatest(coalesce(q.value, 0) / 4, 0), 1), least(greatest(coalesce(f.value, 0) / 5, 0), 1), CASE WHEN e.value > 0 THEN exp(-e.value / 5) ELSE 0 END, least(coalesce(s.value, 0) / 500, 1)) * 100, 6) AS value FROM
+b_elev e FULL JOIN {rise_sql('b_elev')} s USING (row, col) FULL JOIN (SELECT row, col, intensity * 50 AS value FROM b_hazard WHERE hazard = 1) q USING (row, col) FULL JOIN (SELECT row, col, intensity * 20 AS value FROM b_hazard WHERE hazard = 2) f USING (row, col)""")
 def p06(t):
     layer = lambda h, k: t.hazard_cells().where(F.col("hazard") == h).select(*CELL, (F.col("intensity") * k).alias("value"))
     rise = focal.rise_per_cell(t.layer_elev(), GRID)

@@ -133,11 +133,16 @@ def c08(t):
 PROFILE_FORMULAS = ["(temp * water) / pop", "temp - water", "pop"]
 
 
-@check("c09_score_profiles", f"""SELECT profile, row, col, round(CASE profile % 3 WHEN 0 THEN {ratio_sql('(t * w)', 'p')} WHEN 1 THEN least(greatest(t - w, 0), 1) ELSE p END, 9) AS score FROM
-(SELECT l1.profile, a.row, a.col, floor(l1.score * 255 + 0.5) / 255 AS t, floor(l2.score * 255 + 0.5) / 255 AS w, floor(l3.score * 255 + 0.5) / 255 AS p
-FROM (SELECT row, col, {BYTES['temp']} AS byte FROM b_temp) a JOIN (SELECT row, col, {BYTES['water']} AS byte FROM b_water) b USING (row, col) JOIN (SELECT row, col, {BYTES['pop']} AS byte FROM b_pop) c USING (row, col)
-JOIN {LUT_SQL} l1 ON l1.byte = a.byte JOIN {LUT_SQL} l2 ON l2.byte = b.byte AND l2.profile = l1.profile JOIN {LUT_SQL} l3 ON l3.byte = c.byte AND l3.profile = l1.profile)
-WHERE CASE profile % 3 WHEN 0 THEN NOT (p = 0 AND t * w = 0) ELSE true END""")
+def profile_layer(axis):
+    """profile, row, col, s of one axis under every profile's own curve."""
+    return f"(SELECT profile, row, col, floor(l.score * 255 + 0.5) / 255 AS s FROM (SELECT row, col, {BYTES[axis]} AS byte FROM b_{axis}) JOIN {LUT_SQL} l USING (byte) WHERE byte > 0)"
+
+
+PT, PW, PP = (profile_layer(a) for a in ("temp", "water", "pop"))
+
+
+@check("c09_score_profiles", f"""SELECT profile, row, col, round(score, 9) AS score FROM (SELECT profile, row, col, {ratio_sql('(t.s * w.s)', 'p.s')} AS score FROM {PT} t JOIN {PW} w USING (profile, row, col) JOIN {PP} p USING (profile, row, col) WHERE profile % 3 = 0
+UNION ALL SELECT profile, row, col, least(greatest(t.s - w.s, 0), 1) FROM {PT} t JOIN {PW} w USING (profile, row, col) WHERE profile % 3 = 1 UNION ALL SELECT profile, row, col, s FROM {PP} WHERE profile % 3 = 2) WHERE score IS NOT NULL""")
 def c09(t):
     key = F.col("profile")
     curves = profile_curves(t)

@@ -62,10 +62,17 @@ def w02(t):
     return focal.max_filter(sparse, GRID, 13, block=16)
 
 
-@check("w03_slope", f"""SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy) / 1110000)), 9) AS value FROM (SELECT row, col,
-(coalesce(lead(value) OVER r, value) - coalesce(lag(value) OVER r, value)) / CASE WHEN col IN (0, 35) THEN 1 ELSE 2 END::DOUBLE AS dx,
-(coalesce(lead(value) OVER c, value) - coalesce(lag(value) OVER c, value)) / CASE WHEN row IN (0, 17) THEN 1 ELSE 2 END::DOUBLE AS dy
-FROM (SELECT row, col, value * 100000 AS value FROM b_elev) WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row))""")
+def rise_sql(source):
+    """Gradient length per cell from its four neighbours; cells next to an absent cell have none."""
+    return f"""(SELECT c.row, c.col, sqrt(pow((e.value - w.value) / CASE WHEN c.col IN (0, 35) THEN 1 ELSE 2 END::DOUBLE, 2) + pow((s.value - n.value) / CASE WHEN c.row IN (0, 17) THEN 1 ELSE 2 END::DOUBLE, 2)) AS value
+FROM {source} c JOIN {source} w ON w.row = c.row AND w.col = greatest(c.col - 1, 0) JOIN {source} e ON e.row = c.row AND e.col = least(c.col + 1, 35)
+JOIN {source} n ON n.row = greatest(c.row - 1, 0) AND n.col = c.col JOIN {source} s ON s.row = least(c.row + 1, 17) AND s.col = c.col)"""
+
+
+STEEP = "(SELECT row, col, value * 100000 AS value FROM b_elev)"
+
+
+@check("w03_slope", f"SELECT row, col, round(degrees(atan(value / 1110000)), 9) AS value FROM {rise_sql(STEEP)}")
 def w03(t):
     elev = t.layer_elev().withColumn("value", F.col("value") * 100000.0)
     return rounded(focal.slope_deg(elev, GRID, block=8), "value", digits=9)

@@ -49,8 +49,8 @@ def _prepare(formula: str) -> ast.expr:
 
 def formula_axes(formula: str) -> list[str]:
     """Distinct axes in order of first use."""
-    names = [n.id[len(PREFIX):] for n in ast.walk(_prepare(formula)) if isinstance(n, ast.Name)]
-    return list(dict.fromkeys(names))
+    names = [n for n in ast.walk(_prepare(formula)) if isinstance(n, ast.Name)]
+    return list(dict.fromkeys(n.id[len(PREFIX):] for n in sorted(names, key=lambda n: n.col_offset)))
 
 
 def validate_formula(formula: str) -> list[str]:

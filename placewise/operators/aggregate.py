@@ -31,9 +31,13 @@ def grid_weighted(volcanoes: DataFrame, year: str = "last_year") -> DataFrame:
 
 
 def fuel_breakdown(plants: DataFrame) -> DataFrame:
-    """Capacity per country and fuel; rows without a country or fuel do not count."""
+    """Capacity per country and fuel; rows without a country or fuel do not count.
+
+    Plants that carry line_no keep each pair's first line as ``first``.
+    """
     named = plants.where((F.coalesce("country", F.lit("")) != "") & (F.coalesce("fuel", F.lit("")) != ""))
-    return named.groupBy("country", "fuel").agg(F.sum("capacity").alias("capacity"))
+    first = [F.min("line_no").alias("first")] if "line_no" in plants.columns else []
+    return named.groupBy("country", "fuel").agg(F.sum("capacity").alias("capacity"), *first)
 
 
 def zonal_wmean(cells: DataFrame, weights: DataFrame, cell_zone: DataFrame, zones: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -124,6 +128,6 @@ def last_by(df: DataFrame, keys: list[str], order: str, *values: str) -> DataFra
 
 def latest_per_key(df: DataFrame, key: str, year: str, line: str, *values: str) -> DataFrame:
     """Latest year per key; among equal years the earliest line stays."""
-    order = F.struct(F.col(year), -F.col(line))
-    best = df.groupBy(key).agg(F.max_by(F.struct(year, *values), order).alias("_r"))
+    order = F.struct(-F.col(year), F.col(line))
+    best = df.groupBy(key).agg(F.min_by(F.struct(year, *values), order).alias("_r"))
     return best.select(key, "_r.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placewise import dims
 from placewise.operators.aggregate import positive_mean
+from placewise.session import broadcast_if_small
 
 CELL = ["row", "col"]
 YEARS_COVERED = 50.0
@@ -47,18 +48,20 @@ def calibrate(intensity: DataFrame, cell_zone: DataFrame, rates: DataFrame) -> D
         sums.join(rates, ["hazard", "zone"], "full_outer").join(sizes, "zone")
         .select("hazard", "zone", F.coalesce("rate", F.lit(0.0)).alias("_rate"), (F.coalesce("_sum", F.lit(0.0)) / F.col("_cells")).alias("_mean"))
     )
+    # one row per hazard of the fixed list
     world = (
         positive_mean(intensity, "intensity", ["hazard"])
         .join(global_rates(rates, cell_zone), "hazard", "left")
         .select("hazard", (F.col("global_rate") / F.nullif(F.col("mean"), F.lit(0.0))).alias("_per_unit"))
     )
+    zone_stats = broadcast_if_small(zone_stats)
     flat = (F.col("_rate") > 0) & (F.col("_mean") <= 0)
     relative = F.col("_rate") * F.col("intensity") / F.nullif(F.col("_mean"), F.lit(0.0))
     country = F.when((F.col("_rate") > 0) & (F.col("_mean") > 0), F.least(relative, F.col("_rate") * dims.RATE_CAP_MULTIPLIER)).otherwise(F.lit(0.0))
     physical = F.coalesce(F.col("_per_unit") * F.col("intensity"), F.lit(0.0))
     blended = F.greatest(country * (1 - BLEND) + physical * BLEND, physical * FLOOR)
     spread = (
-        inside.join(zone_stats, ["hazard", "zone"]).where(~flat).join(world, "hazard", "left")
+        inside.join(zone_stats, ["hazard", "zone"]).where(~flat).join(F.broadcast(world), "hazard", "left")
         .select("hazard", *CELL, blended.alias("rate"))
     )
     flat_cells = zone_stats.where(flat).join(cell_zone, "zone").select("hazard", *CELL, (F.col("_rate") * (1 - BLEND)).alias("rate"))

@@ -17,10 +17,21 @@ from placewise.functions.geometry import RINGS_TYPE, ring_centroid, wkt_ring
 
 
 def _csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
-    """The named columns as text, found by header name; a missing column reads as NULL."""
-    header = [c for c in spark.read.option("header", True).option("sep", sep).csv(path).columns]
+    """The named columns as text, found by header name, and line_no; a missing column reads as NULL."""
+    header = spark.read.option("header", True).option("sep", sep).csv(path).columns
     raw = spark.read.schema(", ".join(f"`{c}` string" for c in header)).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
-    return raw.select(*[(F.col(f"`{c}`") if c in header else F.lit(None).cast("string")).alias(c) for c in columns])
+    present = [(F.col(f"`{c}`") if c in header else F.lit(None).cast("string")).alias(c) for c in columns]
+    return raw.select(*present, file_order().alias("line_no"))
+
+
+def file_order() -> Column:
+    """An orderable line position: file, start of the split, row within the split.
+
+    A plain running id would not do, because Spark packs large splits first.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")
+    )
 
 
 # --- layers and cubes --------------------------------------------------------------------------
@@ -117,7 +128,7 @@ def clean_speedtests(raw: DataFrame) -> DataFrame:
 
 def read_deaths(spark: SparkSession, path: str) -> DataFrame:
     columns = ["Entity", "Code", "Year", *[c for c, _h in dims.DEATH_COLUMNS]]
-    return clean_deaths(_csv(spark, path, columns).withColumn("line_no", F.monotonically_increasing_id()))
+    return clean_deaths(_csv(spark, path, columns))
 
 
 def clean_deaths(raw: DataFrame) -> DataFrame:
@@ -132,7 +143,7 @@ def clean_deaths(raw: DataFrame) -> DataFrame:
 
 
 def read_population(spark: SparkSession, path: str) -> DataFrame:
-    return clean_population(_csv(spark, path, ["year", "code", "population_historical"]).withColumn("line_no", F.monotonically_increasing_id()))
+    return clean_population(_csv(spark, path, ["year", "code", "population_historical"]))
 
 
 def clean_population(raw: DataFrame) -> DataFrame:
@@ -148,7 +159,7 @@ SHDI_FIELDS = {"shdi": "shdi", "healthindex": "health", "edindex": "education",
 
 
 def read_shdi(spark: SparkSession, path: str) -> DataFrame:
-    return clean_shdi(_csv(spark, path, SHDI_TEXT).withColumn("line_no", F.monotonically_increasing_id()))
+    return clean_shdi(_csv(spark, path, SHDI_TEXT))
 
 
 def clean_shdi(raw: DataFrame) -> DataFrame:
@@ -162,7 +173,7 @@ def clean_shdi(raw: DataFrame) -> DataFrame:
 
 
 def read_cpi(spark: SparkSession, path: str) -> DataFrame:
-    return clean_cpi(_csv(spark, path, ["year", "country", "score"]).withColumn("line_no", F.monotonically_increasing_id()))
+    return clean_cpi(_csv(spark, path, ["year", "country", "score"]))
 
 
 def clean_cpi(raw: DataFrame) -> DataFrame:
@@ -172,7 +183,7 @@ def clean_cpi(raw: DataFrame) -> DataFrame:
 
 
 def read_risk_index(spark: SparkSession, path: str) -> DataFrame:
-    return clean_risk_index(_csv(spark, path, ["COUNTRY", "INFORM RISK"]).withColumn("line_no", F.monotonically_increasing_id()))
+    return clean_risk_index(_csv(spark, path, ["COUNTRY", "INFORM RISK"]))
 
 
 def clean_risk_index(raw: DataFrame) -> DataFrame:
@@ -216,8 +227,9 @@ def indicator_by_name(entries: DataFrame) -> DataFrame:
 
 def read_indicator_xml(spark: SparkSession, path: str) -> DataFrame:
     """name, value from the indicator's XML download (one <wb:data> element per record)."""
-    reader = spark.read.format("xml").option("rowTag", "wb:data").option("ignoreNamespace", True).option("ignoreSurroundingSpaces", True)
-    return clean_indicator_xml(reader.schema("country string, value string").load(path).withColumn("line_no", F.monotonically_increasing_id()))
+    reader = spark.read.format("xml").option("rowTag", "data").option("ignoreNamespace", True).option("ignoreSurroundingSpaces", True)
+    raw = reader.schema("country string, value string").load(path)
+    return clean_indicator_xml(raw.select("country", "value", file_order().alias("line_no")))
 
 
 def indicator_xml_records(docs: DataFrame) -> DataFrame:
