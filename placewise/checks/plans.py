@@ -9,15 +9,17 @@ from placewise import dims
 from placewise.bind import GRID
 from placewise.checks import check
 from placewise.checks.aggregates import RATES_SQL, index_cube, rounded, zone_rates
-from placewise.checks.encoding import byte_sql
+from placewise.checks.encoding import band_sql, byte_sql
 from placewise.checks.joins import CELL10, FREEDOM_SQL, GROUPS_SQL, HAZARD_ROWS, LAKES, freedom_sources, hazard_lookup_rows, lakes
 from placewise.checks.sources import SHDI_SQL, shdi_raw
 from placewise.checks.windows import STEEP, gaussian_sql, rise_sql
 from placewise.functions import encode
 from placewise.functions.grid import Grid
 from placewise.operators import focal, hazard, ranking
-from placewise.operators.aggregate import CELL, fuel_breakdown
+from placewise.operators.aggregate import CELL, fuel_breakdown, latest_per_key
 from placewise.operators.climate import event_frequency
+from placewise.operators.lookup import gdp_at
+from placewise.operators.resample import resample_down
 from placewise.operators.years import nearest_weight_year
 from placewise.operators.zones import assign_zones
 from placewise.plans import climate_layers, country, crops, describe, development, energy, freedom, gdp, hazards, layers
@@ -215,12 +217,14 @@ def p11(t):
 
 
 SEA = "(SELECT row, col, value <= 0 AS sea FROM b_elev)"
+COARSE_SEA = "(SELECT CAST(row // 2 AS INTEGER) AS row, CAST(col // 2 AS INTEGER) AS col, avg(value) <= 0 AS sea FROM b_elev GROUP BY 1, 2)"
+LOG_LOW = "(SELECT quantile_cont(ln(1 + p.value), 0.01) FROM b_pop p LEFT JOIN b_elev e ON e.row = p.row AND e.col = p.col WHERE NOT coalesce(e.value <= 0, false) AND p.col % 6 <> 0 AND p.value > 0)"
 
 
-def masked_sql(axis, source, value, lo, hi, mask, invert=False, log=False):
+def masked_sql(axis, source, value, lo, hi, mask, invert=False, log=False, sea=SEA):
     wet = "sea OR lake IS NOT NULL" if mask == "water" else "sea"
     return f"""SELECT '{axis}' AS axis, row, col, {byte_sql('v', lo, hi, invert, log)} AS byte FROM (SELECT s.row, s.col, CASE WHEN coalesce({wet}, false) THEN NULL ELSE {value} END AS v FROM {source} s
-LEFT JOIN {SEA} e ON e.row = s.row AND e.col = s.col LEFT JOIN (SELECT *, 1 AS lake FROM {LAKES}) l ON l.row = s.row AND l.col = s.col)"""
+LEFT JOIN {sea} e ON e.row = s.row AND e.col = s.col LEFT JOIN (SELECT *, 1 AS lake FROM {LAKES}) l ON l.row = s.row AND l.col = s.col)"""
 
 
 def pop_with_nodata(t):
@@ -232,22 +236,22 @@ AVERAGED = "(SELECT CAST(row // 2 AS INTEGER) AS row, CAST(col // 2 AS INTEGER)
 
 
 @check("p12_masked_layers", " UNION ALL ".join([
-    masked_sql("pop", "b_pop", "CASE WHEN s.col % 6 = 0 THEN 0 ELSE s.value END", 0.0, "ln(10001)", "ocean", log=True),
+    masked_sql("pop", "b_pop", "CASE WHEN s.col % 6 = 0 THEN 0 ELSE s.value END", LOG_LOW, "ln(10001)", "ocean", log=True),
     masked_sql("hcare", MINUTES, "s.value", 0.0, 180.0, "water", invert=True),
     masked_sql("air", MINUTES, "s.value", 0.0, 70.0, "ocean", invert=True),
-    masked_sql("wind", AVERAGED, "s.value", 0.0, 20.0, "ocean"),
-    masked_sql("travel", AVERAGED, "s.value", 0.0, 720.0, "ocean", invert=True),
+    masked_sql("wind", AVERAGED, "s.value", 0.0, 20.0, "ocean", sea=COARSE_SEA),
+    masked_sql("travel", AVERAGED, "s.value", 0.0, 720.0, "ocean", invert=True, sea=COARSE_SEA),
     masked_sql("agrip", MINUTES, "s.value", 0.0, 100.0, "ocean"),
 ]))
 def p12(t):
     minutes = t.layer_water().withColumn("value", F.col("value") / 10.0)
     speeds = t.layer_water().withColumn("value", F.col("value") / 100.0)
     elev, wet = t.layer_elev(), lakes(t)
-    coarse = GRID.coarser(2)
+    coarse = resample_down(elev, GRID, 2, "average")
     made = {
         "pop": layers.axis_layer(pop_with_nodata(t), "pop", GRID, elev), "hcare": layers.axis_layer(minutes, "hcare", GRID, elev, wet),
-        "air": layers.axis_layer(minutes, "air", GRID, elev), "wind": layers.axis_layer(speeds, "wind", GRID, elev, average=2),
-        "travel": layers.axis_layer(speeds, "travel", GRID, elev, average=2), "agrip": layers.axis_layer(minutes, "agrip", GRID, elev),
+        "air": layers.axis_layer(minutes, "air", GRID, elev), "wind": layers.axis_layer(speeds, "wind", GRID, coarse, average=2),
+        "travel": layers.axis_layer(speeds, "travel", GRID, coarse, average=2), "agrip": layers.axis_layer(minutes, "agrip", GRID, elev),
     }
     return reduce(DataFrame.unionByName, [df.select(F.lit(a).alias("axis"), *CELL, "byte") for a, df in made.items()])
 
@@ -314,6 +318,66 @@ def p14c(t):
     return describe.crop_text(t.points(), lists, dims.HARVEST_CROPS, "harvest", GRID)
 
 
+def whole(expr):
+    return f"CAST(floor({expr} + 0.5) AS BIGINT)"
+
+
+def one_decimal(expr):
+    """Text of a non-negative number with one decimal, half up."""
+    return f"({whole(f'{expr} * 10')} // 10) || '.' || ({whole(f'{expr} * 10')} % 10)"
+
+
+N = "(b / 255::DOUBLE)"
+
+
+def comma(expr):
+    return f"format('{{:,}}', {whole(expr)})"
+
+
+TEXT_SQL = {
+    "temp": f"'Avg temp: ' || {whole(f'-30 + {N} * 75')} || 'C (' || {band_sql('temp', f'(-30 + {N} * 75)')} || ')'",
+    "tvar": f"'Temp std dev: ' || {one_decimal(f'{N} * 15')} || 'C std (' || {band_sql('tvar', f'({N} * 15)')} || ')'",
+    "water": f"'Precip.: ' || {whole(f'{N} * 3000')} || ' mm/yr (' || {band_sql('water', whole(f'{N} * 3000'))} || ')'",
+    "pop": f"'Pop. density: ' || {comma(f'exp({N} * ln(10001)) - 1')} || '/km2 (' || {band_sql('pop', f'(exp({N} * ln(10001)) - 1)')} || ')'",
+    "gdp": f"'GDP/capita: $' || {comma(f'exp({N} * ln(80001)) - 1')} || ' (' || {band_sql('gdp', f'(exp({N} * ln(80001)) - 1)')} || ')'",
+    "e_geo": f"'Geo. cap.: ' || {comma(f'exp({N} * ln(5001)) - 1')} || ' MW (' || {band_sql('plant', f'(exp({N} * ln(5001)) - 1)')} || ')'",
+    "air": f"'Air cleanliness: ' || {whole(f'(1 - {N}) * 70')} || ' ug/m3 (' || {band_sql('air', whole(f'(1 - {N}) * 70'))} || ')'",
+    "inet": f"'Internet speed: ' || {whole(f'(exp({N} * ln(1000001)) - 1) / 1000')} || ' Mbps (' || {band_sql('inet', f'((exp({N} * ln(1000001)) - 1) / 1000)')} || ')'",
+    "flood": f"'Depth: ' || {one_decimal(f'pow(1 - {N}, 2) * 10')} || ' m (' || {band_sql('flood', f'(pow(1 - {N}, 2) * 10)')} || ')'",
+    "landslide": f"'Slope: ' || {one_decimal(f'(1 - {N}) * 45')} || '° (' || {band_sql('landslide', f'((1 - {N}) * 45)')} || ')'",
+    "free": f"'Freedom: ' || {whole(f'{N} * 100')} || '/100 (' || {band_sql('free', whole(f'{N} * 100'))} || ')'",
+}
+
+
+@check("p14_axis_text", " UNION ALL ".join(f"SELECT '{a}' AS axis, p_partkey AS id, CASE WHEN b > 0 THEN {q} END AS text FROM (SELECT p_partkey, p_partkey % 256 AS b FROM part)" for a, q in TEXT_SQL.items()))
+def p14x(t):
+    byte = (F.col("p_partkey") % 256).cast("int")
+    parts = [t["part"].select(F.lit(a).alias("axis"), F.col("p_partkey").alias("id"), encode.value_text(a, byte).alias("text")) for a in TEXT_SQL]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@check("p14_development_text", f"""SELECT code, 'Development: ' || {whole(f'{N} * 100')} || '/100 (' || {band_sql('depv', whole(f'{N} * 100'))} || ')  -- ' || region || ', ' || country || chr(10) ||
+'  Health     ' || coalesce(h // 100 || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0'), '?') || '  (life exp ' || {whole('lifexp * 100')} || ' yr)' || chr(10) || '  Education  ' || e // 100 || '.' || lpad(CAST(e % 100 AS VARCHAR), 2, '0') || coalesce('  (' || {one_decimal('esch_yrs * 30')} || ' yr expected)', '') || chr(10) ||
+'  Income     ' || i // 100 || '.' || lpad(CAST(i % 100 AS VARCHAR), 2, '0') || '  ($' || {comma('gnic * 60000')} || ' GNI/cap)' AS text FROM (SELECT *, 1 + year % 200 AS b, {whole('health * 100')} AS h, {whole('education * 100')} AS e, {whole('income * 100')} AS i, row_number() OVER (PARTITION BY code ORDER BY year DESC, line_no) AS k FROM ({SHDI_SQL})) WHERE k = 1""")
+def p14d(t):
+    latest = latest_per_key(readers.clean_shdi(shdi_raw(t)), "code", "year", "line_no", *development.FIELDS)
+    scaled = latest.withColumns({"lifexp": F.col("lifexp") * 100.0, "esch_yrs": F.col("esch_yrs") * 30.0, "gnic": F.col("gnic") * 60000.0})
+    return scaled.select("code", describe.development_text(F.lit(1) + F.col("year") % 200).alias("text"))
+
+
+@check("p14_gdp_text", f"""SELECT id, CASE WHEN zoom >= 6 AND d > 0 THEN 'District ' || id || ', Land ' || n_regionkey || ' (District) -- GDP/capita: $' || {comma('d')} WHEN zoom >= 3.5 AND n_nationkey % 2 = 0 THEN n_name || ', Land ' || n_regionkey || ' (State, 2020) -- GDP/capita: $' || {comma('n_nationkey * 1000.5::DOUBLE')}
+WHEN n_regionkey <> 3 THEN 'Land ' || n_regionkey || ' (Country, 2020) -- GDP/capita: $' || {comma('n_regionkey * 10000.25::DOUBLE')} END AS text FROM (SELECT c_custkey AS id, c_custkey % 10 AS zoom, c_acctbal AS d, nation.* FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+def p14g(t):
+    land = F.concat(F.lit("Land "), F.col("n_regionkey"))
+    points = t["customer"].join(F.broadcast(t["nation"]), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("id"), (F.col("c_custkey") % 10).cast("double").alias("zoom"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("district_value"),
+        F.concat(F.lit("District "), F.col("c_custkey")).alias("district"), F.col("n_name").alias("state"), land.alias("country"), F.lit(2020).alias("year"),
+    )
+    states = t["nation"].where(F.col("n_nationkey") % 2 == 0).select(F.col("n_name").alias("state"), F.lit(2020).alias("year"), (F.col("n_nationkey") * 1000.5).alias("state_value"))
+    countries = t["region"].where(F.col("r_regionkey") != 3).select(F.concat(F.lit("Land "), F.col("r_regionkey")).alias("country"), F.lit(2020).alias("year"), (F.col("r_regionkey") * 10000.25).alias("country_value"))
+    return gdp_at(points, states, countries).select("id", describe.gdp_text().alias("text"))
+
+
 # --- density, plain and hazard axes --------------------------------------------------------------------
 
 

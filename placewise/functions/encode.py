@@ -183,6 +183,56 @@ def minutes_label(minutes: Column) -> Column:
     )
 
 
+def fixed(value: Column, decimals: int) -> Column:
+    """A non-negative or negative number with fixed decimals, half up."""
+    scaled = half_up(F.abs(value) * float(10 ** decimals))
+    digits = scaled.cast("string")
+    if decimals:
+        unit = F.lit(10 ** decimals)
+        digits = F.concat(F.floor(scaled / unit).cast("string"), F.lit("."), F.lpad(F.pmod(scaled, unit).cast("string"), decimals, "0"))
+    return F.concat(F.when((value < 0) & (scaled > 0), F.lit("-")).otherwise(F.lit("")), digits)
+
+
+def value_text(axis: str, byte: Column, unit: str | None = None) -> Column:
+    """'Label: value (band)' of an axis byte; NULL where there is no data.
+
+    ``unit`` may be F for temperatures and m/s or km/h for cyclones.
+    """
+    n = F.when(byte > 0, byte.cast("double") / 255.0)
+    if axis == "energy":
+        return F.concat(F.lit("Energy bal.: "), balance_label(n))
+    if axis in dims.HAZARD_TEXT:
+        return _hazard_value_text(axis, byte, unit)
+    label, lo, hi, inverted, log, prefix, suffix, decimals = dims.VALUE_TEXT[axis]
+    share = F.lit(1.0) - n if inverted else n
+    value = F.expm1(share * math.log1p(hi)) if log else F.lit(lo) + share * (hi - lo)
+    if axis == "inet":
+        value = convert_unit(value, "kbps", "Mbps")
+    whole = half_up(value)
+    kind = band("plant" if axis.startswith("e_") and axis != "e_consume" else axis, value if axis in dims.BAND_ON_EXACT else whole)
+    if unit == "F" and axis in ("temp", "tvar"):
+        value, suffix = convert_unit(value, "C" if axis == "temp" else "dC", "F" if axis == "temp" else "dF"), suffix.replace("C", "F")
+        whole = half_up(value)
+    if axis == "travel":
+        shown = minutes_label(value)
+    elif decimals:
+        shown = fixed(value, decimals)
+    elif axis in dims.THOUSANDS_AXES:
+        shown = F.format_number(whole, 0)
+    else:
+        shown = whole.cast("string")
+    return F.concat(F.lit(f"{label}: {prefix}"), shown, F.lit(f"{suffix} ("), kind, F.lit(")"))
+
+
+def _hazard_value_text(axis: str, byte: Column, unit: str | None) -> Column:
+    label, suffix, decimals, factor = dims.HAZARD_TEXT[axis]
+    native = decode(axis, byte)
+    kind = band(axis, native * MPH_PER_MPS if axis == "cyclone" else native)
+    if axis == "cyclone" and unit in ("m/s", "km/h"):
+        suffix, factor = f" {unit}", KMH_PER_MPS if unit == "km/h" else 1.0
+    return F.concat(F.lit(f"{label}: "), fixed(native * factor, decimals), F.lit(f"{suffix} ("), kind, F.lit(")"))
+
+
 def lookup_tenths(value: Column) -> Column:
     """Lookup quantisation: tenths, half-even, clipped to 0..65000."""
     return clamp(half_even(value * 10.0).cast("int"), 0, 65000)

@@ -18,7 +18,11 @@ PROFILE_GROUP = 256
 
 
 def encode_layers(layers: DataFrame) -> DataFrame:
-    """axis, row, col, byte under each axis's registered bounds, which come from a 36-row dimension."""
+    """axis, row, col, byte under each axis's fixed bounds, which come from a 36-row dimension.
+
+    An open lower bound counts as 0, as it does when bytes are decoded; axes whose upper bound comes from
+    the data are encoded on their own (``plans.layers``).
+    """
     registry = F.broadcast(dims.axis_dim(layers.sparkSession))
     value, log = F.col("value"), F.col("is_log")
     shown = F.when(log & (value > 0), F.log1p(value)).when(log, F.lit(0.0)).otherwise(value)

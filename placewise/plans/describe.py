@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placewise import dims
 from placewise.functions import encode
-from placewise.functions.grid import Grid, lookup_cell
+from placewise.functions.grid import Grid, lookup_cell, lookup_cell_origin
 from placewise.functions.rounding import half_up
 from placewise.operators.aggregate import CELL
 from placewise.operators.lookup import index_name
@@ -66,10 +66,24 @@ def crop_text(points: DataFrame, lists: DataFrame, names: list[str], kind: str,
     else:
         lines = F.transform(F.filter("top", lambda e: e["value"] > 0), lambda e: F.concat(name(e), F.lit(" "), e["value"].cast("string"), F.lit(" SI")))
     texts = lists.select(*CELL, F.concat_ws("\n", lines).alias("text"))
-    return lookup_cell(points, grid).join(texts, CELL).select(key, "text")
+    return lookup_cell_origin(points, grid).join(texts, CELL).select(key, "text")
+
+
+def development_text(byte: Column) -> Column:
+    """Axis headline, place and the three indices, for points joined to their region record."""
+    number = lambda c: F.when(F.col(c).isNull(), F.lit("?")).otherwise(encode.fixed(F.col(c), 2))
+    place = F.when(F.coalesce("region", F.lit("")) != "", F.concat("region", F.lit(", "), "country")).otherwise(F.col("country"))
+    years = F.concat(F.lit("  (life exp "), encode.fixed(F.col("lifexp"), 0), F.lit(" yr)"))
+    school = F.concat(F.lit("  ("), encode.fixed(F.col("esch_yrs"), 1), F.lit(" yr expected)"))
+    income = F.concat(F.lit("  ($"), F.format_number(half_up(F.col("gnic")), 0), F.lit(" GNI/cap)"))
+    line = lambda label, c, text: F.concat(F.lit(f"  {label.ljust(10)} "), number(c), F.coalesce(text, F.lit("")))
+    return F.concat_ws(
+        "\n", F.concat(encode.value_text("depv", byte), F.lit("  -- "), place),
+        line("Health", "health", years), line("Education", "education", school), line("Income", "income", income),
+    )
 
 
-def gdp_text(tiers: DataFrame) -> Column:
+def gdp_text() -> Column:
     """'State X, Country Y (State, 2020) -- GDP/capita: $12,345' by tier."""
     dollars = F.concat(F.lit("$"), F.format_number(half_up(F.col("gdp")), 0))
     year = F.col("year").cast("string")

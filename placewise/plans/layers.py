@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +37,27 @@ def masked(layer: DataFrame, axis: str, elev: DataFrame | None, lakes: DataFrame
 
 
 def encoded(layer: DataFrame, axis: str, keys: list[str] | None = None) -> DataFrame:
-    """Bytes under the registered bounds; a bound the registry leaves open comes from the data."""
+    """Bytes under the registered bounds; a bound the registry leaves open comes from the data.
+
+    An open upper bound is p99.5 of the positive cells; an open lower bound is p1 of their logarithms.
+    """
     enc = dims.ENCODING[axis]
-    value, low, high = F.col("value"), enc["lo"] or 0.0, enc["hi"]
+    value, low, high = F.col("value"), enc["lo"], enc["hi"]
     if high is None:
         layer = layer.withColumn("_hi", F.log1p(robust_cap(layer)))
         low, high = F.lit(0.0), F.col("_hi")
+    elif low is None:
+        logs = layer.where(value > 0).withColumn("_l", F.log1p(value))
+        first = F.coalesce(exact_quantiles(logs, "_l", {"lo": 0.01}).select("lo").scalar(), F.lit(0.0))
+        layer = layer.withColumn("_lo", first)
+        low, high = F.col("_lo"), F.lit(math.log1p(high))
     return layer.select(*(keys or []), *CELL, to_byte(value, low, high, enc["log"], enc["invert"]).alias("byte"))
 
 
 def axis_layer(cells: DataFrame, axis: str, grid: Grid, elev: DataFrame | None = None, lakes: DataFrame | None = None, average: int = 1, keys: list[str] | None = None) -> DataFrame:
     """A static or yearly raster axis: nodata out, optional averaging, mask, bytes.
 
+    ``elev`` and ``lakes`` are on the grid of the result, after averaging.
     Population treats nodata as nobody; gridded GDP keeps only positive values.
     """
     enc = dims.ENCODING[axis]

@@ -237,4 +237,4 @@ def test_energy_without_capacity_has_no_boost(spark):
 
 def test_gdp_text(spark):
     df = spark.createDataFrame([("State", "Ohio", "USA", 2020, 12345.6), ("Country", "x", "USA", 2020, 70000.0), (None, "x", "USA", 2020, None)], "tier string, state string, country string, year int, gdp double").withColumn("district", F.lit("d"))
-    assert [r[0] for r in df.select(describe.gdp_text(df)).collect()] == ["Ohio, USA (State, 2020) -- GDP/capita: $12,346", "USA (Country, 2020) -- GDP/capita: $70,000", None]
+    assert [r[0] for r in df.select(describe.gdp_text()).collect()] == ["Ohio, USA (State, 2020) -- GDP/capita: $12,346", "USA (Country, 2020) -- GDP/capita: $70,000", None]
