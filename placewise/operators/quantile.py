@@ -1,8 +1,10 @@
 """Exact quantiles without gathering the values.
 
-Two rounds of histograms narrow each wanted rank down to a sliver of the value range; only the distinct
-values of that sliver are ordered. Every step is a partially aggregated ``groupBy`` over at most
-``BUCKETS`` groups per layer, so neither many rows nor many equal values load one task.
+Equal values are counted first, and the counts are written once for the passes that follow. Few distinct
+values are simply ordered. Otherwise two rounds of histograms narrow each wanted rank down to a sliver of
+the value range, and only the distinct values of that sliver are ordered. Every step is a partially
+aggregated ``groupBy`` over at most ``BUCKETS`` groups per layer, so neither many rows nor many equal
+values load one task.
 """
 
 from __future__ import annotations
@@ -10,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placewise.session import materialised
+
 BUCKETS = 4096
+#: Up to this many counted distinct values (all layers together) one ordered pass is cheaper.
+FEW_VALUES = 500_000
 
 
 def _bucket(value: str, lo: str, hi: str) -> Column:
@@ -29,32 +35,37 @@ def _attach(df: DataFrame, small: DataFrame, keys: list[str], columns: list[str]
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """One row per key with a linearly interpolated quantile per entry of ``probs``."""
     keys = list(keys or [])
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    span = data.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    clean = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = materialised(clean.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
 
     ranks = span.select(*keys, F.explode(_wanted(probs)).alias("_w")).select(*keys, "_w.*")
     wanted = ranks.groupBy(*keys).agg(F.sort_array(F.collect_set("rank")).alias("_ranks"))
+    if counts.count() <= FEW_VALUES:
+        values = _locate(counts, wanted, keys, "_v", keys)
+    else:
+        values = _narrowed(counts, span, wanted, keys)
+
+    found = ranks.join(values.withColumnRenamed("_rank", "rank"), [*keys, "rank"]).select(*keys, "prob", "frac", "_v")
+    per_prob = found.groupBy(*keys, "prob", "frac").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("frac")
+    return per_prob.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == name, at)).alias(name) for name in probs])
+
 
-    first = _attach(data, span, keys, ["_lo", "_hi", "_n"]).withColumn("_b1", _bucket("_v", "_lo", "_hi"))
-    hist1 = _locate(first.groupBy(*keys, "_b1").agg(*_summary()), wanted, keys, ["_b1"], keys)
+def _narrowed(counts: DataFrame, span: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _rank, _v) of the wanted ranks, by histogram, finer histogram, then distinct values."""
+    first = _attach(counts, span, keys, ["_lo", "_hi"]).withColumn("_b1", _bucket("_v", "_lo", "_hi"))
+    hist1 = _locate(first.groupBy(*keys, "_b1").agg(*_summary()), wanted, keys, "_b1", keys)
     second = (
-        first.select(*keys, "_v", "_b1")
+        first.select(*keys, "_v", "_c", "_b1")
         .join(F.broadcast(_slivers(hist1, [*keys, "_b1"])), [*keys, "_b1"])
         .withColumn("_b2", _bucket("_v", "_lo", "_hi"))
     )
     hist2 = _relocate(second.groupBy(*keys, "_b1", "_b2").agg(*_summary()), hist1, [*keys, "_b1"], "_b2")
-    third = second.select(*keys, "_b1", "_b2", "_v").join(
+    third = second.select(*keys, "_b1", "_b2", "_v", "_c").join(
         F.broadcast(hist2.select(*keys, "_b1", "_b2").distinct()), [*keys, "_b1", "_b2"]
     )
-    values = _relocate(
-        third.groupBy(*keys, "_b1", "_b2", "_v").agg(F.count(F.lit(1)).alias("_c")), hist2, [*keys, "_b1", "_b2"], "_v"
-    ).select(*keys, "_rank", "_v")
-    found = ranks.join(values, [*[ranks[k] == values[k] for k in keys], ranks["rank"] == values["_rank"]]).select(
-        *[ranks[k] for k in keys], "prob", "frac", "_v"
-    )
-    per_prob = found.groupBy(*keys, "prob", "frac").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-    at = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("frac")
-    return per_prob.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == name, at)).alias(name) for name in probs])
+    return _relocate(third, hist2, [*keys, "_b1", "_b2"], "_v").select(*keys, "_rank", "_v")
 
 
 def _wanted(probs: dict[str, float]) -> Column:
@@ -70,12 +81,12 @@ def _wanted(probs: dict[str, float]) -> Column:
 
 
 def _summary() -> list[Column]:
-    return [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    return [F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
 
-def _locate(hist: DataFrame, wanted: DataFrame, keys: list[str], cell: list[str], group: list[str]) -> DataFrame:
+def _locate(hist: DataFrame, wanted: DataFrame, keys: list[str], cell: str, group: list[str]) -> DataFrame:
     """Bucket rows holding a wanted rank: adds _rank (overall) and _inside (rank within the bucket)."""
-    order = Window.partitionBy(*group).orderBy(*cell) if group else Window.partitionBy(F.lit(0)).orderBy(*cell)
+    order = Window.partitionBy(*group).orderBy(cell)
     before = hist.withColumn("_before", F.sum("_c").over(order) - F.col("_c"))
     placed = _attach(before, wanted, keys, ["_ranks"])
     held = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))

@@ -113,7 +113,9 @@ def score_profiles(layer: DataFrame, profiles: DataFrame, curves: DataFrame) ->
     wanted = sorted({a for f in formulas for a in validate_formula(f)})
     wide = _wide_bytes(layer, wanted)
     entries = F.sort_array(F.collect_list(F.struct("byte", "lut_byte")))
-    lut = quantize_lut(curve_lut(curves.where(F.col("axis").isin(wanted)))).groupBy("profile", "axis").agg(
+    # spread by the grouping key before each curve fans out to 256 rows; the grouping then needs no shuffle
+    spread = curves.where(F.col("axis").isin(wanted)).repartition("profile", "axis")
+    lut = quantize_lut(curve_lut(spread)).groupBy("profile", "axis").agg(
         F.transform(entries, lambda s: s["lut_byte"].cast("double") / 255.0).alias("lut")
     )
     per_profile = lut.groupBy("profile").agg(*[F.max(F.when(F.col("axis") == a, F.col("lut"))).alias(f"l_{a}") for a in wanted])

@@ -6,14 +6,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placewise.operators import brush, prefix, ranking
+from placewise.operators import brush, prefix, quantile, ranking
 from placewise.operators.quantile import exact_quantiles
 
 PROBS = {"p1": 0.01, "median": 0.5, "p99": 0.99, "p995": 0.995, "top": 1.0}
 
 
 @pytest.mark.parametrize("case", ["uniform", "outlier", "constant", "few", "third", "one", "negative"])
-def test_quantiles_match_numpy(spark, case):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_quantiles_match_numpy(spark, monkeypatch, case, few):
+    monkeypatch.setattr(quantile, "FEW_VALUES", few)
     rng = np.random.default_rng(11)
     data = {
         "uniform": rng.random(3000), "outlier": np.append(rng.random(2000), [1e12, -1e9]), "constant": np.full(50, 4.25), "few": np.array([1.0, 2.0, 4.0]),
@@ -25,7 +27,9 @@ def test_quantiles_match_numpy(spark, case):
         assert row[name] == pytest.approx(np.quantile(data, p), rel=1e-12, abs=1e-12), name
 
 
-def test_quantiles_per_layer(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_quantiles_per_layer(spark, monkeypatch, few):
+    monkeypatch.setattr(quantile, "FEW_VALUES", few)
     rng = np.random.default_rng(2)
     layers = {k: rng.gamma(1.0 + i, size=400 + i) for i, k in enumerate("abc")}
     df = spark.createDataFrame([(k, float(v)) for k, vs in layers.items() for v in vs], "axis string, v double")
