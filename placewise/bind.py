@@ -21,7 +21,10 @@ _SCHEMAS: dict[str, StructType] = {}
 
 
 class Tables:
-    """The parquet tables of one folder and the shapes bound onto them."""
+    """The parquet tables of one folder and the shapes bound onto them.
+
+    ``nation`` and ``region`` are fixed at 25 and 5 rows at every scale, so they may be broadcast.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark

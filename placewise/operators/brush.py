@@ -57,7 +57,7 @@ def _levels(table: DataFrame) -> Column:
 def _join_ancestors(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
     """Join ancestor rows to ``table`` on its own (level, cx, cy).
 
-    Coarse ancestors are shared by very many cells; their side of the table is tiny and is broadcast, so
+    ``table`` holds each cell once. Coarse ancestors are shared by very many cells; their side of the table is tiny and is broadcast, so
     the hot keys never go through a shuffle. Finer levels meet in a shuffled join that AQE may split.
     """
     keyed = table.withColumnsRenamed({"level": "a_level", "cx": "a_cx", "cy": "a_cy"})
@@ -125,7 +125,7 @@ def mask_at(cells: DataFrame, mask: DataFrame) -> DataFrame:
     """Cells (level, cx, cy) that render as painted: paint in them, below them, or on an ancestor."""
     below = cells.join(mask_has(mask), QUAD, "left_semi")
     listed = cells.select(*QUAD).distinct().withColumn("_levels", _levels(mask))
-    above = _join_ancestors(ancestors(listed, True, F.col("_levels")), mask.select(*QUAD), "left_semi")
+    above = _join_ancestors(ancestors(listed, True, F.col("_levels")), mask.select(*QUAD).distinct(), "left_semi")
     return below.select(*QUAD).unionByName(above.select(*QUAD)).distinct()
 
 

@@ -100,7 +100,7 @@ def anchor_join(states: DataFrame, countries: DataFrame, *values: str) -> DataFr
 def merge_aliases(records: DataFrame, aliases: DataFrame, fields: list[str]) -> DataFrame:
     """Rename to the canonical spelling and merge what collides: per field the first non-NULL value,
     records taken in name order."""
-    renamed = records.join(F.broadcast(aliases), F.lower(records["name"]) == F.lower(aliases["alias"]), "left").select(
+    renamed = records.join(aliases, F.lower(records["name"]) == F.lower(aliases["alias"]), "left").select(
         "year", F.coalesce("canonical", "name").alias("_to"), "name", *fields
     )
     merged = renamed.groupBy("year", "_to").agg(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewise.session import materialised
+from placewise.session import broadcast_if_small, materialised
 
 BUCKETS = 4096
 #: Up to this many counted distinct values (all layers together) one ordered pass is cheaper.
@@ -54,16 +54,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: li
 
 def _narrowed(counts: DataFrame, span: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, _rank, _v) of the wanted ranks, by histogram, finer histogram, then distinct values."""
+    # two buckets per quantile and layer; with keys the number of layers is the caller's, so it is counted
+    small = broadcast_if_small if keys else F.broadcast
     first = _attach(counts, span, keys, ["_lo", "_hi"]).withColumn("_b1", _bucket("_v", "_lo", "_hi"))
     hist1 = _locate(first.groupBy(*keys, "_b1").agg(*_summary()), wanted, keys, "_b1", keys)
     second = (
         first.select(*keys, "_v", "_c", "_b1")
-        .join(F.broadcast(_slivers(hist1, [*keys, "_b1"])), [*keys, "_b1"])
+        .join(small(_slivers(hist1, [*keys, "_b1"])), [*keys, "_b1"])
         .withColumn("_b2", _bucket("_v", "_lo", "_hi"))
     )
     hist2 = _relocate(second.groupBy(*keys, "_b1", "_b2").agg(*_summary()), hist1, [*keys, "_b1"], "_b2")
     third = second.select(*keys, "_b1", "_b2", "_v", "_c").join(
-        F.broadcast(hist2.select(*keys, "_b1", "_b2").distinct()), [*keys, "_b1", "_b2"]
+        small(hist2.select(*keys, "_b1", "_b2").distinct()), [*keys, "_b1", "_b2"]
     )
     return _relocate(third, hist2, [*keys, "_b1", "_b2"], "_v").select(*keys, "_rank", "_v")
 

@@ -50,5 +50,8 @@ def gdp_tiers(gdp: DataFrame, pop: DataFrame, cell_adm1: DataFrame, cell_adm0: D
 
 
 def with_nearest_weights(years: DataFrame, weights: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Weights repeated under each data year that picked their year (year, weight_year in ``chosen``)."""
+    """Weights repeated under each data year that picked their year (year, weight_year in ``chosen``).
+
+    ``chosen`` has one row per data year, a few dozen, and is broadcast.
+    """
     return weights.withColumnRenamed("year", "weight_year").join(F.broadcast(chosen.select("year", "weight_year")), "weight_year").drop("weight_year")
