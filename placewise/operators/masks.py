@@ -15,7 +15,8 @@ def ocean_cells(elev: DataFrame) -> DataFrame:
 
 def null_cells(df: DataFrame, cells: DataFrame) -> DataFrame:
     """NULL the value wherever ``cells`` (distinct row, col) holds the cell."""
-    marked = cells.withColumn("_water", F.lit(True))
+    # both sides are grids, and lake cells come from small polygon tables: never broadcast them on an estimate
+    marked = cells.withColumn("_water", F.lit(True)).hint("merge")
     return df.join(marked, CELL, "left").withColumn("value", F.when(F.col("_water").isNull(), F.col("value"))).drop("_water")
 
 

@@ -1,4 +1,8 @@
-"""Moving layers between grid resolutions."""
+"""Moving layers between grid resolutions.
+
+Finer grids hold many more rows than an estimate from the coarse ones shows, so their tables ask for a
+sort-merge join and are never broadcast on that estimate.
+"""
 
 from __future__ import annotations
 
@@ -77,7 +81,7 @@ def resample_bilinear(df: DataFrame, source: Grid, target: Grid, keys: list[str]
     valid = spread.where(F.col("value").isNotNull() & ~F.isnan("value"))
     return valid.groupBy(*(keys or []), F.col("_row").alias("row"), F.col("_col").alias("col")).agg(
         (F.sum(F.col("value") * w) / F.sum(w)).alias("value")
-    )
+    ).hint("merge")
 
 
 def resample_nearest(df: DataFrame, source: Grid, target: Grid) -> DataFrame:
@@ -89,4 +93,4 @@ def resample_nearest(df: DataFrame, source: Grid, target: Grid) -> DataFrame:
         first = F.greatest(F.ceil(F.col(axis) / ratio - 0.5).cast("int"), F.lit(0))
         last = F.least(F.ceil((F.col(axis) + 1) / ratio - 0.5).cast("int") - 1, F.lit(size - 1))
         spread = spread.where(first <= last).withColumn(f"_{axis}", F.explode(F.sequence(first, last)))
-    return spread.drop("row", "col").withColumnsRenamed({"_row": "row", "_col": "col"})
+    return spread.drop("row", "col").withColumnsRenamed({"_row": "row", "_col": "col"}).hint("merge")

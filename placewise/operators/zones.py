@@ -3,6 +3,9 @@
 A polygon becomes its edges, an edge becomes the grid rows it crosses, and the sorted crossings of one
 polygon in one row pair up into cell ranges. Work is spread by (polygon, row), so one huge polygon is cut
 into as many pieces as it has rows.
+
+The cells of a few polygons can be many millions, which no size estimate made from the polygons shows.
+Cell tables therefore ask for a sort-merge join, lest they be broadcast on such an estimate.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ def cells_by_centre(zones: DataFrame, grid: Grid) -> DataFrame:
     inside = runs.where(F.size("_xs") >= 2).select("ord", "row", F.explode(pairs).alias("_p"))
     start = F.greatest(F.ceil(grid.x_pos(F.col("_p.a")) - 0.5).cast("int"), F.lit(0))
     stop = F.least(F.ceil(grid.x_pos(F.col("_p.b")) - 0.5).cast("int") - 1, F.lit(grid.width - 1))
-    return inside.select("ord", "row", F.explode(_span(start, stop)).alias("col"))
+    return inside.select("ord", "row", F.explode(_span(start, stop)).alias("col")).hint("merge")
 
 
 def cells_on_edges(zones: DataFrame, grid: Grid) -> DataFrame:
@@ -73,7 +76,7 @@ def assign_zones(zones: DataFrame, grid: Grid, all_touched: bool = False) -> Dat
     cells = cells_by_centre(zones, grid)
     if all_touched:
         cells = cells.unionByName(cells_on_edges(zones, grid))
-    return cells.groupBy(*CELL).agg(F.max("ord").alias("zone"))
+    return cells.groupBy(*CELL).agg(F.max("ord").alias("zone")).hint("merge")
 
 
 def zone_ids(zones: DataFrame) -> DataFrame:

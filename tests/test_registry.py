@@ -67,3 +67,13 @@ def test_flagship_reads_three_columns_and_keeps_no_sort(spark):
 
 def test_top_n_is_trimmed_before_the_shuffle(spark):
     assert plan(spark, "w04_top_n_per_cell").count("WindowGroupLimit") == 2
+
+
+def test_grids_made_from_polygons_are_not_broadcast_on_estimates(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        text = plan(spark, "a07_zonal_mean")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
