@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +32,40 @@ def build_session(master: str | None = None, app: str = "placewise", **conf: str
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a private one only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a session whose driver and tasks are one process may go without: there, and only there, a folder of this
+    machine serves. Elsewhere other machines would not find the files, so an unset folder is an error.
+    """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="placewise-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="placewise-checkpoint-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder; what is written there goes when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as parquet into the shared folder and read back.
+
+    Later steps read their columns only, and lost executors take nothing with them.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: A side of a join is broadcast only when it has been counted to hold no more rows than this.
@@ -58,5 +87,4 @@ def materialised(df: DataFrame) -> DataFrame:
 
     For tables that several later steps read; they survive the loss of executors.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df)
