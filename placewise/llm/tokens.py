@@ -191,12 +191,18 @@ def read_sequences(spark: SparkSession, folder: str, manifest: list[dict], key_t
     return paths.mapInArrow(read, f"{key} {key_type}, start long, n_tokens long, ids_crc32 long")
 
 
+def _uri(folder: str) -> str:
+    """``scheme:/path`` as ``scheme:///path``; a bare path is made absolute."""
+    scheme, colon, path = folder.partition(":/")
+    if not colon:
+        return os.path.abspath(folder)
+    return folder if path.startswith("/") else f"{scheme}:///{path}"
+
+
 def token_table(docs: DataFrame, vocabulary: str, end: int, folder: str | None = None, **options) -> DataFrame:
     """Write ``docs`` as sequences and give the table that :func:`read_sequences` reads from the files."""
     spark = docs.sparkSession
-    folder = folder or shared_path(spark, "sequences")
-    if "://" not in folder and not folder.startswith("/"):
-        folder = os.path.abspath(folder)
+    folder = _uri(folder or shared_path(spark, "sequences"))
     key = options.get("key", "doc_id")
     manifest = write_sequences(docs, vocabulary, folder, end, **options)
     return read_sequences(spark, folder, manifest, dict(docs.dtypes)[key], key)
