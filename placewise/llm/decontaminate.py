@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placewise.llm.blocks import bit_filter, may_hold
 from placewise.llm.text import shingle_sets, shingles, text_blocks, words
 from placewise.session import written
 
@@ -81,22 +82,13 @@ def tiles(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST) -> list[tuple[
 def _seed_filter(items: DataFrame, text: str):
     """A fixed number of bits, set where a seed of the benchmark falls."""
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for _, data, offsets in text_blocks(rows, text):
                 for s in shingle_sets(data, offsets, SHORTEST):
-                    yield pa.RecordBatch.from_pydict({"bit": pa.array((s % np.uint64(FILTER_BITS)).astype(np.int32))})
+                    yield pa.RecordBatch.from_pydict({"seed": pa.array(s.view(np.int64))})
 
-    field = np.zeros(FILTER_BITS // 8, np.uint8)
-    words_of = items.select(text).mapInArrow(bits, "bit int").groupBy(F.expr("bit div 8 as byte")).agg(F.bit_or(F.expr("shiftleft(1, bit % 8)")).alias("set"))
-    for r in words_of.toLocalIterator():
-        field[r["byte"]] = r["set"]
-    return items.sparkSession.sparkContext.broadcast(field)
-
-
-def _hit(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = hashes % np.uint64(FILTER_BITS)
-    return (field[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return bit_filter(items.select(text).mapInArrow(seeds, "seed long"), "seed", FILTER_BITS)
 
 
 def _regions(hashes: np.ndarray, hits: np.ndarray, width: int) -> np.ndarray:
@@ -142,7 +134,7 @@ def findings(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text
             for part, data, offsets in text_blocks(rows, "t"):
                 hashes, at = words(data, offsets)
                 runs, of = shingles(hashes, at, SHORTEST)
-                hit = np.flatnonzero(_hit(field.value, runs))
+                hit = np.flatnonzero(may_hold(field.value, runs))
                 bounds = np.searchsorted(hit, of)
                 out: dict[str, list] = {"h": [], "doc_words": [], "seeds": []}
                 for k in np.flatnonzero(np.diff(bounds)).tolist():
@@ -195,7 +187,7 @@ def remove(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text:
             for rows in batches:
                 for part, data, offsets in text_blocks(rows, text):
                     runs, of = shingles(*words(data, offsets), SHORTEST)
-                    sums = np.r_[0, np.cumsum(_hit(field.value, runs))]
+                    sums = np.r_[0, np.cumsum(may_hold(field.value, runs))]
                     yield part.filter(pa.array((sums[of[1:]] > sums[of[:-1]]) == touched))
 
         return docs.mapInArrow(run, T.StructType(docs.schema.fields))
