@@ -140,8 +140,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches with an equal one in a smaller document are marks; the first of each kind stays where kinds differ."""
-        for table in whole_groups(batches, ["late", "b"]):
-            bucket_new, kind_new = changes(table, ["late", "b"]), changes(table, ["late", "b", "x"])
+        for table in whole_groups(batches, ["b", "late"]):
+            bucket_new, kind_new = changes(table, ["b", "late"]), changes(table, ["b", "late", "x"])
             ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
             first = ids[np.flatnonzero(kind_new)[np.cumsum(kind_new) - 1]]
             kinds = np.add.reduceat(kind_new.astype(np.int64), np.flatnonzero(bucket_new))[np.cumsum(bucket_new) - 1]
@@ -150,7 +150,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             part = table.filter(pa.array(keep))
             yield pa.RecordBatch.from_pydict({"b": part.column("b").combine_chunks(), "id": part.column("id").combine_chunks(), "start": part.column("start").combine_chunks(), "n": pa.array(n[keep] + length - 1, pa.int32()), "mark": pa.array(mark[keep]), "kinds": pa.array(kinds[keep])})
 
-    found = docs.where("id IS NOT NULL").mapInArrow(cut, "late boolean, b long, id long, start long, n int, x int").repartition("b").sortWithinPartitions("late", "b", "x", "id", "start")
+    found = docs.where("id IS NOT NULL").mapInArrow(cut, "late boolean, b long, id long, start long, n int, x int").repartition("b").sortWithinPartitions("b", "late", "x", "id", "start")
     found = written(found.mapInArrow(meet, "b long, id long, start long, n int, mark boolean, kinds long"), "stretches")
     mixed = found.where("NOT mark").groupBy("id").agg(F.collect_list(F.struct("b", "start", "n", "kinds")).alias("parts"))
 
