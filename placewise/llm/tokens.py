@@ -22,24 +22,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.llm.text import text_blocks
-from placewise.llm.units import UnitEncoder
+from placewise.llm.units import LONGEST, MOST, UnitEncoder
 from placewise.session import shared_path
 
 #: Tokens of a sequence, and sequences of a record batch.
 LENGTH, BATCH = 2048, 256
 _MANIFEST = "shard int, sequences string, documents string, n_tokens long, n_documents long"
+# fixed values of byte-level BPE: how text is cut, and the characters that stand for bytes which aren't printed
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SHOWN = {b: 256 + k for k, b in enumerate([*range(0, 33), *range(127, 161), 173])}
 _encoders: dict[tuple, UnitEncoder] = {}
 
 
 def encoder(path: str, dtype: str) -> UnitEncoder:
-    """The byte-level BPE of a tokenizers file; special tokens in a text are ordinary text."""
+    """The byte-level BPE of a tokenizers file; special tokens in a text are ordinary text.
+
+    A unit is cut as the byte-level pre-tokenizer does, and the file's merges are applied to each distinct piece.
+    """
     if (path, dtype) not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-        _encoders[path, dtype] = UnitEncoder(lambda units: [np.array(e.ids, dtype).tobytes() for e in model.encode_batch_fast(units, add_special_tokens=False)])
+        cut, merge = regex.compile(PIECES).findall, Tokenizer.from_file(path).model.tokenize
+        pieces: dict[str, bytes] = {}
+
+        def piece(p: str) -> bytes:
+            if (ids := pieces.get(p)) is None:
+                ids = np.array([t.id for t in merge(p.encode().decode("latin-1").translate(_SHOWN))], dtype).tobytes()
+                if len(pieces) >= MOST:
+                    pieces.clear()
+                if len(p) <= LONGEST:
+                    pieces[p] = ids
+            return ids
+
+        _encoders[path, dtype] = UnitEncoder(lambda units: [b"".join([piece(p) for p in cut(u)]) for u in units])
     return _encoders[path, dtype]
 
 
@@ -155,7 +171,7 @@ def write_sequences(docs: DataFrame, vocabulary: str, folder: str, end: int, len
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "sequences": [names[0]], "documents": [names[1]], "n_tokens": pa.array([writer.total], pa.int64()), "n_documents": pa.array([n_docs], pa.int64())})
 
     ordered = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
-    return [r.asDict() for r in ordered.mapInArrow(write, _MANIFEST).orderBy("shard").collect()]
+    return sorted((r.asDict() for r in ordered.mapInArrow(write, _MANIFEST).collect()), key=lambda r: r["shard"])
 
 
 def read_sequences(spark: SparkSession, folder: str, manifest: list[dict], key_type: str = "long", key: str = "doc_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tokenising by units that no token crosses, each distinct one encoded once per worker."""
+"""Tokenising by units that no token crosses, each distinct one encoded once per worker while memory allows."""
 
 from __future__ import annotations
 
@@ -7,15 +7,17 @@ from collections.abc import Callable
 
 #: Where a single blank stands between two characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space beside a blank, where splitting at every blank would be wrong.
-_BESIDE = re.compile(r"  | [^\S ]|[^\S ] ")
+#: White space other than blanks and line feeds.
+_OTHER = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Units longer than this are not remembered, and no more units than this are.
-LONGEST, MOST = 64, 600_000
+LONGEST, MOST = 64, 1_000_000
 
 
 def cut(text: str) -> list[str]:
     """``text`` cut at its single blanks; all but the first unit lack the blank before them."""
-    return CUT.split(text) if _BESIDE.search(text) else text.split(" ")
+    if "  " in text or " \n" in text or "\n " in text or _OTHER.search(text):
+        return CUT.split(text)
+    return text.split(" ")
 
 
 class UnitEncoder:
@@ -29,24 +31,22 @@ class UnitEncoder:
         self.encode, self.marks, self.split = encode, (head, tail), split
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def _learn(self, which: int, units: set[str]) -> dict[str, bytes]:
+    def _units(self, which: int, units: list[str]) -> bytes:
         known = self.known[which]
-        new = list(units.difference(known))
+        parts = list(map(known.get, units))
+        if None not in parts:
+            return b"".join(parts)
+        new = list({u for u, p in zip(units, parts) if p is None})
+        made = dict(zip(new, self.encode([self.marks[which] + u for u in new])))
+        out = b"".join([made[u] if p is None else p for u, p in zip(units, parts)])
         if len(known) + len(new) > MOST:
             known.clear()
-            new = list(units)
-        known.update(zip(new, self.encode([self.marks[which] + u for u in new])))
-        return known
+        known.update((u, ids) for u, ids in made.items() if len(u) <= LONGEST)
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.split(t) for t in texts]
-        heads, tails = {u[0] for u in cuts}, set().union(*(u[1:] for u in cuts))
-        get = self._learn(0, heads).__getitem__
-        first = [get(u[0]) for u in cuts]
-        get = self._learn(1, tails).__getitem__
-        out = [a + b"".join(map(get, u[1:])) for a, u in zip(first, cuts)]
-        for known, units in zip(self.known, (heads, tails)):
-            for u in units:
-                if len(u) > LONGEST:
-                    known.pop(u, None)
+        out = []
+        for text in texts:
+            first, *rest = self.split(text)
+            out.append(self._units(0, [first]) + self._units(1, rest))
         return out
