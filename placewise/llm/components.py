@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,13 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+def roots(linked: np.ndarray) -> np.ndarray:
+    """For each vector the first of those it is connected with inside a tile."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

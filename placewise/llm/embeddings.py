@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.components import connected_components
+from placewise.llm.components import connected_components, roots
 from placewise.llm.segments import runs
 from placewise.session import written
 
@@ -80,7 +80,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
                 continue
             for k in range(t):
                 linked &= s[:, k][:, None] != s[:, k][None, :]
-            yield pa.RecordBatch.from_pydict({"rep": pa.array(rep), "links": pa.array(linked @ n), "near": pa.array(rep[_roots(linked)])})
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(rep), "links": pa.array(linked @ n), "near": pa.array(rep[roots(linked)])})
 
     dealt = met.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi", "rep")
     found = written(dealt.mapInArrow(compare, "rep long, links long, near long").where("links > 0 OR rep != near"), "links")
@@ -90,14 +90,3 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     classes = classes.select("h", F.col("v").alias("_v"), F.col("g").alias("_g"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = held.alias("a").join(classes.alias("c"), (F.col("a.h") == F.col("c.h")) & (F.col("a.v") == F.col("c._v")) & (F.col("a.g") == F.col("c._g")) & F.col("a.id").isNotNull(), "left")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
-
-
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """For each vector the first of those it is connected with inside a tile."""
-    label = np.arange(len(linked))
-    while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(axis=1))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new

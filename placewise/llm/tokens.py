@@ -43,12 +43,14 @@ def encoder(path: str, dtype: str) -> UnitEncoder:
         import regex
         from tokenizers import Tokenizer
 
-        cut, merge = regex.compile(PIECES).findall, Tokenizer.from_file(path).model.tokenize
+        model = Tokenizer.from_file(path)
+        cut, merge = regex.compile(PIECES).findall, model.model.tokenize
+        raw = [i.to_bytes(np.dtype(dtype).itemsize, "little") for i in range(model.get_vocab_size())]
         pieces: dict[str, bytes] = {}
 
         def piece(p: str) -> bytes:
             if (ids := pieces.get(p)) is None:
-                ids = np.array([t.id for t in merge(p.encode().decode("latin-1").translate(_SHOWN))], dtype).tobytes()
+                ids = b"".join([raw[t.id] for t in merge(p.encode().decode("latin-1").translate(_SHOWN))])
                 if len(pieces) >= MOST:
                     pieces.clear()
                 if len(p) <= LONGEST:
