@@ -30,7 +30,7 @@ LOW, HIGH = -10, 23
 LEVEL = 15
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _SPREAD = [bytes([(c + 85 * k) % 256 for k in range(3)]) for c in range(256)]
-_MOST = 600_000
+_MOST = 250_000
 _scorers: dict[int, Scorer] = {}
 
 
@@ -157,8 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for rows in batches:
             yield pa.RecordBatch.from_pydict({"x": pa.array(list(scorer.features(rows.column("t").to_pylist()))), "y": rows.column("y")})
 
-    rows = sample.repartition(16, F.xxhash64("t")).mapInArrow(measure, "x array<double>, y int").orderBy("x").collect()
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
+    rows = sample.repartition(16, F.xxhash64("t")).mapInArrow(measure, "x array<double>, y int").collect()
+    x, y = map(np.array, zip(*sorted((r["x"], r["y"]) for r in rows)))
     weight = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum())) * len(y) / sum(total.values())
     return ToxicityModel(*dictionaries, *_logistic(x, y, weight))
 

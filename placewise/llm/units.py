@@ -10,7 +10,7 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than blanks and line feeds.
 _OTHER = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Units longer than this are not remembered, and no more units than this are.
-LONGEST, MOST = 64, 1_000_000
+LONGEST, MOST = 64, 250_000
 
 
 def cut(text: str) -> list[str]:
