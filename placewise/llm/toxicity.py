@@ -23,8 +23,8 @@ from placewise.llm.text import text_blocks
 
 #: The bounded sample: labelled documents of either class at most, taken in order of a hash of their key.
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2_000, 6_000
-#: Documents of the sample that a word of a dictionary must be in, and words of a dictionary at most.
-TOXIC_SUPPORT, ORDINARY_SUPPORT, WORDS = 16, 8, 100_000
+#: Share of a class's documents in the sample that a word of its dictionary must be in, LEAST at least, and words at most.
+TOXIC_SUPPORT, ORDINARY_SUPPORT, LEAST, WORDS = 0.008, 0.0013, 3, 100_000
 #: Differences of compressed lengths in bytes that are told apart.
 LOW, HIGH = -10, 23
 LEVEL = 15
@@ -143,8 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 found = sorted(set(window_words(t)))
                 yield pa.RecordBatch.from_pydict({"w": pa.array(found, pa.binary()), "y": pa.array([y] * len(found), pa.int32())})
 
+    sizes = [min(total.get(1, 0), TOXIC_SAMPLE), min(total.get(0, 0), ORDINARY_SAMPLE)]
+    supports = [max(LEAST, round(n * share)) for n, share in zip(sizes, (TOXIC_SUPPORT, ORDINARY_SUPPORT))]
     counts = sample.mapInArrow(distinct_words, "w binary, y int").groupBy("y", "w").agg(F.count("*").alias("n"))
-    dictionaries = [_dictionary(counts.where((F.col("y") == y) & (F.col("n") >= least)).orderBy(F.desc("n"), "w").limit(WORDS).collect()) for y, least in ((1, TOXIC_SUPPORT), (0, ORDINARY_SUPPORT))]
+    dictionaries = [_dictionary(counts.where((F.col("y") == y) & (F.col("n") >= least)).orderBy(F.desc("n"), "w").limit(WORDS).collect()) for y, least in zip((1, 0), supports)]
     columns = 2 * (HIGH + 1) + 1
     share = (total.get(1, 0) + 1) / (sum(total.values()) + 2)
     flat = ToxicityModel(*dictionaries, np.zeros(columns), np.ones(columns), np.r_[np.zeros(columns), np.log(share / (1 - share))])
