@@ -63,8 +63,8 @@ def to_byte(value: Column, lo, hi, log: bool = False, invert: bool = False) -> C
 
 
 def share_to_byte(value: Column, share: Column) -> Column:
-    """0..1 to 1..255; 0 where ``value``, which the share was made from, is missing."""
-    return F.when(value.isNotNull(), truncate(squeeze(share * 254.0 + 1.0, 1.0, 255.0))).otherwise(F.lit(0))
+    """0..1 to 1..255; 0 where ``value``, which the share was made from, is missing or no number."""
+    return F.when(value.isNotNull() & ~F.isnan(value), truncate(squeeze(share * 254.0 + 1.0, 1.0, 255.0))).otherwise(F.lit(0))
 
 
 def _log_bound(bound: float, apply: bool) -> float:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placewise import dims
 from placewise.operators.aggregate import positive_mean
-from placewise.session import broadcast_if_small
+from placewise.session import materialised
 
 CELL = ["row", "col"]
 YEARS_COVERED = 50.0
@@ -54,7 +54,7 @@ def calibrate(intensity: DataFrame, cell_zone: DataFrame, rates: DataFrame) -> D
         .join(global_rates(rates, cell_zone), "hazard", "left")
         .select("hazard", (F.col("global_rate") / F.nullif(F.col("mean"), F.lit(0.0))).alias("_per_unit"))
     )
-    zone_stats = broadcast_if_small(zone_stats)
+    zone_stats = materialised(zone_stats)
     flat = (F.col("_rate") > 0) & (F.col("_mean") <= 0)
     relative = F.col("_rate") * F.col("intensity") / F.nullif(F.col("_mean"), F.lit(0.0))
     country = F.when((F.col("_rate") > 0) & (F.col("_mean") > 0), F.least(relative, F.col("_rate") * dims.RATE_CAP_MULTIPLIER)).otherwise(F.lit(0.0))

@@ -1,8 +1,8 @@
 """Exact quantiles without gathering the values.
 
-Equal values are counted first, and the counts are written once for the passes that follow. Few distinct
-values are simply ordered. Otherwise two rounds of histograms narrow each wanted rank down to a sliver of
-the value range, and only the distinct values of that sliver are ordered. Every step is a partially
+Equal values are counted first, and the counts are written once for the passes that follow. Two rounds of
+histograms, the first by decades, the second linear, narrow each wanted rank down to a sliver of the value
+range, and only the distinct values of that sliver are ordered. Every step is a partially
 aggregated ``groupBy`` over at most ``BUCKETS`` groups per layer, so neither many rows nor many equal
 values load one task.
 """
@@ -12,15 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewise.session import broadcast_if_small, materialised
+from placewise.session import materialised
 
 BUCKETS = 4096
-#: Up to this many counted distinct values (all layers together) one ordered pass is cheaper.
-FEW_VALUES = 500_000
+def _decades(value: Column) -> Column:
+    """A scale in the order of the values on which decades are equally wide, on both sides of zero."""
+    return F.when(F.abs(value) < 1e-300, F.lit(0.0)).otherwise(F.signum(value) * (F.log(F.abs(value)) + 700.0))
 
 
-def _bucket(value: str, lo: str, hi: str) -> Column:
-    share = (F.col(value) - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0))
+def _bucket(value: str, lo: str, hi: str, scale=lambda c: c) -> Column:
+    value, lo, hi = scale(F.col(value)), scale(F.col(lo)), scale(F.col(hi))
+    share = (value - lo) / F.nullif(hi - lo, F.lit(0.0))
     return F.least(F.coalesce(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
 
 
@@ -41,10 +43,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: li
 
     ranks = span.select(*keys, F.explode(_wanted(probs)).alias("_w")).select(*keys, "_w.*")
     wanted = ranks.groupBy(*keys).agg(F.sort_array(F.collect_set("rank")).alias("_ranks"))
-    if counts.count() <= FEW_VALUES:
-        values = _locate(counts, wanted, keys, "_v", keys)
-    else:
-        values = _narrowed(counts, span, wanted, keys)
+    values = _narrowed(counts, span, wanted, keys)
 
     found = ranks.join(values.withColumnRenamed("_rank", "rank"), [*keys, "rank"]).select(*keys, "prob", "frac", "_v")
     per_prob = found.groupBy(*keys, "prob", "frac").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
@@ -54,9 +53,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], keys: li
 
 def _narrowed(counts: DataFrame, span: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, _rank, _v) of the wanted ranks, by histogram, finer histogram, then distinct values."""
-    # two buckets per quantile and layer; with keys the number of layers is the caller's, so it is counted
-    small = broadcast_if_small if keys else F.broadcast
-    first = _attach(counts, span, keys, ["_lo", "_hi"]).withColumn("_b1", _bucket("_v", "_lo", "_hi"))
+    # two buckets per quantile and layer; with keys the number of layers is the caller's, so Spark measures it
+    small = (lambda df: df) if keys else F.broadcast
+    first = _attach(counts, span, keys, ["_lo", "_hi"]).withColumn("_b1", _bucket("_v", "_lo", "_hi", _decades))
     hist1 = _locate(first.groupBy(*keys, "_b1").agg(*_summary()), wanted, keys, "_b1", keys)
     second = (
         first.select(*keys, "_v", "_c", "_b1")

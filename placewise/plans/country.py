@@ -10,7 +10,7 @@ from placewise.functions.grid import Grid
 from placewise.operators.aggregate import CELL
 from placewise.operators.names import map_names
 from placewise.operators.zones import assign_zones
-from placewise.session import broadcast_if_small
+from placewise.session import materialised
 
 
 def country_layer(zones: DataFrame, scores: DataFrame, grid: Grid) -> DataFrame:
@@ -23,5 +23,5 @@ def country_layer(zones: DataFrame, scores: DataFrame, grid: Grid) -> DataFrame:
     matched = map_names(zones, scores.select("key", "ordinal"), groups).join(scores.select("key", "value"), "key")
     scored = zones.join(matched.select("name", "value"), "name")
     cells = assign_zones(scored.select("ord", "rings"), grid)
-    values = broadcast_if_small(scored.select(F.col("ord").alias("zone"), "value"))
+    values = materialised(scored.select(F.col("ord").alias("zone"), "value"))
     return cells.join(values, "zone").select(*CELL, "value")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placewise.functions.grid import Grid
 from placewise.operators.aggregate import CELL, latest_per_key
 from placewise.operators.zones import assign_zones, region_join
-from placewise.session import broadcast_if_small
+from placewise.session import materialised
 
 FIELDS = ["country", "region", "shdi", "health", "education", "income", "lifexp", "esch_yrs", "gnic"]
 
@@ -20,7 +20,7 @@ def development_lookup(polygons: DataFrame, records: DataFrame, grid: Grid) -> t
     """
     latest = latest_per_key(records, "code", "year", "line_no", *FIELDS)
     matched = region_join(polygons, latest)
-    ids = broadcast_if_small(matched.select(F.col("ord").alias("_o"), F.col("zone").alias("_z")))
+    ids = materialised(matched.select(F.col("ord").alias("_o"), F.col("zone").alias("_z")))
     cells = assign_zones(matched.select("ord", "rings"), grid, all_touched=True)
     by_cell = cells.join(ids, F.col("zone") == F.col("_o")).select(*CELL, F.col("_z").alias("zone"))
     regions = matched.select("zone", "code", "year", *FIELDS).distinct()

@@ -10,7 +10,7 @@ from placewise.functions.grid import Grid, cell_clamped
 from placewise.functions.rounding import clamp
 from placewise.operators.aggregate import CELL, fuel_breakdown, grid_sum
 from placewise.operators.names import map_names
-from placewise.session import broadcast_if_small
+from placewise.session import materialised
 
 MAX_BOOST = 30.0
 
@@ -47,7 +47,7 @@ def energy_balance(plants: DataFrame, balance: DataFrame, cell_zone: DataFrame,
     capacity = grid_sum(cell_clamped(plants, grid), "capacity")
     logs = capacity.select(*CELL, F.when(F.col("value") > 0, F.log1p("value")).otherwise(F.lit(0.0)).alias("_log"))
     top = logs.agg(F.max("_log")).scalar()
-    country = cell_zone.join(broadcast_if_small(balance), "zone").select(*CELL, "score")
+    country = cell_zone.join(materialised(balance), "zone").select(*CELL, "score")
     boost = F.when(F.col("_top") > 0, F.coalesce("_log", F.lit(0.0)) / F.col("_top") * MAX_BOOST).otherwise(F.lit(0.0))
     blended = country.join(logs, CELL, "left").withColumn("_top", top)
     return blended.select(*CELL, clamp(F.col("score") + boost, 0.0, 100.0).alias("value"))

@@ -68,20 +68,6 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A side of a join is broadcast only when it has been counted to hold no more rows than this.
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` computed once and, only if counted small, marked for broadcast.
-
-    For per-zone tables joined to every cell: a broadcast spares the cells a shuffle on a key that one
-    large country may dominate. Beyond the limit the join shuffles and AQE splits the hot keys.
-    """
-    kept = materialised(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
-
-
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder.
 

@@ -249,8 +249,7 @@ def clean_indicator_xml(raw: DataFrame) -> DataFrame:
 
 def read_fiw_wide(spark: SparkSession, path: str) -> DataFrame:
     """The wide ratings sheet, exported as CSV with its two header rows."""
-    first = spark.read.text(path).first()[0]
-    labels = [c.strip().strip('"') for c in first.split(",")]
+    labels = [(c or "").strip() for c in spark.read.csv(path).first()]
     columns = [f"c{i}" for i in range(len(labels))]
     raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("mode", "PERMISSIVE").csv(path)
     return clean_fiw_wide(raw, dict(zip(columns, labels)))
@@ -302,8 +301,11 @@ def clean_fiw_cats(raw: DataFrame) -> DataFrame:
 
 
 def read_zones(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
-    """Features of GeoJSON collections, one collection per file, numbered in file order."""
-    return geojson_zones(spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc"), properties)
+    """Features of GeoJSON collections, one collection per file, numbered by file, then place in it."""
+    docs = spark.read.text(path, wholetext=True)
+    files = F.array(*map(F.lit, sorted(docs.inputFiles())))
+    docs = docs.select(F.col("value").alias("doc"), F.array_position(files, F.input_file_name()).alias("file_no"))
+    return geojson_zones(docs, properties)
 
 
 def geojson_zones(docs: DataFrame, properties: list[str]) -> DataFrame:
@@ -311,7 +313,10 @@ def geojson_zones(docs: DataFrame, properties: list[str]) -> DataFrame:
     fields = ",".join(f"`{p}`:string" for p in properties)
     feature = f"struct<properties:struct<{fields}>,geometry:struct<type:string,coordinates:string>>"
     features = F.from_json(F.get_json_object("doc", "$.features"), f"array<{feature}>")
-    rows = docs.select(F.posexplode(features).alias("ord", "_f"))
+    if "file_no" in docs.columns:
+        rows = docs.select("file_no", F.posexplode(features).alias("pos", "_f")).select(((F.col("file_no") - 1) * (1 << 32) + F.col("pos")).alias("ord"), "_f")
+    else:
+        rows = docs.select(F.posexplode(features).alias("ord", "_f"))
     coordinates = F.col("_f.geometry.coordinates")
     polygon = F.from_json(coordinates, "array<array<array<double>>>")
     multi = F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>"))

@@ -75,8 +75,11 @@ def build_catalog(artefacts: DataFrame) -> DataFrame:
 
 
 def layer_fingerprint(layer: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (cells, version): ten hex digits that change with any cell, in whatever order rows come."""
-    row_hash = F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in columns]), 256)
+    """One row (cells, version): ten hex digits that change with any cell, in whatever order rows come.
+
+    A missing value is hashed as a zero character, so that it counts at its place.
+    """
+    row_hash = F.sha2(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]), 256)
     folded = layer.agg(
         F.count(F.lit(1)).alias("cells"),
         F.sum(F.conv(F.substring(row_hash, 1, 12), 16, 10).cast("decimal(20,0)")).alias("_a"),

@@ -24,6 +24,11 @@ def test_linear_bytes(spark):
     assert values(df, e.to_byte(F.col("v"), 0, 10)) == [1, 255, 255, 0]
 
 
+def test_no_number_is_missing(spark):
+    df = column(spark, [float("nan"), float("inf"), float("-inf")])
+    assert values(df, e.to_byte(F.col("v"), 0, 10)) == [0, 255, 1]
+
+
 def test_equal_bounds(spark):
     df = column(spark, [5.0, 9.0])
     assert values(df, e.to_byte(F.col("v"), 5, 5)) == [1, 255]

@@ -6,20 +6,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placewise.operators import brush, prefix, quantile, ranking
-from placewise.operators.quantile import exact_quantiles
+from placewise.operators import brush, prefix, ranking
+from placewise.operators.quantile import _bucket, _decades, exact_quantiles
 
 PROBS = {"p1": 0.01, "median": 0.5, "p99": 0.99, "p995": 0.995, "top": 1.0}
 
 
-@pytest.mark.parametrize("case", ["uniform", "outlier", "constant", "few", "third", "one", "negative"])
-@pytest.mark.parametrize("few", [0, 500_000])
-def test_quantiles_match_numpy(spark, monkeypatch, case, few):
-    monkeypatch.setattr(quantile, "FEW_VALUES", few)
+@pytest.mark.parametrize("case", ["uniform", "outlier", "constant", "few", "third", "one", "negative", "decades"])
+def test_quantiles_match_numpy(spark, case):
     rng = np.random.default_rng(11)
     data = {
         "uniform": rng.random(3000), "outlier": np.append(rng.random(2000), [1e12, -1e9]), "constant": np.full(50, 4.25), "few": np.array([1.0, 2.0, 4.0]),
         "third": np.concatenate([np.full(1000, 0.5), rng.normal(size=2000)]), "one": np.array([7.0]), "negative": -np.exp(rng.normal(size=1500) * 4),
+        "decades": 10.0 ** rng.uniform(-10, 11, 3000),
     }[case]
     df = spark.createDataFrame([(float(v),) for v in data] + [(None,), (float("nan"),)], "v double")
     row = exact_quantiles(df, "v", PROBS).first()
@@ -27,9 +26,7 @@ def test_quantiles_match_numpy(spark, monkeypatch, case, few):
         assert row[name] == pytest.approx(np.quantile(data, p), rel=1e-12, abs=1e-12), name
 
 
-@pytest.mark.parametrize("few", [0, 500_000])
-def test_quantiles_per_layer(spark, monkeypatch, few):
-    monkeypatch.setattr(quantile, "FEW_VALUES", few)
+def test_quantiles_per_layer(spark):
     rng = np.random.default_rng(2)
     layers = {k: rng.gamma(1.0 + i, size=400 + i) for i, k in enumerate("abc")}
     df = spark.createDataFrame([(k, float(v)) for k, vs in layers.items() for v in vs], "axis string, v double")
@@ -38,6 +35,13 @@ def test_quantiles_per_layer(spark, monkeypatch, few):
         assert [got[k][n] for n in PROBS] == pytest.approx([np.quantile(vs, p) for p in PROBS.values()])
 
 
+def test_decades_leave_few_values_in_a_bucket(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(v),) for v in 10.0 ** rng.uniform(-10, 11, 20_000)], "v double").withColumns({"lo": F.lit(1e-10), "hi": F.lit(1e11)})
+    most = df.groupBy(_bucket("v", "lo", "hi", _decades)).count().agg(F.max("count")).first()[0]
+    assert most < 30
+
+
 def test_quantile_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert exact_quantiles(df, "v", {"m": 0.5}).first().m is None

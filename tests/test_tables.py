@@ -71,6 +71,30 @@ def test_freedom_sheets(spark, tmp_path, rows):
     assert (row.year, row.cat_A, row.cat_B, row.cat_C, row.total) == (2023, 100.0, 50.0, None, 77.0)
 
 
+def test_edition_label_with_a_comma(spark, tmp_path):
+    path = write(tmp_path, "wide.csv", 'Survey edition,1972,,,"1973, 1974-1975",,,2022\nYear,PR,CL,S,PR,CL,S,PR,CL\nAland,1,1,F,7,7,NF,1,7\n')
+    columns = readers.fiw_editions(dict(zip("abcdefgh", ["Survey edition", "1972", "", "", "1973, 1974-1975", "", "", "2022"])))
+    assert sorted(columns) == [1971, 1974]
+    assert ("Aland", 1974, 0.0) in rows_of(readers.read_fiw_wide(spark, path))
+
+
+def rows_of(df):
+    return [(r.country, r.year, r.fiw) for r in df.collect()]
+
+
+def test_geojson_files_keep_apart(spark, tmp_path):
+    square = {"type": "Polygon", "coordinates": [[[0, 0], [0, 1], [1, 1], [0, 0]]]}
+    doc = json.dumps({"features": [{"properties": {"NAME": "x"}, "geometry": square}]})
+    for name in ("a.geojson", "b.geojson"):
+        (tmp_path / name).write_text(doc)
+    assert len({r.ord for r in readers.read_zones(spark, str(tmp_path), ["NAME"]).collect()}) == 2
+
+
+def test_fingerprint_knows_where_a_value_is_missing(spark):
+    one, two = (sinks.layer_fingerprint(spark.createDataFrame([r], "a int, b int, c int"), ["a", "b", "c"]).first().version for r in [(1, None, 3), (1, 3, None)])
+    assert one != two
+
+
 def test_geojson(spark, tmp_path):
     doc = {"type": "FeatureCollection", "features": [
         {"type": "Feature", "properties": {"NAME": "A", "x": 1}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]]}},
