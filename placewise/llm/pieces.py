@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placewise.llm.text import text_blocks
-from placewise.llm.units import UnitEncoder
+from placewise.llm.units import UnitEncoder, loaded
 from placewise.session import written
 
 #: Texts of more characters are cut into chunks of so many; so many chunks meet in a task of the tree.
@@ -34,7 +34,6 @@ STRETCH = 400
 #: Pieces scored this low have no score of their own: those of one character come after all others, no path takes longer ones.
 UNUSED = -1e6
 _MARK = "▁"
-_models: dict[str, Model] = {}
 _NEVER = -np.inf
 
 
@@ -154,9 +153,7 @@ class Model:
 
 
 def model(path: str) -> Model:
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
+    return loaded(("pieces", path), lambda: Model(path))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:

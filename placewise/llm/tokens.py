@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.llm.text import text_blocks
-from placewise.llm.units import LONGEST, MOST, UnitEncoder
+from placewise.llm.units import LONGEST, MOST, UnitEncoder, loaded
 from placewise.session import shared_path
 
 #: Tokens of a sequence, and sequences of a record batch.
@@ -31,7 +31,6 @@ _MANIFEST = "shard int, sequences string, documents string, n_tokens long, n_doc
 # fixed values of byte-level BPE: how text is cut, and the characters that stand for bytes which aren't printed
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHOWN = {b: 256 + k for k, b in enumerate([*range(0, 33), *range(127, 161), 173])}
-_encoders: dict[tuple, UnitEncoder] = {}
 
 
 def encoder(path: str, dtype: str) -> UnitEncoder:
@@ -39,26 +38,28 @@ def encoder(path: str, dtype: str) -> UnitEncoder:
 
     A unit is cut as the byte-level pre-tokenizer does, and the file's merges are applied to each distinct piece.
     """
-    if (path, dtype) not in _encoders:
-        import regex
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        cut, merge = regex.compile(PIECES).findall, model.model.tokenize
-        raw = [i.to_bytes(np.dtype(dtype).itemsize, "little") for i in range(model.get_vocab_size())]
-        pieces: dict[str, bytes] = {}
-
-        def piece(p: str) -> bytes:
-            if (ids := pieces.get(p)) is None:
-                ids = b"".join([raw[t.id] for t in merge(p.encode().decode("latin-1").translate(_SHOWN))])
-                if len(pieces) >= MOST:
-                    pieces.clear()
-                if len(p) <= LONGEST:
-                    pieces[p] = ids
-            return ids
-
-        _encoders[path, dtype] = UnitEncoder(lambda units: [b"".join([piece(p) for p in cut(u)]) for u in units])
-    return _encoders[path, dtype]
+    return loaded(("tokens", path, dtype), lambda: _encoder(path, dtype))
+
+
+def _encoder(path: str, dtype: str) -> UnitEncoder:
+    import regex
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    cut, merge = regex.compile(PIECES).findall, model.model.tokenize
+    raw = [i.to_bytes(np.dtype(dtype).itemsize, "little") for i in range(model.get_vocab_size())]
+    pieces: dict[str, bytes] = {}
+
+    def piece(p: str) -> bytes:
+        if (ids := pieces.get(p)) is None:
+            ids = b"".join([raw[t.id] for t in merge(p.encode().decode("latin-1").translate(_SHOWN))])
+            if len(pieces) >= MOST:
+                pieces.clear()
+            if len(p) <= LONGEST:
+                pieces[p] = ids
+        return ids
+
+    return UnitEncoder(lambda units: [b"".join([piece(p) for p in cut(u)]) for u in units])
 
 
 def schema(length: int, dtype: str) -> pa.Schema:

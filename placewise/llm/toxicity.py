@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placewise.llm.text import text_blocks
+from placewise.llm.units import loaded
 
 #: The bounded sample: labelled documents of either class at most, taken in order of a hash of their key.
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2_000, 6_000
@@ -30,8 +31,7 @@ LOW, HIGH = -10, 23
 LEVEL = 15
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _SPREAD = [bytes([(c + 85 * k) % 256 for k in range(3)]) for c in range(256)]
-_MOST = 250_000
-_scorers: dict[int, Scorer] = {}
+_MOST = 150_000
 
 
 def spread(word: bytes) -> bytes:
@@ -89,11 +89,7 @@ class ToxicityModel:
     weights: np.ndarray
 
     def scorer(self) -> Scorer:
-        key = hash((self.toxic, self.ordinary))
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(self.toxic, self.ordinary)
-        return _scorers[key]
+        return loaded(("toxicity", hash((self.toxic, self.ordinary))), lambda: Scorer(self.toxic, self.ordinary))
 
     def score(self, texts: list[str]) -> np.ndarray:
         z = (self.scorer().features(texts) - self.mean) / self.scale

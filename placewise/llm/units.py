@@ -10,7 +10,18 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than blanks and line feeds.
 _OTHER = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Units longer than this are not remembered, and no more units than this are.
-LONGEST, MOST = 64, 250_000
+LONGEST, MOST = 64, 150_000
+
+
+_loaded: dict[tuple, object] = {}
+
+
+def loaded(key: tuple, build: Callable[[], object]):
+    """The one large model, with what it remembers, that a worker keeps; another one takes its place."""
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = build()
+    return _loaded[key]
 
 
 def cut(text: str) -> list[str]:
