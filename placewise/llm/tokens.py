@@ -53,9 +53,7 @@ def _encoder(path: str, dtype: str) -> UnitEncoder:
     def piece(p: str) -> bytes:
         if (ids := pieces.get(p)) is None:
             ids = b"".join([raw[t.id] for t in merge(p.encode().decode("latin-1").translate(_SHOWN))])
-            if len(pieces) >= MOST:
-                pieces.clear()
-            if len(p) <= LONGEST:
+            if len(pieces) < MOST and len(p) <= LONGEST:
                 pieces[p] = ids
         return ids
 

@@ -57,15 +57,13 @@ class Scorer:
         self.toxic, self.ordinary, self.known = compressor(toxic), compressor(ordinary), {}
 
     def differences(self, words: list[bytes]) -> list[int]:
-        known = self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > _MOST:
-            known.clear()
-            new = set(words)
-        for w in new:
+        known, made = self.known, {}
+        for w in set(words).difference(known):
             window = spread(w[:4096])
-            known[w] = min(HIGH, max(LOW, len(self.ordinary.compress(window)) - len(self.toxic.compress(window)))) - LOW
-        return [known[w] for w in words]
+            made[w] = min(HIGH, max(LOW, len(self.ordinary.compress(window)) - len(self.toxic.compress(window)))) - LOW
+        if len(known) < _MOST:
+            known.update(made)
+        return [made[w] if w in made else known[w] for w in words]
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: share and logarithm of the number of windows at or above each positive difference, and the largest."""

@@ -9,8 +9,8 @@ from collections.abc import Callable
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than blanks and line feeds.
 _OTHER = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-#: Units longer than this are not remembered, and no more units than this are.
-LONGEST, MOST = 64, 150_000
+#: Units longer than this are not remembered, and no more units than about this are: frequent ones come early.
+LONGEST, MOST = 64, 200_000
 
 
 _loaded: dict[tuple, object] = {}
@@ -50,9 +50,8 @@ class UnitEncoder:
         new = list({u for u, p in zip(units, parts) if p is None})
         made = dict(zip(new, self.encode([self.marks[which] + u for u in new])))
         out = b"".join([made[u] if p is None else p for u, p in zip(units, parts)])
-        if len(known) + len(new) > MOST:
-            known.clear()
-        known.update((u, ids) for u, ids in made.items() if len(u) <= LONGEST)
+        if len(known) < MOST:
+            known.update((u, ids) for u, ids in made.items() if len(u) <= LONGEST)
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
