@@ -20,6 +20,12 @@ BITS, TABLES = 12, 20
 TILE = 1024
 
 
+def reach(threshold: float, total: int) -> float:
+    """Sign bits in which vectors at ``threshold`` may differ: seven standard deviations above the mean, which one pair in 10^8 exceeds."""
+    p = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
+    return total * p + 7 * (total * p * (1 - p)) ** 0.5 + 3
+
+
 def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
 
@@ -32,9 +38,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     non-finite components, and those with a null label, have no links; vectors of different lengths never meet.
     ``component_id`` is the smallest key that links reach.
 
-    Equal vectors are one vertex with a weight. In a bucket, tiles of vectors are compared by matrix products; only
-    counts of links and a spanning forest of them leave a task, never the pairs, and a pair counts in the first table
-    in which it meets. Rows with a null key take no part.
+    Equal vectors are one vertex with a weight. Buckets are cut into tiles. Only the sign bits go there at first: a
+    vector stays where another of the tile differs in few of all the bits and hasn't met it in an earlier table. The
+    vectors that stay are joined and compared by matrix products; only counts of links and a spanning forest of them
+    leave a task, never the pairs. Rows with a null key take no part.
     """
     held = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.lit("") if label is None else F.col(label).cast("string")).alias("g"))
     sound = F.col("v").isNotNull() & F.col("g").isNotNull() & (F.size("v") > 0)
@@ -43,6 +50,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     good = held.where(F.col("v").isNotNull() & F.col("id").isNotNull())
     distinct = written(good.groupBy("g", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("h", F.xxhash64("g", "v")), "distinct")
 
+    kind = np.int16 if bits < 16 else np.int32
+    most = reach(threshold, bits * tables)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             lists = rows.column("v")
@@ -51,39 +61,61 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
                 part = rows.filter(pa.array(lengths == dim))
                 values = part.column("v").flatten().to_numpy().reshape(-1, dim)
                 bit = (values @ planes(int(dim), bits, tables, seed) >= 0).reshape(len(values), tables, bits)
-                codes = (bit * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
-                raw = [v.tobytes() for v in values]
-                signature = [c.tobytes() for c in codes]
+                codes = (bit * (1 << np.arange(bits))).sum(axis=2).astype(kind)
+                signature = pa.array([c.tobytes() for c in codes], pa.binary())
                 for t in range(tables):
-                    yield pa.RecordBatch.from_pydict({"g": part.column("g"), "dim": pa.array(np.full(len(raw), dim, np.int32)), "t": pa.array(np.full(len(raw), t, np.int32)), "code": pa.array(codes[:, t]), "rep": part.column("rep"), "n": part.column("n"), "s": pa.array(signature, pa.binary()), "x": pa.array(raw, pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"g": part.column("g"), "dim": pa.array(np.full(len(codes), dim, np.int32)), "t": pa.array(np.full(len(codes), t, np.int32)), "code": pa.array(codes[:, t].astype(np.int32)), "rep": part.column("rep"), "s": signature})
 
-    fields = "g string, dim int, t int, code int, rep long, n long, s binary, x binary"
+    fields = "g string, dim int, t int, code int, rep long, s binary"
     bucket = ["g", "dim", "t", "code"]
-    signed = distinct.select("g", "v", "rep", "n").mapInArrow(sign, fields).withColumn("b", F.xxhash64(*bucket))
+    signed = distinct.select("g", "v", "rep").mapInArrow(sign, fields).withColumn("b", F.xxhash64(*bucket))
     sizes = signed.groupBy("b").agg(F.count("*").alias("size")).where("size > 1").withColumn("k", F.xxhash64("b")).withColumnRenamed("b", "_b")
     met = signed.withColumn("k", F.xxhash64("b")).join(sizes, "k").withColumn("tiles", F.ceil(F.col("size") / TILE))
     met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select("b", "lo", "hi", "own", "t", "rep", "n", "s", "x")
+    met = met.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select("b", "lo", "hi", "own", "t", "rep", "s")
+
+    def first_meetings(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures, and which pairs of a tile are its own: of two parts where there are two, and of no earlier table."""
+        own = group.column("own").to_numpy()
+        s = np.frombuffer(b"".join(group.column("s").to_pylist()), kind).reshape(len(own), -1)
+        t, lo, hi = (group.column(c)[0].as_py() for c in ("t", "lo", "hi"))
+        return s[:, :t], own[:, None] != own[None, :] if lo != hi else ~np.eye(len(own), dtype=bool)
+
+    def unseen(pairs: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        for codes in earlier.T:
+            pairs &= codes[:, None] != codes[None, :]
+        return pairs
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["b", "lo", "hi"]):
+            if group.num_rows < 2:
+                continue
+            earlier, pairs = first_meetings(group)
+            s = np.frombuffer(b"".join(group.column("s").to_pylist()), kind).reshape(group.num_rows, -1)
+            signs = ((s[:, :, None] >> np.arange(bits)) & 1).reshape(len(s), -1).astype(np.float32) * 2 - 1
+            pairs &= signs @ signs.T >= signs.shape[1] - 2 * most
+            if pairs.any() and (stay := unseen(pairs, earlier).any(axis=1)).any():
+                yield from group.filter(pa.array(stay)).to_batches()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["b", "lo", "hi"]):
-            rep, n, own = (group.column(c).to_numpy() for c in ("rep", "n", "own"))
-            if len(rep) < 2:
+            if group.num_rows < 2:
                 continue
-            x = np.frombuffer(b"".join(group.column("x").to_pylist())).reshape(len(rep), -1)
-            s = np.frombuffer(b"".join(group.column("s").to_pylist()), np.int32).reshape(len(rep), -1)
-            t, lo, hi = (group.column(c)[0].as_py() for c in ("t", "lo", "hi"))
+            rep, n = (group.column(c).to_numpy() for c in ("rep", "n"))
+            x = group.column("v").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             norm = np.sqrt((x * x).sum(axis=1))
-            linked = (x @ x.T) / np.outer(norm, norm) >= threshold
-            linked &= own[:, None] != own[None, :] if lo != hi else ~np.eye(len(rep), dtype=bool)
+            earlier, pairs = first_meetings(group)
+            linked = unseen(pairs & ((x @ x.T) / np.outer(norm, norm) >= threshold), earlier)
             if not linked.any():
                 continue
-            for k in range(t):
-                linked &= s[:, k][:, None] != s[:, k][None, :]
             yield pa.RecordBatch.from_pydict({"rep": pa.array(rep), "links": pa.array(linked @ n), "near": pa.array(rep[roots(linked)])})
 
-    dealt = met.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi", "rep")
-    found = written(dealt.mapInArrow(compare, "rep long, links long, near long").where("links > 0 OR rep != near"), "links")
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi", "rep")
+
+    stay = dealt(met).mapInArrow(screen, met.schema).withColumnRenamed("rep", "_rep")
+    near = dealt(stay.join(distinct.select("rep", "n", "v"), F.col("_rep") == F.col("rep")).drop("_rep"))
+    found = written(near.mapInArrow(compare, "rep long, links long, near long").where("links > 0 OR rep != near"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("rep != near"), "rep", "near")
     classes = distinct.select("rep", "n", "h", "v", "g").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
