@@ -139,12 +139,11 @@ def n04(t):
     return t.layer_water().select(*CELL, e.to_byte(F.col("value"), 0, 3000, invert=True).alias("byte"))
 
 
-@check("n05_stretch", """SELECT row, col, round(pow(v / 0.08::DOUBLE, 0.4::DOUBLE) * 0.08, 9) AS gamma, round(sqrt(v / 0.08::DOUBLE) * 0.08, 9) AS root, v AS line
-FROM (SELECT row, col, least(greatest(intensity, 0), 0.08::DOUBLE) AS v FROM b_hazard WHERE hazard = 1)""")
+@check("n05_stretch", """SELECT hazard, row, col, round(pow(v / 0.08::DOUBLE, 0.4::DOUBLE) * 0.08, 9) AS gamma, round(sqrt(v / 0.08::DOUBLE) * 0.08, 9) AS root, v AS line
+FROM (SELECT hazard, row, col, least(greatest(intensity, 0), 0.08::DOUBLE) AS v FROM b_hazard)""")
 def n05(t):
-    one = t.hazard_cells().where(F.col("hazard") == 1)
     v = F.col("intensity")
-    return one.select(*CELL, F.round(e.stretch(v, 0.08, "gamma", 0.4), 9).alias("gamma"), F.round(e.stretch(v, 0.08, "sqrt"), 9).alias("root"), e.stretch(v, 0.08, "linear").alias("line"))
+    return t.hazard_cells().select("hazard", *CELL, F.round(e.stretch(v, 0.08, "gamma", 0.4), 9).alias("gamma"), F.round(e.stretch(v, 0.08, "sqrt"), 9).alias("root"), e.stretch(v, 0.08, "linear").alias("line"))
 
 
 @check("n06_unstretch", "SELECT row, col, hazard, round(least(intensity, 0.08::DOUBLE), 9) AS gamma, round(least(intensity, 0.08::DOUBLE), 9) AS root FROM b_hazard")

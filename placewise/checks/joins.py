@@ -17,12 +17,14 @@ from placewise.operators.years import nearest_weight_year, nearest_year, resolve
 from placewise.sources import readers
 from placewise.sources.sinks import build_catalog
 
-LAKES = "(SELECT DISTINCT row, col FROM b_tri_cell WHERE ord % 4 = 0)"
+LAKE_KM2 = 10_000_000
+LAKES = f"""(SELECT DISTINCT row, col FROM b_tri_cell JOIN (SELECT ord FROM (SELECT ord, abs(sum(ax * by2 - bx * ay)) / 2 AS area FROM
+(SELECT ord, x1 * pi() / 180 * 6371.0072 AS ax, sin(y1 * pi() / 180) * 6371.0072 AS ay, x2 * pi() / 180 * 6371.0072 AS bx, sin(y2 * pi() / 180) * 6371.0072 AS by2 FROM b_tri_edge) GROUP BY ord) WHERE area >= {LAKE_KM2}) USING (ord))"""
 
 
 def lakes(t):
-    """Cells of every fourth triangle."""
-    return zones.cells_by_centre(t.triangles().where(F.col("ord") % 4 == 0), GRID).select(*CELL)
+    """Cells of the large triangles."""
+    return zones.cells_by_centre(masks.large_lakes(t.triangles(), LAKE_KM2), GRID).select(*CELL)
 
 
 @check("j01_ocean_mask", "SELECT w.row, w.col, CASE WHEN e.value <= 0 THEN NULL ELSE w.value END AS value FROM b_water w LEFT JOIN b_elev e ON e.row = w.row AND e.col = w.col")

@@ -51,22 +51,22 @@ def view_cells(t, level=5):
 
 VIEW = """(SELECT id, 5 AS level, CAST(least(greatest(floor((lon + 180) / 360 * 32), 0), 31) AS INTEGER) AS cx,
 CAST(least(greatest(floor((0.5 - ln(tan(pi() / 4 + lat * pi() / 180 / 2)) / (2 * pi())) * 32), 0), 31) AS INTEGER) AS cy FROM b_points)"""
-SOME = "(SELECT * FROM b_quad WHERE seq % 97 = 0)"
-HIT = f"(SELECT DISTINCT v.level, v.cx, v.cy FROM {VIEW} v JOIN {SOME} q ON (q.level >= 5 AND (q.cx >> (q.level - 5)) = v.cx AND (q.cy >> (q.level - 5)) = v.cy) OR (q.level < 5 AND (v.cx >> (5 - q.level)) = q.cx AND (v.cy >> (5 - q.level)) = q.cy))"
+HIT = f"(SELECT DISTINCT v.level, v.cx, v.cy FROM {VIEW} v JOIN (SELECT DISTINCT x >> 2 AS cx, y >> 2 AS cy FROM {FINE} WHERE op = 'paint') q ON q.cx = v.cx AND q.cy = v.cy)"
 
 
-def some_mask(t):
-    return t.quad_events().where(F.col("seq") % 97 == 0).select("level", "cx", "cy").distinct()
+def mask(t):
+    """What all events leave painted."""
+    return brush.fold_mask(t.quad_events())
 
 
 @check("d04_mask_at", f"SELECT level, cx, cy FROM {HIT}")
 def d04(t):
-    return brush.mask_at(view_cells(t).drop("id"), some_mask(t))
+    return brush.mask_at(view_cells(t).drop("id"), mask(t))
 
 
 @check("d05_mask_axis", f"SELECT id, level, cx, cy, CASE WHEN h.cx IS NULL THEN 0 ELSE 1 END::DOUBLE AS f_draw FROM {VIEW} LEFT JOIN (SELECT *, 1 AS on_ FROM {HIT}) h USING (level, cx, cy)")
 def d05(t):
-    return brush.mask_axis(view_cells(t), some_mask(t))
+    return brush.mask_axis(view_cells(t), mask(t))
 
 
 @check("d06_mask_level", "SELECT c_custkey AS id, CAST(least(16, floor(c_custkey % 23 / 2::DOUBLE) + 8) AS INTEGER) AS level FROM customer")

@@ -91,8 +91,8 @@ def hazard_inputs(t):
     """Rasters and points for the full job."""
     layer = lambda h: t.hazard_cells().where(F.col("hazard") == h).select(*CELL, (F.col("intensity") * 9.7).alias("value"))
     key = F.col("id")
-    runup = t.points().where(key % 50 == 0).withColumn("runup", (key % 90 / 10.0).cast("double"))
-    volcanoes = t.points().where(key % 40 == 1).withColumn("last_year", F.when(key % 3 == 0, F.lit(0)).otherwise((key % 400 + 1600).cast("int")))
+    runup = t.points().withColumn("runup", (key % 90 / 10.0).cast("double"))
+    volcanoes = t.points().withColumn("last_year", F.when(key % 3 == 0, F.lit(0)).otherwise((key % 400 + 1600).cast("int")))
     drought = event_frequency(index_cube(t), last=40)
     elev = t.layer_elev().withColumn("value", F.col("value") * 100000.0)
     return hazards.intensities(GRID, layer(1), layer(2), layer(3), runup, volcanoes, drought, elev)
@@ -106,9 +106,9 @@ def named_rates(t):
 
 
 POINT_CELL = "CAST(trunc((90 - lat) / 10) AS INTEGER) AS row, CAST(trunc((lon + 180) / 10) AS INTEGER) AS col"
-RUNUP = f"(SELECT row, col, max(v) AS value FROM (SELECT id % 90 / 10::DOUBLE AS v, {POINT_CELL} FROM b_points WHERE id % 50 = 0) GROUP BY row, col)"
+RUNUP = f"(SELECT row, col, max(v) AS value FROM (SELECT id % 90 / 10::DOUBLE AS v, {POINT_CELL} FROM b_points) GROUP BY row, col)"
 PEAKS = f"(SELECT r.v AS row, c.v AS col, max(value) AS value FROM range(18) r(v), range(36) c(v), {RUNUP} s WHERE abs(s.row - r.v) <= 6 AND abs(s.col - c.v) <= 6 GROUP BY r.v, c.v)"
-ERUPTIONS = f"(SELECT row, col, sum(w) AS value FROM (SELECT CASE WHEN id % 3 = 0 THEN 0.3 WHEN id % 400 + 1600 > 1900 THEN 3 ELSE 1 END::DOUBLE AS w, {POINT_CELL} FROM b_points WHERE id % 40 = 1) GROUP BY row, col)"
+ERUPTIONS = f"(SELECT row, col, sum(w) AS value FROM (SELECT CASE WHEN id % 3 = 0 THEN 0.3 WHEN id % 400 + 1600 > 1900 THEN 3 ELSE 1 END::DOUBLE AS w, {POINT_CELL} FROM b_points) GROUP BY row, col)"
 DRY = """(SELECT row, col, sum(CASE WHEN ppt / 20::DOUBLE - 3 < -1.5 THEN 1 ELSE 0 END) / 40::DOUBLE AS value FROM b_cube,
 (SELECT min(t) AS first FROM (SELECT DISTINCT year * 12 + month AS t FROM b_cube ORDER BY t DESC LIMIT 40)) WHERE year * 12 + month >= first GROUP BY row, col)"""
 SLOPE = f"(SELECT row, col, degrees(atan(value / 1110000)) AS value FROM {rise_sql(STEEP)})"
@@ -166,15 +166,15 @@ def p07(t):
     return freedom.freedom_scores(*freedom_sources(t), first=1997, last=2025).select("year", "country", "fiw", "cpi", "composite")
 
 
-@check("p07_freedom_lookup", f"""SELECT year, CASE WHEN k % 2 = 0 THEN 'Czechia' WHEN k = 1 THEN 'USA' ELSE name END AS name, min_by(fiw, name) FILTER (fiw IS NOT NULL) AS fiw, min_by(cpi, name) FILTER (cpi IS NOT NULL) AS cpi FROM
-(SELECT year, n_nationkey AS k, CASE WHEN n_nationkey = 0 THEN 'Czech Republic' WHEN n_nationkey = 2 THEN 'czechia' WHEN n_nationkey = 1 THEN 'USA' ELSE n_name END AS name, fiw, cpi FROM ({FREEDOM_SQL}) JOIN nation ON n_name = country WHERE n_nationkey IN (0, 1, 2, 3, 5, 7)) GROUP BY 1, 2""")
+@check("p07_freedom_lookup", f"""SELECT year, CASE WHEN k IN (0, 2) THEN 'Czechia' WHEN k = 1 THEN 'USA' ELSE name END AS name, min_by(fiw, name) FILTER (fiw IS NOT NULL) AS fiw, min_by(cpi, name) FILTER (cpi IS NOT NULL) AS cpi FROM
+(SELECT year, n_nationkey AS k, CASE WHEN n_nationkey = 0 THEN 'Czech Republic' WHEN n_nationkey = 2 THEN 'czechia' WHEN n_nationkey = 1 THEN 'USA' ELSE n_name END AS name, fiw, cpi FROM ({FREEDOM_SQL}) JOIN nation ON n_name = country) GROUP BY 1, 2""")
 def p07l(t):
     """Two spellings meet under the map's name; a spelling whose target is not on the map stays."""
     key = F.col("n_nationkey")
     spelled = F.when(key == 0, F.lit("Czech Republic")).when(key == 2, F.lit("czechia")).when(key == 1, F.lit("USA")).otherwise(F.col("n_name"))
-    nation = F.broadcast(t["nation"].where(key.isin(0, 1, 2, 3, 5, 7)).select(F.col("n_name").alias("country"), spelled.alias("_s")))
+    nation = F.broadcast(t["nation"].select(F.col("n_name").alias("country"), spelled.alias("_s")))
     scores = freedom.freedom_scores(*freedom_sources(t), first=1900).join(nation, "country").withColumn("country", F.col("_s")).drop("_s")
-    on_map = t["nation"].where(key.isin(3, 5, 7)).select(F.col("n_name").alias("name")).unionByName(t["region"].select(F.lit("Czechia").alias("name")).distinct())
+    on_map = t["nation"].where(~key.isin(0, 1, 2)).select(F.col("n_name").alias("name")).unionByName(t["region"].select(F.lit("Czechia").alias("name")).distinct())
     return freedom.freedom_lookup(scores, on_map).select("year", "name", "fiw", "cpi")
 
 

@@ -7,6 +7,7 @@ from placewise.bind import GRID
 from placewise.checks import check
 from placewise.checks.aggregates import INDEX_SQL, index_cube, rounded
 from placewise.checks.encoding import formulas
+from placewise.checks.joins import LAKES, lakes
 from placewise.operators import brush, focal, ranking
 from placewise.operators.aggregate import CELL, fuel_breakdown
 from placewise.operators.climate import event_frequency
@@ -31,35 +32,27 @@ def ints(alias=""):
     return f"CAST({alias}row AS INTEGER) AS row, CAST({alias}col AS INTEGER) AS col"
 
 
-SPARSE = "(SELECT * FROM b_pop WHERE (row * 7 + col) % 5 = 0)"
-
-
-def sparse_pop(t):
-    return t.layer_pop().where((F.col("row") * 7 + F.col("col")) % 5 == 0)
-
-
-@check("w01_gaussian", f"SELECT {ints()}, round(value, 5) AS value FROM {gaussian_sql(SPARSE, 1.5)}")
+@check("w01_gaussian", f"SELECT {ints()}, round(value, 5) AS value FROM {gaussian_sql('b_pop', 1.5)}")
 def w01(t):
-    return rounded(focal.gaussian(sparse_pop(t), GRID, 1.5), "value", digits=5)
+    return rounded(focal.gaussian(t.layer_pop(), GRID, 1.5), "value", digits=5)
 
 
-@check("w01_gaussian_wide", f"SELECT {ints()}, round(value, 5) AS value FROM {gaussian_sql(SPARSE, 5.0)}")
+@check("w01_gaussian_wide", f"SELECT {ints()}, round(value, 5) AS value FROM {gaussian_sql('b_pop', 5.0)}")
 def w01w(t):
     """The kernel is wider than the grid is high, so values mirror more than once."""
-    return rounded(focal.gaussian(sparse_pop(t), GRID, 5.0), "value", digits=5)
+    return rounded(focal.gaussian(t.layer_pop(), GRID, 5.0), "value", digits=5)
 
 
-@check("w01_gaussian_blocks", f"SELECT {ints()}, round(value, 5) AS value FROM {gaussian_sql(SPARSE, 1.0)}")
+@check("w01_gaussian_blocks", f"SELECT {ints()}, round(value, 5) AS value FROM {gaussian_sql('b_pop', 1.0)}")
 def w01b(t):
     """Cut into 8-cell blocks with halos."""
-    return rounded(focal.gaussian(sparse_pop(t), GRID, 1.0, block=8), "value", digits=5)
+    return rounded(focal.gaussian(t.layer_pop(), GRID, 1.0, block=8), "value", digits=5)
 
 
-@check("w02_max_filter", f"""SELECT CAST(r.v AS INTEGER) AS row, CAST(c.v AS INTEGER) AS col, max(value) AS value FROM range(18) r(v), range(36) c(v), (SELECT * FROM b_pop WHERE (row * 7 + col) % 83 = 0) s
+@check("w02_max_filter", """SELECT CAST(r.v AS INTEGER) AS row, CAST(c.v AS INTEGER) AS col, max(value) AS value FROM range(18) r(v), range(36) c(v), b_pop s
 WHERE abs(s.row - r.v) <= 6 AND abs(s.col - c.v) <= 6 GROUP BY r.v, c.v""")
 def w02(t):
-    sparse = t.layer_pop().where((F.col("row") * 7 + F.col("col")) % 83 == 0)
-    return focal.max_filter(sparse, GRID, 13, block=16)
+    return focal.max_filter(t.layer_pop(), GRID, 13, block=16)
 
 
 def rise_sql(source):
@@ -153,9 +146,8 @@ def u01(t):
     return a.union(t["supplier"].where(F.col("s_nationkey") % 4 != 0).select("s_nationkey")).distinct()
 
 
-@check("u02_mask_or", "SELECT row, col FROM b_elev WHERE value <= 0 UNION SELECT row, col FROM b_tri_cell WHERE ord % 4 = 0")
+@check("u02_mask_or", f"SELECT row, col FROM b_elev WHERE value <= 0 UNION SELECT row, col FROM {LAKES}")
 def u02(t):
-    from placewise.checks.joins import lakes
     from placewise.operators.masks import ocean_cells
 
     return ocean_cells(t.layer_elev()).union(lakes(t)).distinct()

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placewise.functions.geometry import rings_area_km2
+
 CELL = ["row", "col"]
 MIN_LAKE_KM2 = 100.0
 
 
+def large_lakes(polygons: DataFrame, min_km2: float = MIN_LAKE_KM2) -> DataFrame:
+    """Polygons of at least ``min_km2``; smaller lakes don't count as water."""
+    return polygons.where(rings_area_km2(F.col("rings")) >= min_km2)
+
+
 def ocean_cells(elev: DataFrame) -> DataFrame:
     return elev.where(F.col("value") <= 0).select(*CELL)
 
