@@ -129,7 +129,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for part, data, offsets in text_blocks(rows, "t"):
                 owner, start, n, bucket, content = stretches(data, offsets, length)
                 ids, b = part.column("id").to_numpy()[owner], bucket.view(np.int64)
-                x = (content >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                x = content.view(np.int64)
                 order = np.lexsort((ids, x, b))
                 new = np.ones(len(order), bool)
                 new[1:] = (b[order][1:] != b[order][:-1]) | (x[order][1:] != x[order][:-1])
@@ -150,7 +150,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             part = table.filter(pa.array(keep))
             yield pa.RecordBatch.from_pydict({"b": part.column("b").combine_chunks(), "id": part.column("id").combine_chunks(), "start": part.column("start").combine_chunks(), "n": pa.array(n[keep] + length - 1, pa.int32()), "mark": pa.array(mark[keep]), "kinds": pa.array(kinds[keep])})
 
-    found = docs.where("id IS NOT NULL").mapInArrow(cut, "late boolean, b long, id long, start long, n int, x int").repartition("b").sortWithinPartitions("b", "late", "x", "id", "start")
+    found = docs.where("id IS NOT NULL").mapInArrow(cut, "late boolean, b long, id long, start long, n int, x long").repartition("b").sortWithinPartitions("b", "late", "x", "id", "start")
     found = written(found.mapInArrow(meet, "b long, id long, start long, n int, mark boolean, kinds long"), "stretches")
     mixed = found.where("NOT mark").groupBy("id").agg(F.collect_list(F.struct("b", "start", "n", "kinds")).alias("parts"))
 
