@@ -91,11 +91,24 @@ def _seed_filter(items: DataFrame, text: str):
     return bit_filter(items.select(text).mapInArrow(seeds, "seed long"), "seed", FILTER_BITS)
 
 
-def _regions(hashes: np.ndarray, hits: np.ndarray, width: int) -> np.ndarray:
-    """Words of the runs that may match, apart from each other by a word that matches none."""
+def _widths(items: DataFrame, text: str) -> list[int]:
+    """Words of a seed: ``SHORTEST``, and the lengths of the items that have fewer words."""
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for _, data, offsets in text_blocks(rows, text):
+                n = np.unique(np.diff(words(data, offsets)[1]))
+                yield pa.RecordBatch.from_pydict({"n": pa.array(n[(n > 0) & (n < SHORTEST)], pa.int32())})
+
+    return [*sorted(r["n"] for r in items.select(text).mapInArrow(lengths, "n int").distinct().collect()), SHORTEST]
+
+
+def _regions(hashes: np.ndarray, hits: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Words of the runs (``width, starts``) that may match, apart from each other by a word that matches none."""
     covered = np.zeros(len(hashes), bool)
-    for k in range(width):
-        covered[np.minimum(hits + k, len(hashes) - 1)] = True
+    for width, starts in hits:
+        for k in range(width):
+            covered[np.minimum(starts + k, len(hashes) - 1)] = True
     at = np.flatnonzero(covered)
     cuts = np.flatnonzero(np.diff(at) > 1) + 1
     return np.concatenate([x for part in np.split(hashes[at], cuts) for x in (part, np.zeros(1, np.uint64))])
@@ -106,51 +119,56 @@ def findings(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text
 
     Texts are scanned where they lie; a fixed-size bit filter of the benchmark's seeds lets only texts and words through
     that may match, false hits die in the join. Equal texts are searched once for each task that reads one and joined
-    once. Pairs whose shared seeds can't reach ``coverage`` are dropped before tiling: a seed covers five words at most.
-    Items of fewer words than five are matched as a whole document of those words; items without words are never found.
+    once. Pairs whose shared seeds can't reach ``coverage`` are dropped before tiling: a seed covers five words at most at
+    each of its places in the item. Items of fewer words than five are found where these stand in a row anywhere in a
+    text; items without words are never found.
     """
     seen_items = items.select(F.xxhash64(item, item_text).alias("key"), F.col(item).alias("item"), F.coalesce(item_text, F.lit("")).alias("t"))
-    field = _seed_filter(seen_items, "t")
+    field, widths = _seed_filter(seen_items, "t"), _widths(seen_items, "t")
 
     def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for part, data, offsets in text_blocks(rows, "t"):
                 hashes, at = words(data, offsets)
-                sets = shingle_sets(data, offsets, SHORTEST)
+                runs, of = shingles(hashes, at, SHORTEST)
+                sets = [np.unique(runs[a:b], return_counts=True) for a, b in zip(of[:-1], of[1:])]
                 keep = [k for k in range(part.num_rows) if at[k + 1] > at[k]]
                 yield pa.RecordBatch.from_pydict({
                     "key": part.column("key").take(pa.array(keep, pa.int64())), "item": part.column("item").take(pa.array(keep, pa.int64())),
                     "item_words": pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in keep], pa.binary()),
                     "n_words": pa.array([int(at[k + 1] - at[k]) for k in keep], pa.int32()),
-                    "seeds": pa.array([sets[k].astype(np.int64) for k in keep], pa.list_(pa.int64())),
+                    "seeds": pa.array([sets[k][0].astype(np.int64) for k in keep], pa.list_(pa.int64())),
+                    "times": pa.array([sets[k][1] for k in keep], pa.list_(pa.int64())),
                 })
 
     kind = dict(seen_items.dtypes)["item"]
-    known = written(seen_items.dropDuplicates(["key"]).mapInArrow(item_rows, f"key long, item {kind}, item_words binary, n_words int, seeds array<long>"), "items")
+    known = written(seen_items.dropDuplicates(["key"]).mapInArrow(item_rows, f"key long, item {kind}, item_words binary, n_words int, seeds array<long>, times array<long>"), "items")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rows in batches:
             for part, data, offsets in text_blocks(rows, "t"):
                 hashes, at = words(data, offsets)
-                runs, of = shingles(hashes, at, SHORTEST)
-                hit = np.flatnonzero(may_hold(field.value, runs))
-                bounds = np.searchsorted(hit, of)
+                per_width = []
+                for width in widths:
+                    runs, of = shingles(hashes, at, width)
+                    hit = np.flatnonzero(may_hold(field.value, runs))
+                    per_width.append((width, runs, of, hit, np.searchsorted(hit, of)))
                 out: dict[str, list] = {"h": [], "doc_words": [], "seeds": []}
-                for k in np.flatnonzero(np.diff(bounds)).tolist():
+                for k in np.flatnonzero(sum(np.diff(bounds) for *_, bounds in per_width)).tolist():
                     if (h := part.column("h")[k].as_py()) in seen:
                         continue
                     seen.add(h)
-                    mine = hit[bounds[k] : bounds[k + 1]]
+                    mine = [(width, runs, of[k], hit[bounds[k] : bounds[k + 1]]) for width, runs, of, hit, bounds in per_width]
                     out["h"].append(h)
-                    out["doc_words"].append(_regions(hashes[at[k] : at[k + 1]], mine - of[k], SHORTEST).tobytes())
-                    out["seeds"].append(np.unique(runs[mine]).astype(np.int64))
+                    out["doc_words"].append(_regions(hashes[at[k] : at[k + 1]], [(width, hit - first) for width, _, first, hit in mine]).tobytes())
+                    out["seeds"].append(np.unique(np.concatenate([runs[hit] for _, runs, _, hit in mine])).astype(np.int64))
                 yield pa.RecordBatch.from_pydict({"h": pa.array(out["h"], pa.int64()), "doc_words": pa.array(out["doc_words"], pa.binary()), "seeds": pa.array(out["seeds"], pa.list_(pa.int64()))})
 
     scanned = docs.select(F.xxhash64(text).alias("h"), F.coalesce(text, F.lit("")).alias("t")).mapInArrow(scan, "h long, doc_words binary, seeds array<long>")
     found = written(scanned, "scanned")
     seeds = found.select("h", F.explode("seeds").alias("seed")).distinct()
-    pairs = seeds.join(known.select("key", "n_words", F.explode("seeds").alias("seed")), "seed").groupBy("h", "key").agg(F.count("*").alias("shared"), F.first("n_words").alias("n_words"))
+    pairs = seeds.join(known.select("key", "n_words", F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("key", "n_words", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")), "seed").groupBy("h", "key").agg(F.sum("times").alias("shared"), F.first("n_words").alias("n_words"))
     pairs = pairs.where(F.col("shared") * SHORTEST >= F.col("n_words") * coverage).select("h", "key").withColumn("k", F.xxhash64("h"))
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,16 +197,20 @@ def report(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text:
 
 def remove(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds an item. Only texts that share a seed are joined; all others stay where they are."""
-    field = _seed_filter(items, "text")
+    field, widths = _seed_filter(items, "text"), _widths(items, "text")
     bad = findings(docs, items, coverage, text).select(F.col("h").alias("_h")).distinct()
 
     def part_of(touched: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
                 for part, data, offsets in text_blocks(rows, text):
-                    runs, of = shingles(*words(data, offsets), SHORTEST)
-                    sums = np.r_[0, np.cumsum(may_hold(field.value, runs))]
-                    yield part.filter(pa.array((sums[of[1:]] > sums[of[:-1]]) == touched))
+                    hashes, at = words(data, offsets)
+                    held = np.zeros(part.num_rows, bool)
+                    for width in widths:
+                        runs, of = shingles(hashes, at, width)
+                        sums = np.r_[0, np.cumsum(may_hold(field.value, runs))]
+                        held |= sums[of[1:]] > sums[of[:-1]]
+                    yield part.filter(pa.array(held == touched))
 
         return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
