@@ -1,7 +1,7 @@
 """Toxicity by compression: which of two zstandard dictionaries makes the windows of a text shorter.
 
 One dictionary is built from the words of toxic documents, one from those of ordinary documents. A window is a word
-between blanks. Each of its bytes is written as three, so that a match, which takes as much room for a short word as for
+between blanks; very long ones are cut into several. Each of its bytes is written as three, so that a match, which takes as much room for a short word as for
 a long one, pays for short words too. The difference of the two compressed lengths says which side knows the window
 better. How many windows of a document lie above each difference goes through a logistic curve fitted on labelled rows.
 """
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,15 +33,37 @@ LEVEL = 15
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _SPREAD = [bytes([(c + 85 * k) % 256 for k in range(3)]) for c in range(256)]
 _MOST = 150_000
+#: Bytes of the longest window; in a longer one a few telling words would count for little.
+LONGEST = 256
+_PARTED = regex.compile(r"[^\p{P}\p{Z}]*[\p{P}\p{Z}]+|[^\p{P}\p{Z}]+")
 
 
 def spread(word: bytes) -> bytes:
     return b"".join(map(_SPREAD.__getitem__, b" " + word + b" "))
 
 
+def _windows(run: bytes) -> list[bytes]:
+    """Consecutive parts of a long run that hold all its bytes: they end after punctuation and blanks beyond ASCII, or
+    at the last character that ``LONGEST`` bytes hold whole."""
+    out = []
+    for part in _PARTED.findall(run.decode()):
+        raw, at = part.encode(), 0
+        while len(raw) - at > LONGEST:
+            end = at + LONGEST
+            while raw[end] & 0xC0 == 0x80:
+                end -= 1
+            out.append(raw[at:end])
+            at = end
+        out.append(raw[at:])
+    return out
+
+
 def window_words(text: str) -> list[bytes]:
-    """Runs of letters, A-Z lower-cased, and of bytes beyond ASCII."""
-    return _WORD.findall(text.encode().lower())
+    """Runs of letters, A-Z lower-cased, and of bytes beyond ASCII; runs of over ``LONGEST`` bytes in parts."""
+    words = _WORD.findall(text.encode().lower())
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w for run in words for w in (_windows(run) if len(run) > LONGEST else (run,))]
 
 
 class Scorer:
@@ -59,7 +82,7 @@ class Scorer:
     def differences(self, words: list[bytes]) -> list[int]:
         known, made = self.known, {}
         for w in set(words).difference(known):
-            window = spread(w[:4096])
+            window = spread(w)
             made[w] = min(HIGH, max(LOW, len(self.ordinary.compress(window)) - len(self.toxic.compress(window)))) - LOW
         if len(known) < _MOST:
             known.update(made)
