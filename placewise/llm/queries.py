@@ -49,7 +49,7 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 @query("op1_token_sequences")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.token_table(table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), end=2)
+    return tokens.token_table(table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), end=2, added=True)
 
 
 @query("op2_sentencepiece")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +33,16 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _SHOWN = {b: 256 + k for k, b in enumerate([*range(0, 33), *range(127, 161), 173])}
 
 
-def encoder(path: str, dtype: str) -> UnitEncoder:
-    """The byte-level BPE of a tokenizers file; special tokens in a text are ordinary text.
+def encoder(path: str, dtype: str, added: bool = False) -> Callable[[list[str]], list[bytes]]:
+    """The byte-level BPE of a tokenizers file; with ``added``, the file's added tokens in a text get their own ids, as the
+    library gives by default, else they are ordinary text.
 
     A unit is cut as the byte-level pre-tokenizer does, and the file's merges are applied to each distinct piece.
     """
-    return loaded(("tokens", path, dtype), lambda: _encoder(path, dtype))
+    return loaded(("tokens", path, dtype, added), lambda: _encoder(path, dtype, added))
 
 
-def _encoder(path: str, dtype: str) -> UnitEncoder:
+def _encoder(path: str, dtype: str, added: bool) -> Callable[[list[str]], list[bytes]]:
     import regex
     from tokenizers import Tokenizer
 
@@ -57,7 +58,26 @@ def _encoder(path: str, dtype: str) -> UnitEncoder:
                 pieces[p] = ids
         return ids
 
-    return UnitEncoder(lambda units: [b"".join([piece(p) for p in cut(u)]) for u in units])
+    encode = UnitEncoder(lambda units: [b"".join([piece(p) for p in cut(u)]) for u in units])
+    known = {t.content: (i, t) for i, t in model.get_added_tokens_decoder().items()} if added else {}
+    if not known:
+        return encode
+    part = regex.compile("(" + "|".join(map(regex.escape, sorted(known, key=len, reverse=True))) + ")").split
+    plain = not any(t.lstrip or t.rstrip or t.single_word for _, t in known.values())
+
+    def run(texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            parts = part(text)
+            if len(parts) == 1:
+                out += encode(parts)
+            elif plain:
+                out.append(b"".join([raw[known[p][0]] if k % 2 else encode([p])[0] for k, p in enumerate(parts)]))
+            else:
+                out.append(b"".join([raw[i] for i in model.encode(text, add_special_tokens=False).ids]))
+        return out
+
+    return run
 
 
 def schema(length: int, dtype: str) -> pa.Schema:
@@ -135,13 +155,14 @@ class SequenceFile:
         return rows.column(0)[k].values.to_numpy(), rows.column(1)[k].values.to_numpy(zero_copy_only=False)
 
 
-def write_sequences(docs: DataFrame, vocabulary: str, folder: str, end: int, length: int = LENGTH, batch: int = BATCH, dtype: str = "uint16", key: str = "doc_id", text: str = "text") -> list[dict]:
+def write_sequences(docs: DataFrame, vocabulary: str, folder: str, end: int, length: int = LENGTH, batch: int = BATCH, dtype: str = "uint16", key: str = "doc_id", text: str = "text", added: bool = False) -> list[dict]:
     """Encode whole texts, each followed by ``end``, and write them by ascending key into shards in ``folder``.
 
     Rows are dealt out by key range, one shard for each partition; equal keys follow in order of their texts, null keys
     come first, a null text is empty. Returns one entry per shard, in order, with its files and counts: their number is
     that of the partitions, whatever the table holds. A retried task writes under its own name and moves the files into
-    place when they are whole. ``dtype`` must hold every id of the vocabulary.
+    place when they are whole. ``dtype`` must hold every id of the vocabulary. ``added``: as for
+    :func:`encoder`.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +171,7 @@ def write_sequences(docs: DataFrame, vocabulary: str, folder: str, end: int, len
         files, root = pa.fs.FileSystem.from_uri(folder)
         names = [f"{root}/{kind}-{shard:06d}.arrows" for kind in ("sequences", "documents")]
         temporary = [f"{n}.{task.taskAttemptId()}" for n in names]
-        encode, writer, n_docs = encoder(vocabulary, dtype), None, 0
+        encode, writer, n_docs = encoder(vocabulary, dtype, added), None, 0
         last, width = np.array([end], dtype).tobytes(), np.dtype(dtype).itemsize
         for rows in batches:
             for part, _, _ in text_blocks(rows, "text"):
