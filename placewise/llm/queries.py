@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import decontaminate, embeddings, jaccard, negatives, pieces, pii, repeats, sharding, tokens, toxicity, urls
+from placewise.llm import decontaminate, embeddings, jaccard, langid, negatives, pieces, pii, repeats, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,6 +133,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op11_language_id")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    taught = docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    return langid.predict(docs.drop("lang"), langid.train(taught, vocabulary("piece_bpe_32k.model"))).drop("text")
+
+
 _NEGATIVES_SQL = """
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS g, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
