@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import decontaminate, embeddings, jaccard, langid, negatives, pieces, pii, repeats, sharding, tokens, toxicity, urls
+from placewise.llm import collocations, decontaminate, embeddings, jaccard, langid, negatives, pieces, pii, repeats, sharding, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,3 +163,32 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings", "vec_id", "embedding", "label")
     shifted = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return negatives.mine(shifted, F.col("vec_id") % 100 == 0)
+
+
+_COLLOCATIONS_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+i AS (SELECT lang, p, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM i WINDOW o AS (PARTITION BY p ORDER BY i)),
+f AS MATERIALIZED (
+  SELECT lang, 1 AS m, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND f >= 30),
+k AS (SELECT c.*, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:m], ' ') AS tail FROM c, range(1, 4) t(k) WHERE k < m),
+x AS MATERIALIZED (SELECT k.*, f.f AS l FROM k JOIN f ON k.lang = f.lang AND k.head = f.phrase),
+s AS (SELECT x.lang, x.phrase, a, l, f.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (CAST(l AS HUGEINT) + f.f) AS BIGINT) AS score
+      FROM x JOIN f ON x.lang = f.lang AND x.tail = f.phrase
+      QUALIFY row_number() OVER (PARTITION BY x.lang, x.phrase ORDER BY score, k) = 1),
+u AS (SELECT lang, array_to_string(ws[i:i + x - 1], ' ') AS phrase, max(a) AS longer FROM c, range(1, 4) t(i), range(2, 4) y(x) WHERE x < m AND i + x - 1 <= m GROUP BY ALL),
+o AS (SELECT s.* FROM s LEFT JOIN u ON s.lang = u.lang AND s.phrase = u.phrase WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n ON z.lang = n.lang WHERE rank <= 2000"""
+
+
+@query("op13_collocations", _COLLOCATIONS_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents", "text", "lang"))
