@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from placewise.bind import Tables
 from placewise.checks.sqlbind import with_bindings
+from placewise.session import on_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,7 +21,11 @@ def check(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name`` with its SQL twin."""
 
     def register(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            on_workers(spark)
+            return fn(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = with_bindings(sql)
         return fn

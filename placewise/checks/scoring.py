@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 from placewise import dims
 from placewise.checks import check
 from placewise.checks.encoding import FORMULA_AXES, byte_sql, formulas
+from placewise.checks.joins import PLACED3
+from placewise.checks.masks import FINE
+from placewise.checks.masks import mask as painted
+from placewise.functions.grid import tile_pixel
 from placewise.operators import curves as c
 from placewise.operators import score as s
 from placewise.operators.aggregate import CELL
+from placewise.operators.brush import QUAD
+from placewise.operators.places import best_places
 
 FLAGSHIP = "(temp * water) / pop"
 
@@ -130,6 +136,37 @@ def c08(t):
     return s.formula_axis_rows(formulas(t))
 
 
+@check("c05_no_curve", f"""SELECT row, col, round(least(greatest(t.s - p.byte / 255::DOUBLE, 0), 1), 9) AS score FROM {SCORED['temp']} t JOIN (SELECT row, col, {BYTES['pop']} AS byte FROM b_pop) p USING (row, col) WHERE p.byte > 0""")
+def c05n(t):
+    """Population has no curve here and counts as its byte."""
+    return s.score(layer(t), "temp - pop", c.default_curves(t.spark, ["temp"])).withColumn("score", F.round("score", 9))
+
+
+def harvest(t):
+    """Cropland as its own layer: hectares of all crops in a cell."""
+    return t.crop_cells().groupBy(*CELL).agg(F.sum("value").alias("value")).select(F.lit("agri").alias("axis"), *CELL, "value")
+
+
+AGRI_SQL = f"""(SELECT row, col, l.score AS s FROM (SELECT row, col, {byte_sql('value', 0.0, 'ln(1 + cap)', log=True)} AS byte FROM
+(SELECT row, col, sum(value) AS value FROM b_crops GROUP BY row, col), (SELECT quantile_cont(value, 0.995) AS cap FROM (SELECT sum(value) AS value FROM b_crops GROUP BY row, col) WHERE value > 0)) JOIN {default_lut_sql('agri')} l USING (byte) WHERE byte > 0)"""
+
+
+@check("c05_open_bounds", f"SELECT row, col, round(least(greatest(t.s * a.s, 0), 1), 9) AS score FROM {SCORED['temp']} t JOIN {AGRI_SQL} a USING (row, col)")
+def c05o(t):
+    """Cropland's upper bound comes from its own cells."""
+    layers = s.encode_layers(t.layers().unionByName(harvest(t)), open_axes=["agri"])
+    return s.score(layers, "temp * agri", c.default_curves(t.spark)).withColumn("score", F.round("score", 9))
+
+
+@check("c05_draw_axis", f"""SELECT level, cx, cy, round(least(greatest(s * 0.5 + draw / 3, 0), 1), 9) AS score FROM
+(SELECT 6 AS level, col AS cx, row AS cy, s, CASE WHEN EXISTS (SELECT 1 FROM {FINE} f WHERE f.op = 'paint' AND f.x >> 1 = col AND f.y >> 1 = row) THEN 1 ELSE 0 END::DOUBLE AS draw FROM {SCORED['temp']})""")
+def c05d(t):
+    """Painted cells add a third, and a cell outside the paint keeps its score."""
+    placed = layer(t).select("axis", F.lit(6).alias("level"), F.col("col").alias("cx"), F.col("row").alias("cy"), "byte")
+    scored = s.score(placed, "temp * .5 + draw / 3", c.default_curves(t.spark), on=QUAD, mask=painted(t))
+    return scored.withColumn("score", F.round("score", 9))
+
+
 PROFILE_FORMULAS = ["(temp * water) / pop", "temp - water", "pop"]
 
 
@@ -141,18 +178,60 @@ def profile_layer(axis):
 PT, PW, PP = (profile_layer(a) for a in ("temp", "water", "pop"))
 
 
-@check("c09_score_profiles", f"""SELECT profile, row, col, round(score, 9) AS score FROM (SELECT profile, row, col, {ratio_sql('(t.s * w.s)', 'p.s')} AS score FROM {PT} t JOIN {PW} w USING (profile, row, col) JOIN {PP} p USING (profile, row, col) WHERE profile % 3 = 0
-UNION ALL SELECT profile, row, col, least(greatest(t.s - w.s, 0), 1) FROM {PT} t JOIN {PW} w USING (profile, row, col) WHERE profile % 3 = 1 UNION ALL SELECT profile, row, col, s FROM {PP} WHERE profile % 3 = 2) WHERE score IS NOT NULL""")
-def c09(t):
-    key = F.col("profile")
+C09_SQL = f"""SELECT profile, row, col, score FROM (SELECT profile, row, col, {ratio_sql('(t.s * w.s)', 'p.s')} AS score FROM {PT} t JOIN {PW} w USING (profile, row, col) JOIN {PP} p USING (profile, row, col) WHERE profile % 3 = 0
+UNION ALL SELECT profile, row, col, least(greatest(t.s - w.s, 0), 1) FROM {PT} t JOIN {PW} w USING (profile, row, col) WHERE profile % 3 = 1 UNION ALL SELECT profile, row, col, s FROM {PP} WHERE profile % 3 = 2) WHERE score IS NOT NULL"""
+
+
+def stored_profiles(t, listed):
+    """A profile per supplier with one of ``listed`` formulas; one curve serves its three axes."""
     curves = profile_curves(t)
-    profiles = curves.select("profile", F.element_at(F.array(*[F.lit(f) for f in PROFILE_FORMULAS]), (key % 3 + 1).cast("int")).alias("formula"))
-    # one curve serves the three axes of its profile
+    choice = F.element_at(F.array(*[F.lit(f) for f in listed]), (F.col("profile") % len(listed) + 1).cast("int"))
     per_axis = reduce(lambda a, b: a.unionByName(b), [curves.withColumn("axis", F.lit(a)) for a in ("temp", "water", "pop")])
-    return s.score_profiles(layer(t), profiles, per_axis).withColumn("score", F.round("score", 9))
+    return curves.select("profile", choice.alias("formula")), per_axis
+
+
+@check("c09_score_profiles", f"SELECT profile, row, col, round(score, 9) AS score FROM ({C09_SQL})")
+def c09(t):
+    profiles, curves = stored_profiles(t, PROFILE_FORMULAS)
+    return s.score_profiles(layer(t), profiles, curves).withColumn("score", F.round("score", 9))
+
+
+@check("c09_best_places", f"""SELECT profile, CAST(rank AS INTEGER) AS rank, row, col, round(score, 9) AS score FROM
+(SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, row, col) AS rank FROM ({C09_SQL})) WHERE rank <= 7""")
+def c09b(t):
+    profiles, curves = stored_profiles(t, PROFILE_FORMULAS)
+    return best_places(layer(t), profiles, curves, 7, span=8, side=4).withColumn("score", F.round("score", 9))
+
+
+ACTIVE_FORMULAS = ["", "temp +* water", "  ", "temp - nowhere", "pop - soil"]
+
+
+@check("c09_active_axis", f"SELECT profile, row, col, round(s, 9) AS score FROM {PW} WHERE profile % 5 IN (0, 2)")
+def c09a(t):
+    """Profiles without a formula score their active axis; formulas that cannot be read leave the others alone."""
+    profiles, curves = stored_profiles(t, ACTIVE_FORMULAS)
+    return s.score_profiles(layer(t), profiles.withColumn("active_axis", F.lit("water")), curves).withColumn("score", F.round("score", 9))
 
 
 @check("l05_top_places", f"SELECT row, col, score FROM ({SCORE_SQL}) WHERE score IS NOT NULL ORDER BY score DESC, row, col LIMIT 100")
 def l05(t):
     scored = s.score(layer(t), FLAGSHIP, c.default_curves(t.spark)).withColumn("score", F.round("score", 9))
     return s.top_places(scored, 100)
+
+
+FULL3 = {"temp": "CAST(max(id % 256) AS INTEGER)", "water": "CAST(max(id * 7 % 256) AS INTEGER)"}
+
+
+def pixel_scores(axis):
+    return f"(SELECT x, y, px, py, l.score AS s FROM (SELECT x, y, px, py, {FULL3[axis]} AS byte FROM {PLACED3} GROUP BY ALL) JOIN {default_lut_sql(axis)} l USING (byte) WHERE byte > 0)"
+
+
+@check("j15_score_at_points", f"""SELECT id, CASE WHEN t.s IS NOT NULL AND w.s IS NOT NULL THEN round({ratio_sql('t.s', '(w.s + draw)')}, 9) END AS score FROM b_points LEFT JOIN (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM {FINE} f WHERE f.op = 'paint' AND f.x = (p.x * 256 + px) >> 4 AND f.y = (p.y * 256 + py) >> 4) THEN 1 ELSE 0 END AS draw FROM {PLACED3} p) USING (id)
+LEFT JOIN {pixel_scores('temp')} t USING (x, y, px, py) LEFT JOIN {pixel_scores('water')} w USING (x, y, px, py)""")
+def j15p(t):
+    """A formula with the painted mask, read at points over zoom-3 tiles."""
+    pixels = tile_pixel(t.points(), 3).groupBy("z", "x", "y", "px", "py").agg(
+        F.max((F.col("id") % 256).cast("int")).alias("temp"), F.max((F.col("id") * 7 % 256).cast("int")).alias("water")
+    )
+    tiles = pixels.unpivot(["z", "x", "y", "px", "py"], ["temp", "water"], "axis", "byte")
+    return s.score_at(t.points(), tiles, 3, "temp / (water + draw)", c.default_curves(t.spark), mask=painted(t)).withColumn("score", F.round("score", 9))

@@ -60,7 +60,7 @@ def quantize_lut(lut: DataFrame) -> DataFrame:
 
 
 def apply_curve(layer: DataFrame, lut: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Layer bytes to scores in 255ths; byte 0 has no score.
+    """Layer bytes to scores in 255ths; byte 0 has no score, and without a curve a byte counts as it is.
 
     With one curve per axis the lookup holds 256 rows for each of at most 37 axes and is broadcast; under
     other keys (profiles) its size is not bounded and Spark chooses the join.
@@ -69,7 +69,7 @@ def apply_curve(layer: DataFrame, lut: DataFrame, keys: list[str] | None = None)
     keys = keys or ["axis"]
     lookup = lut.select(*keys, "byte", (F.col("lut_byte").cast("double") / 255.0).alias("_s"))
     scored = layer.join(F.broadcast(lookup) if bounded else lookup, [*keys, "byte"], "left")
-    return scored.withColumn("score", F.when(F.col("byte") > 0, F.col("_s"))).drop("_s")
+    return scored.withColumn("score", F.when(F.col("byte") > 0, F.coalesce("_s", F.col("byte").cast("double") / 255.0))).drop("_s")
 
 
 def default_curves(spark: SparkSession, axes: list[str] | None = None) -> DataFrame:

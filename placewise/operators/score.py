@@ -6,51 +6,105 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.functions.encode import share_to_byte
-from placewise.functions.formula import PIECES, clamp_score, formula_column, validate_formula
+from placewise.functions.formula import PIECES, FormulaError, clamp_score, formula_column, validate_formula
+from placewise.functions.grid import MAX_MASK_LEVEL, TILE_PX, mercator_y, tile_pixel
 from placewise.functions.rounding import half_up, squeeze
 from placewise import dims
+from placewise.operators.brush import QUAD, mask_axis
 from placewise.operators.curves import apply_curve, curve_lut, quantize_lut
-from placewise.session import materialised
+from placewise.operators.places import score_all
+from placewise.operators.quantile import exact_quantiles
 
 CELL = ["row", "col"]
-#: Profiles scored together; each carries up to four 256-entry lookups (8 KB), so 2 MB per group.
-PROFILE_GROUP = 256
+DRAW = "draw"
+#: Profiles that score the cells of a square together.
+PROFILE_GROUP = 64
+#: Share of an axis's positive cells below its upper bound where the registry leaves it open, and the bound without any.
+OPEN_SHARE, DEFAULT_CAP = 0.995, 5000.0
 
 
-def encode_layers(layers: DataFrame) -> DataFrame:
-    """axis, row, col, byte under each axis's fixed bounds, which come from a 36-row dimension.
+def encode_layers(layers: DataFrame, open_axes: list[str] | None = None) -> DataFrame:
+    """axis, row, col, byte under each axis's bounds.
 
-    An open lower bound counts as 0, as it does when bytes are decoded; axes whose upper bound comes from
-    the data are encoded on their own (``plans.layers``).
+    Fixed bounds come from a 36-row dimension; there an open lower bound counts as 0, as it does when bytes are decoded.
+    ``open_axes`` names the axes whose upper bound the registry leaves open and which the layers hold: theirs is p99.5 of
+    the axis's own positive cells, all of them in one keyed pass over those axes. Any other axis stops the job by name,
+    so that none is lost without a word.
     """
+    open_axes = list(open_axes or [])
     registry = F.broadcast(dims.axis_dim(layers.sparkSession))
+    scaled = layers.join(registry, "axis", "left")
+    if open_axes:
+        positive = layers.where(F.col("axis").isin(open_axes) & (F.col("value") > 0))
+        own = exact_quantiles(positive, "value", {"cap": OPEN_SHARE}, ["axis"])
+        scaled = scaled.join(F.broadcast(own), "axis", "left")  # one row per named axis
+        is_open = F.col("axis").isin(open_axes)
+        bounds = {"lo": F.lit(0.0), "hi": F.log1p(F.coalesce("cap", F.lit(DEFAULT_CAP))), "is_log": F.lit(True), "inverted": F.lit(False)}
+        scaled = scaled.withColumns({name: F.when(is_open, bound).otherwise(F.col(name)) for name, bound in bounds.items()})
     value, log = F.col("value"), F.col("is_log")
     shown = F.when(log & (value > 0), F.log1p(value)).when(log, F.lit(0.0)).otherwise(value)
     share = squeeze((shown - F.col("lo")) / (F.col("hi") - F.col("lo")), 0.0, 1.0)
     sign, base = F.when(F.col("inverted"), F.lit(-1.0)).otherwise(F.lit(1.0)), F.when(F.col("inverted"), F.lit(1.0)).otherwise(F.lit(0.0))
-    return layers.join(registry, "axis").select("axis", *CELL, share_to_byte(value, base + sign * share).alias("byte"))
+    lost = F.raise_error(F.concat(F.lit("no bounds for axis "), F.coalesce("axis", F.lit("NULL")))).cast("int")
+    return scaled.select("axis", *CELL, F.when(F.col("hi").isNull(), lost).otherwise(share_to_byte(value, base + sign * share)).alias("byte"))
 
 
-def axes_at(layer: DataFrame, axes: list[str], value: str, prefix: str = "f_") -> DataFrame:
+def axes_at(layer: DataFrame, axes: list[str], value: str, prefix: str = "f_", on: list[str] | None = None) -> DataFrame:
     """One row per cell that has every axis, a column per axis.
 
     Only the wanted axes are read (a partition filter on stored layers); one combinable aggregation
-    does the work of a join per axis.
+    does the work of a join per axis. ``on`` names the columns of a cell.
     """
-    wide = layer.where(F.col("axis").isin(axes)).groupBy(*CELL).agg(
+    wide = layer.where(F.col("axis").isin(axes)).groupBy(*(on or CELL)).agg(
         *[F.max(F.when(F.col("axis") == a, F.col(value))).alias(f"{prefix}{a}") for a in axes]
     )
     return wide.na.drop(subset=[f"{prefix}{a}" for a in axes])
 
 
-def score(layer: DataFrame, formula: str, curves: DataFrame, active_axis: str | None = None) -> DataFrame:
-    """row, col, score of a byte layer under a formula; an empty formula scores the active axis alone."""
+def score(layer: DataFrame, formula: str, curves: DataFrame, active_axis: str | None = None, on: list[str] | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """Cell and score of a byte layer under a formula; an empty formula scores the active axis alone.
+
+    ``on`` names the columns of a cell (row and column by default). The axis ``draw`` is 1 on the painted cells of
+    ``mask`` and 0 on all others; it asks for cells given as level, cx and cy, and never lacks a value.
+    """
+    text, on = formula.strip() or active_axis, on or CELL
+    axes = validate_formula(text)
+    stored = [a for a in axes if a != DRAW]
+    lut = quantize_lut(curve_lut(curves.where(F.col("axis").isin(stored))))
+    if stored:
+        wide = axes_at(apply_curve(layer.where(F.col("axis").isin(stored)), lut), stored, "score", on=on)
+    else:
+        wide = layer.select(*on).distinct()
+    if DRAW in axes:
+        if mask is None or not set(QUAD) <= set(on):
+            raise FormulaError("draw needs a mask and cells given as level, cx, cy")
+        wide = mask_axis(wide, mask)
+    return _finished(wide.select(*on, formula_column(text).alias("score")))
+
+
+def score_at(points: DataFrame, tiles: DataFrame, zoom: int, formula: str, curves: DataFrame, active_axis: str | None = None, mask: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """key, score of a formula under each point; NULL where an axis has no data, the map ends or the result is no number.
+
+    ``tiles`` holds axis, z, x, y, px, py, byte. Only the pixels that points lie on are scored, each once however many
+    points share it: the distinct pixels go to the tiles, and the points pick their pixel's score up. Both joins are on
+    the pixel, so a place with very many points is one row on its way to the tiles; AQE splits it on the way back.
+    """
+    pixel = ["z", "x", "y", "px", "py"]
     text = formula.strip() or active_axis
     axes = validate_formula(text)
-    lut = quantize_lut(curve_lut(curves.where(F.col("axis").isin(axes))))
-    scored = apply_curve(layer.where(F.col("axis").isin(axes)), lut)
-    wide = axes_at(scored, axes, "score")
-    return _finished(wide.select(*CELL, formula_column(text).alias("score")))
+    placed = tile_pixel(points, zoom).select(key, *pixel)
+    wanted = placed.select(*pixel).distinct()
+    if axes == [DRAW]:
+        under = wanted.select(F.lit(DRAW).alias("axis"), *pixel, F.lit(1).alias("byte"))
+    else:
+        under = tiles.where((F.col("z") == zoom) & F.col("axis").isin([a for a in axes if a != DRAW])).join(wanted, pixel)
+    # the painted cell of a pixel: its own place in the quadtree, or that of its ancestor at the deepest level
+    level = F.least(F.col("z") + 8, F.lit(MAX_MASK_LEVEL)).cast("int")
+    down = lambda tile, px: F.expr(f"shiftright({tile} * {TILE_PX} + {px}, z + 8 - least(z + 8, {MAX_MASK_LEVEL}))").cast("int")
+    under = under.withColumns({"level": level, "cx": down("x", "px"), "cy": down("y", "py")})
+    scored = score(under, text, curves, on=[*pixel, *QUAD], mask=mask)
+    out = placed.join(scored.select(*pixel, "score"), pixel, "left").select(key, "score")
+    return out.unionByName(points.where(mercator_y(F.col("lat")).isNull()).select(key, F.lit(None).cast("double").alias("score")))
 
 
 def _finished(results: DataFrame) -> DataFrame:
@@ -102,46 +156,5 @@ def validate_formulas(profiles: DataFrame) -> DataFrame:
 
 
 def score_profiles(layer: DataFrame, profiles: DataFrame, curves: DataFrame) -> DataFrame:
-    """profile, row, col, score for every stored profile over one grid.
-
-    The layer is brought to one row per cell once. Profiles sharing a formula are scored inside that row,
-    their lookups read in place from arrays of about ``PROFILE_GROUP`` profiles, so no cell is shuffled
-    per profile. Only the distinct formulas and their profile counts come to the driver.
-    """
-    sizes = {r["formula"]: r["count"] for r in profiles.groupBy("formula").count().collect()}
-    formulas = sorted(sizes)
-    wanted = sorted({a for f in formulas for a in validate_formula(f)})
-    wide = _wide_bytes(layer, wanted)
-    entries = F.sort_array(F.collect_list(F.struct("byte", "lut_byte")))
-    # spread by the grouping key before each curve fans out to 256 rows; the grouping then needs no shuffle
-    spread = curves.where(F.col("axis").isin(wanted)).repartition("profile", "axis")
-    lut = quantize_lut(curve_lut(spread)).groupBy("profile", "axis").agg(
-        F.transform(entries, lambda s: s["lut_byte"].cast("double") / 255.0).alias("lut")
-    )
-    per_profile = lut.groupBy("profile").agg(*[F.max(F.when(F.col("axis") == a, F.col("lut"))).alias(f"l_{a}") for a in wanted])
-    members = materialised(profiles.select("profile", "formula").join(per_profile, "profile"))
-    out = None
-    for formula in formulas:
-        axes = validate_formula(formula)
-        groups = -(-sizes[formula] // PROFILE_GROUP)
-        cells = wide.na.drop(subset=[f"b_{a}" for a in axes])
-        for group in range(groups):
-            chosen = members.where((F.col("formula") == formula) & (F.pmod(F.xxhash64("profile"), F.lit(groups)) == group))
-            item = F.struct("profile", *[f"l_{a}" for a in axes])
-            packed = chosen.agg(F.sort_array(F.collect_list(item)).alias("_l"))
-            # one struct of arrays, read by position: every use is the same (reused) subquery
-            arrays = packed.select(F.struct(*[F.col(f"_l.{c}").alias(c) for c in ("profile", *[f"l_{a}" for a in axes])])).scalar()
-            column = arrays.getField
-            rows = cells.withColumn("_i", F.explode(F.sequence(F.lit(1), F.size(column("profile")))))
-            lookup = lambda a: F.element_at(F.element_at(column(f"l_{a}"), F.col("_i")), F.col(f"b_{a}") + 1).alias(f"f_{a}")
-            scored = rows.select(F.element_at(column("profile"), F.col("_i")).alias("profile"), *CELL, *[lookup(a) for a in axes])
-            part = _finished(scored.select("profile", *CELL, formula_column(formula).alias("score")))
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _wide_bytes(layer: DataFrame, axes: list[str]) -> DataFrame:
-    """One row per cell with a byte column per axis, NULL where the cell lacks the axis."""
-    return layer.where(F.col("axis").isin(axes) & (F.col("byte") > 0)).groupBy(*CELL).agg(
-        *[F.max(F.when(F.col("axis") == a, F.col("byte"))).alias(f"b_{a}") for a in axes]
-    )
+    """profile, row, col, score for every stored profile over one grid: see :func:`placewise.operators.places.score_all`."""
+    return score_all(layer, profiles, curves, served=PROFILE_GROUP)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def build_session(master: str | None = None, app: str = "placewise", **conf: str
     return builder.getOrCreate()
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package where it runs in place, without an installation or --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
