@@ -7,13 +7,39 @@ from pyspark.sql import functions as F
 
 from placewise import dims
 from placewise.functions.grid import Grid, lookup_cell, lookup_cell_origin, tile_pixel
+from placewise.session import written
 
 CELL = ["row", "col"]
 TILE = ["axis", "z", "x", "y"]
 MAX_PARENT_LEVELS = 6
+#: Rows of a lookup that is sent to every task; both half-degree and quarter-degree cell tables of the earth fit.
+SENT = 1 << 20
 DISTRICT_ZOOM, STATE_ZOOM = 6.0, 3.5
 
 
+def attach(points: DataFrame, records: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``points`` with the columns of the records that have their key.
+
+    The records are written once and counted. Up to ``SENT`` of them go to every task and the points stay where they
+    are. Of more, both sides are dealt by key, the points once: keys with more points than half a task's share are cut
+    into slices of that size, their few records sent to each slice; points without a key are spread as well.
+    """
+    spark = points.sparkSession
+    records = written(records, "records")
+    if records.count() <= SENT:
+        return points.join(F.broadcast(records), on, how)
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(points.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    share = max(1, (counts.agg(F.sum("_n")).first()[0] or 0) // tasks)
+    # fewer rows than tasks, as each stands for more than a task's half
+    hot = F.broadcast(counts.where(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / share).cast("int").alias("_slices")))
+    keyless = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
+    slices = F.coalesce("_slices", F.when(keyless, F.lit(tasks)), F.lit(1))
+    dealt = points.join(hot, on, "left").withColumn("_slice", F.pmod(F.xxhash64(*points.columns), slices.cast("long")).cast("int")).drop("_slices")
+    spread = records.join(hot, on, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
+    return dealt.join(spread, [*on, "_slice"], how).drop("_slice")
+
+
 def value_at(points: DataFrame, tiles: DataFrame, zoom: int, axis: str) -> DataFrame:
     """The byte of one axis under each point; NULL where there is no data."""
     placed = tile_pixel(points, zoom)
@@ -48,7 +74,7 @@ def gdp_at(points: DataFrame, states: DataFrame, countries: DataFrame) -> DataFr
     ``points`` holds zoom, district_value, state, country, year; ``states`` state, year, state_value;
     ``countries`` country, year, country_value. The two lookups are keyed by administrative names.
     """
-    joined = points.join(states, ["state", "year"], "left").join(countries, ["country", "year"], "left")
+    joined = attach(attach(points, states, ["state", "year"], "left"), countries, ["country", "year"], "left")
     district = (F.col("zoom") >= DISTRICT_ZOOM) & F.col("district_value").isNotNull()
     state = (F.col("zoom") >= STATE_ZOOM) & F.col("state_value").isNotNull()
     tier = F.when(district, "District").when(state, "State").when(F.col("country_value").isNotNull(), "Country")
@@ -58,24 +84,25 @@ def gdp_at(points: DataFrame, states: DataFrame, countries: DataFrame) -> DataFr
 
 def risk_at(points: DataFrame, lookup: DataFrame, grid: Grid, key: str = "id") -> DataFrame:
     """key, hazard, rate, intensity, composite from a tenths lookup (hazard, row, col, tenths, intensity)."""
-    placed = lookup_cell(points, grid).select(key, *CELL)
-    totals = lookup.groupBy(*CELL).agg(F.max("composite_tenths").alias("_c"))
-    return placed.join(lookup.join(totals, CELL), CELL).select(
-        key, "hazard", (F.col("tenths") / 10.0).alias("rate"), "intensity", (F.col("_c") / 10.0).alias("composite")
+    cells = lookup.groupBy(*CELL).agg(
+        F.sort_array(F.collect_list(F.struct("hazard", (F.col("tenths") / 10.0).alias("rate"), "intensity"))).alias("_hazards"),
+        (F.max("composite_tenths") / 10.0).alias("composite"),
     )
+    found = attach(lookup_cell(points, grid).select(key, *CELL), cells, CELL)
+    return found.select(key, F.inline("_hazards"), "composite").select(key, "hazard", "rate", "intensity", "composite")
 
 
 def region_at(points: DataFrame, region_cells: DataFrame, records: DataFrame, grid: Grid) -> DataFrame:
     """Each point with the record of its region; id 0 or no cell means none."""
     placed = lookup_cell(points, grid)
     ids = region_cells.where(F.col("zone") > 0)
-    return placed.join(ids, CELL, "left").join(records, "zone", "left").drop(*CELL)
+    return attach(placed, ids.join(records, "zone", "left"), CELL, "left").drop(*CELL)
 
 
 def crops_at(points: DataFrame, lists: DataFrame, names: list[str], grid: Grid, key: str = "id") -> DataFrame:
     """(key, rank, crop, value) of the top crops under each point."""
     placed = lookup_cell_origin(points, grid).select(key, *CELL).where(F.col("row").isNotNull())
-    rows = placed.join(lists, CELL).select(key, F.posexplode("top").alias("_i", "_t"))
+    rows = attach(placed, lists, CELL).select(key, F.posexplode("top").alias("_i", "_t"))
     return rows.select(key, (F.col("_i") + 1).alias("rank"), index_name(names, F.col("_t.idx")).alias("crop"), F.col("_t.value").alias("value"))
 
 
@@ -85,14 +112,14 @@ def index_name(names: list[str], index: Column) -> Column:
 
 def energy_at(points: DataFrame, cell_zone: DataFrame, zones: DataFrame, scores: DataFrame, grid: Grid) -> DataFrame:
     """Each point with its country's balance score and fuel capacities (one row per fuel)."""
-    placed = lookup_cell(points, grid).join(cell_zone, CELL).join(zones, "zone")
-    return placed.join(scores, "name").drop(*CELL)
+    placed = attach(lookup_cell(points, grid), cell_zone.join(zones, "zone"), CELL)
+    return attach(placed, scores, ["name"]).drop(*CELL)
 
 
 def freedom_at(points: DataFrame, cell_zone: DataFrame, zones: DataFrame, records: DataFrame, year: int, grid: Grid) -> DataFrame:
     """Each point with its country's freedom record of exactly ``year``."""
-    placed = lookup_cell(points, grid).join(cell_zone, CELL).join(zones, "zone")
-    return placed.join(records.where(F.col("year") == year), "name").drop(*CELL)
+    placed = attach(lookup_cell(points, grid), cell_zone.join(zones, "zone"), CELL)
+    return attach(placed, records.where(F.col("year") == year), ["name"]).drop(*CELL)
 
 
 def freedom_text(fields: dict[str, str]) -> Column:

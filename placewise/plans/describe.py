@@ -10,7 +10,7 @@ from placewise.functions import encode
 from placewise.functions.grid import Grid, lookup_cell, lookup_cell_origin
 from placewise.functions.rounding import half_up
 from placewise.operators.aggregate import CELL
-from placewise.operators.lookup import index_name
+from placewise.operators.lookup import attach, index_name
 
 
 def hazard_text(points: DataFrame, lookup: DataFrame, grid: Grid, key: str = "id") -> DataFrame:
@@ -30,7 +30,7 @@ def hazard_text(points: DataFrame, lookup: DataFrame, grid: Grid, key: str = "id
         F.lit("~0 chance per year")
     )
     texts = per_cell.select(*CELL, F.concat_ws("\n", headline, F.transform("_lines", lambda s: s["_l"])).alias("text"))
-    return lookup_cell(points, grid).join(texts, CELL).select(key, "text")
+    return attach(lookup_cell(points, grid), texts, CELL).select(key, "text")
 
 
 def _label(hazard: Column) -> Column:
@@ -52,7 +52,7 @@ def energy_text(points: DataFrame, cell_zone: DataFrame, zones: DataFrame, score
         F.concat(F.col("name"), F.lit(" -- "), encode.balance_label(F.col("score") / 100.0))
     )
     texts = zones.join(scores, "name", "left").select("zone", F.concat_ws("\n", headline, lines).alias("text"))
-    return lookup_cell(points, grid).join(cell_zone, CELL).join(texts, "zone").select(key, "text")
+    return attach(lookup_cell(points, grid), cell_zone.join(texts, "zone").select(*CELL, "text"), CELL).select(key, "text")
 
 
 def crop_text(points: DataFrame, lists: DataFrame, names: list[str], kind: str, grid: Grid, key: str = "id") -> DataFrame:
@@ -66,7 +66,7 @@ def crop_text(points: DataFrame, lists: DataFrame, names: list[str], kind: str,
     else:
         lines = F.transform(F.filter("top", lambda e: e["value"] > 0), lambda e: F.concat(name(e), F.lit(" "), e["value"].cast("string"), F.lit(" SI")))
     texts = lists.select(*CELL, F.concat_ws("\n", lines).alias("text"))
-    return lookup_cell_origin(points, grid).join(texts, CELL).select(key, "text")
+    return attach(lookup_cell_origin(points, grid), texts, CELL).select(key, "text")
 
 
 def development_text(byte: Column) -> Column:
