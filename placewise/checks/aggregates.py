@@ -62,9 +62,7 @@ def a06(t):
 @check("a06_zonal_weighted_mean_by_year", """SELECT y.year, ord AS zone, round(vw / sw, 4) AS mean, round(coalesce(sw, 0), 2) AS weight FROM b_adm1 CROSS JOIN (SELECT DISTINCT year FROM b_gdp) y LEFT JOIN
 (SELECT year, zone, sum(g.value * p.value) AS vw, sum(p.value) AS sw FROM b_gdp g JOIN b_pop p USING (row, col) JOIN b_cell_adm1 USING (row, col) WHERE p.value > 0 GROUP BY year, zone) z ON z.zone = ord AND z.year = y.year""")
 def a06y(t):
-    cells = t.layer_gdp()
-    years = cells.select("year").distinct().agg(F.collect_set("year").alias("_y")).scalar()
-    weights = t.layer_pop().withColumnRenamed("value", "weight").withColumn("year", F.explode(years))
+    cells, weights = t.layer_gdp(), t.layer_pop().withColumnRenamed("value", "weight")
     zones = t.zones_adm1().select(F.col("ord").alias("zone"))
     out = a.zonal_wmean(cells, weights, assign_zones(t.zones_adm1(), GRID), zones, ["year"])
     return rounded(out, "mean", digits=4).withColumn("weight", F.round("weight", 2))

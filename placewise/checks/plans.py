@@ -47,8 +47,7 @@ def gdp_tables(t):
     pop = t.layer_pop().select(F.lit(1997).alias("year"), *CELL, F.col("value").alias("weight"))
     years = t["orders"].select(F.year("o_orderdate").alias("year")).distinct()
     chosen = nearest_weight_year(years, pop.select("year").distinct().withColumn("path", F.lit("pop")))
-    weights = gdp.with_nearest_weights(years, pop, chosen)
-    return gdp.gdp_tiers(t.layer_gdp(), weights, assign_zones(adm1, GRID), assign_zones(adm0, GRID), home, adm0, anchors, names)
+    return gdp.gdp_tiers(t.layer_gdp(), pop, assign_zones(adm1, GRID), assign_zones(adm0, GRID), home, adm0, anchors, names, chosen)
 
 
 @check("p01_gdp_country_tier", f"SELECT year, 'REGION_' || region AS name, round(anchor, 4) AS anchor FROM {REGION_ANCHOR}")

@@ -43,13 +43,15 @@ def fuel_breakdown(plants: DataFrame) -> DataFrame:
 def zonal_wmean(cells: DataFrame, weights: DataFrame, cell_zone: DataFrame, zones: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Weighted mean and total weight per zone; cells without a value or weight count in neither.
 
-    ``keys`` (for example year) are carried by ``cells`` and ``weights``. Zones without any valid cell
+    ``keys`` (for example year) are carried by ``cells``, and by ``weights`` where those differ by key: weights that lack
+    a key hold for all its values. Zones without any valid cell
     keep a NULL mean and weight 0. All three cell tables meet on (row, col), so tables stored
     partitioned by cell need no further shuffle; the aggregation is combined map-side.
     """
     keys = list(keys or [])
+    shared = [*[k for k in keys if k in weights.columns], *CELL]
     joined = (
-        cells.join(weights.select(*keys, *CELL, "weight"), [*keys, *CELL])
+        cells.join(weights.select(*shared, "weight"), shared)
         .join(cell_zone, CELL)
         .where(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("weight") > 0))
     )
