@@ -34,6 +34,8 @@ DEPTH = 4
 STRETCH = (1 << 16) - DEPTH
 #: Occurrences that a group holds, up to one more prefix of as many.
 BUDGET = 1 << 20
+#: Tasks that build subtrees, at most; beyond, a task builds one after another.
+TASKS = 1 << 15
 #: Bytes of text that are counted together.
 COUNTED = 1 << 22
 UNKNOWN = "und"
@@ -117,6 +119,14 @@ class Groups:
             below += max(len(begins), 1)
         return out
 
+    @property
+    def count(self) -> int:
+        return sum(max(len(b), 1) for b in self.begins)
+
+    def depth(self, group: int) -> int:
+        """The length of the prefixes that a group holds whole; shorter ones are spread over groups."""
+        return int(np.searchsorted(np.cumsum([max(len(b), 1) for b in self.begins]), group, "right")) + 1
+
     def open(self, words: list[np.ndarray]) -> np.ndarray:
         """Which suffixes begin with a prefix that is above the budget at every length so far."""
         todo = np.ones(len(words[0]), bool)
@@ -175,9 +185,13 @@ def _begins(prefixes: DataFrame, budget: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in dealt.groupBy(group.alias("group")).agg(F.min("h").alias("h")).select("h").collect()], np.int64))
 
 
-def partition(docs: DataFrame, words: DataFrame, frequent, budget: int) -> Groups:
-    """The groups; further passes over the texts count extensions, and only where a prefix is above the budget."""
-    spark, groups, prefixes = docs.sparkSession, Groups(), words.select("h", "n")
+def partition(docs: DataFrame, words: DataFrame, frequent, budget: int) -> tuple[Groups, DataFrame]:
+    """The groups, and ``w, f`` of the phrases that were extended, whose occurrences no group holds whole.
+
+    Further passes over the texts count extensions, and only where a prefix is above the budget.
+    """
+    spark, groups, prefixes = docs.sparkSession, Groups(), words.select("h", "n", F.array("h").alias("w"))
+    extended = prefixes.select("w", F.col("n").alias("f")).where(F.lit(False))
     for depth in range(1, DEPTH + 1):
         heavy = [] if depth == DEPTH else [r[0] for r in prefixes.where(F.col("n") > budget).select("h").collect()]
         begins = _begins(prefixes.where(F.col("n") <= budget) if depth < DEPTH else prefixes, budget)
@@ -185,6 +199,8 @@ def partition(docs: DataFrame, words: DataFrame, frequent, budget: int) -> Group
         groups.begins.append(begins)
         if not heavy:
             break
+        if depth > 1:  # a sequence that ended earlier is filled up with empty places and is no phrase
+            extended = extended.unionByName(prefixes.where((F.col("n") > budget) & ~F.array_contains("w", 0)).select("w", F.col("n").alias("f")))
         known = spark.sparkContext.broadcast(groups)
 
         def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,15 +210,22 @@ def partition(docs: DataFrame, words: DataFrame, frequent, budget: int) -> Group
                         unpacked = _unpacked(dictionary, suffix)
                         open_ = known.value.open(unpacked)
                         longer = grown([u[open_] for u in unpacked], depth + 1)
-                        h, which = np.unique(longer, return_inverse=True)
-                        yield pa.RecordBatch.from_pydict({"h": h, "n": np.bincount(which, n[open_], len(h)).astype(np.int64)})
+                        h, first, which = np.unique(longer, return_index=True, return_inverse=True)
+                        w = _word_lists([u[open_][first] for u in unpacked[: depth + 1]])
+                        yield pa.RecordBatch.from_pydict({"h": h, "n": np.bincount(which, n[open_], len(h)).astype(np.int64), "w": w})
+
+        counted = docs.mapInArrow(extend, "h long, n long, w array<long>").groupBy("h").agg(F.sum("n").alias("n"), F.min("w").alias("w"))
+        prefixes = written(counted, "prefixes")
+    return groups, extended
+
 
-        prefixes = written(docs.mapInArrow(extend, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "prefixes")
-    return groups
+def _word_lists(words: list[np.ndarray]) -> pa.ListArray:
+    flat = np.stack([w.view(np.int64) for w in words], axis=1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(words), pa.int32()), pa.array(flat.ravel()))
 
 
-def _subtree(group: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
-    """The nodes of a group's tree that are of two words or more and occur ``least`` times."""
+def _subtree(group: pa.Table, least: int, shortest: int) -> Iterator[pa.RecordBatch]:
+    """The nodes of a group's tree that are of two words and ``shortest`` or more and occur ``least`` times."""
     dictionaries = [np.frombuffer(b, np.uint64) for b in group.column("d").to_pylist()]
     every = np.unique(np.concatenate(dictionaries))
     high, low = [], []
@@ -221,13 +244,14 @@ def _subtree(group: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     for depth in range(2, DEPTH + 1):
         if depth > 2:
             new = new | np.append(True, at[depth - 1][1:] != at[depth - 1][:-1])
+        if depth < shortest:
+            continue
         begins = np.flatnonzero(new)
         n = np.add.reduceat(count, begins)
         kept = begins[(n >= least) & (every[at[depth - 1][begins].astype(np.int64)] > 0)]
         if len(kept):
-            w = np.stack([every[at[k][kept].astype(np.int64)].view(np.int64) for k in range(depth)], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * depth, pa.int32()), pa.array(w.ravel()))
-            yield pa.RecordBatch.from_pydict({"w": lists, "f": n[np.searchsorted(begins, kept)]})
+            w = _word_lists([every[at[k][kept].astype(np.int64)] for k in range(depth)])
+            yield pa.RecordBatch.from_pydict({"w": w, "f": n[np.searchsorted(begins, kept)]})
 
 
 def phrases(docs: DataFrame, words: DataFrame, least: int, budget: int) -> DataFrame:
@@ -237,7 +261,8 @@ def phrases(docs: DataFrame, words: DataFrame, least: int, budget: int) -> DataF
     """
     many = words.count()
     frequent = bit_filter(words.select("h"), "h", min(BITS, 1 << max(20, (32 * many).bit_length())))
-    known = docs.sparkSession.sparkContext.broadcast(partition(docs, words, frequent, budget))
+    groups, extended = partition(docs, words, frequent, budget)
+    known = docs.sparkSession.sparkContext.broadcast(groups)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -262,10 +287,13 @@ def phrases(docs: DataFrame, words: DataFrame, least: int, budget: int) -> DataF
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["group"]):
-            yield from _subtree(group, least)
+            yield from _subtree(group, least, known.value.depth(group.column("group")[0].as_py()))
 
     sent = docs.mapInArrow(send, "group long, d binary, s binary, c binary")
-    return sent.repartition("group").sortWithinPartitions("group").mapInArrow(grow, "w array<long>, f long")
+    # a task for each group as far as Spark likes so many tasks, so that what a task reads follows from the budget
+    tasks = min(groups.count, TASKS)
+    nodes = sent.repartitionById(tasks, F.pmod("group", F.lit(tasks)).cast("int")).sortWithinPartitions("group").mapInArrow(grow, "w array<long>, f long")
+    return nodes.unionByName(extended.where(F.col("f") >= least))
 
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, share: int = 80, most: int = 2000, scale: int = 2_000_000, budget: int = BUDGET) -> DataFrame:
