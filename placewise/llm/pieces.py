@@ -27,8 +27,10 @@ from placewise.llm.text import text_blocks
 from placewise.llm.units import UnitEncoder, loaded
 from placewise.session import written
 
-#: Texts of more characters are cut into chunks of so many; so many chunks meet in a task of the tree.
-CHUNK, FAN = 16_384, 64
+#: Characters of a chunk; texts of so many chunks are giants; so many chunks meet in a task of the tree.
+CHUNK, GIANT, FAN = 16_384, 4, 64
+#: Chunks that a task turns into Python strings at once, and ids that it decodes at once.
+SOME, DECODED = 32, 1 << 18
 #: A longer stretch without a blank is searched here, not by the library, whose sums are of single precision.
 STRETCH = 400
 #: Pieces scored this low have no score of their own: those of one character come after all others, no path takes longer ones.
@@ -185,13 +187,20 @@ def _typed(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in more)])
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows of a batch at a time."""
+    for rows in batches:
+        for a in range(0, rows.num_rows, SOME):
+            yield rows.slice(a, SOME)
+
+
 def _giants(docs: DataFrame, path: str, text: str) -> DataFrame:
     """``_row`` and ``ids`` of documents that are cut into chunks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = model(path).width
         for rows in batches:
-            for row, t in zip(rows.column("_row").to_pylist(), rows.column("t").to_pylist()):
+            for row, t in ((rows.column("_row")[i].as_py(), rows.column("t")[i].as_py()) for i in range(rows.num_rows)):
                 t = _MARK + t.replace(" ", _MARK)
                 for k in range(0, len(t), CHUNK):
                     part = t[k : k + CHUNK + width - 1]
@@ -199,7 +208,7 @@ def _giants(docs: DataFrame, path: str, text: str) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for rows in batches:
+        for rows in _some(batches):
             made = [m.matrix(t, n).tobytes() for t, n in zip(rows.column("part").to_pylist(), rows.column("size").to_pylist())]
             yield rows.select(["_row", "k", "size", "part"]).append_column("m", pa.array(made, pa.binary()))
 
@@ -218,22 +227,28 @@ def _giants(docs: DataFrame, path: str, text: str) -> DataFrame:
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for rows in batches:
-            made = [m.trace(r["part"], r["size"], r["start"], r["end"]) for r in rows.select(["part", "size", "start", "end"]).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"_row": rows.column("_row"), "k": rows.column("k"), "ids": pa.array(made, pa.list_(pa.int32()))})
+        for rows in _some(batches):
+            made = [np.array(m.trace(r["part"], r["size"], r["start"], r["end"]), "<i4").tobytes() for r in rows.select(["part", "size", "start", "end"]).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"_row": rows.column("_row"), "k": rows.column("k"), "ids": _lists(made)})
+
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame):
+        """Neighbouring chunks together, over as many tasks as there are: small tables of much work are not coalesced."""
+        return rows.repartition(tasks, "_row", "p").groupBy("_row", "p")
 
     parts = docs.select("_row", F.col(text).alias("t")).mapInArrow(cut, "_row long, k long, size int, part string")
     chunks = written(parts.repartition("_row", "k").mapInArrow(measure, "_row long, k long, size int, part string, m binary"), "chunks")
     levels = [chunks.select("_row", "k", "m")]
     top = levels[0].agg(F.max("k")).first()[0] or 0
     while top > 0:
-        levels.append(written(levels[-1].groupBy("_row", F.floor(F.col("k") / FAN).alias("k")).applyInPandas(up, "_row long, k long, m binary"), "products"))
+        levels.append(written(dealt(levels[-1].withColumn("p", F.floor(F.col("k") / FAN))).applyInPandas(up, "_row long, k long, m binary"), "products"))
         top //= FAN
     states = levels[-1].select("_row", "k", F.lit(0).alias("start"), F.lit(0).alias("end"))
     for level in reversed(levels[:-1]):
         above = states.withColumnRenamed("k", "p")
         known = level.withColumn("p", F.floor(F.col("k") / FAN)).join(above, ["_row", "p"])
-        states = written(known.groupBy("_row", "p").applyInPandas(down, "_row long, k long, start int, end int"), "states")
+        states = written(dealt(known).applyInPandas(down, "_row long, k long, start int, end int"), "states")
     traced = chunks.select("_row", "k", "size", "part").join(states, ["_row", "k"]).mapInArrow(back, "_row long, k long, ids array<int>")
     return traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda c: c["ids"])).alias("ids"))
 
@@ -246,10 +261,10 @@ def _square(b: bytes) -> np.ndarray:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text; a null or empty text has none. A column named as ``ids`` is replaced.
 
-    A text of one chunk is encoded where it is read. Longer ones are written once, cut and put together by row.
+    A text under ``GIANT`` chunks is encoded where it is read. Longer ones are written once, cut and put together by row.
     """
     docs = docs.drop(ids)
-    long = F.char_length(text) >= CHUNK
+    long = F.char_length(text) >= GIANT * CHUNK
     whole = docs.where(~F.coalesce(long, F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +287,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> Da
         for rows in batches:
             lists = rows.column(ids)
             bounds = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-            flat = lists.values.to_numpy()
-            yield rows.append_column(text, pa.array([m.decode(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.string()))
+            flat, a = lists.values.to_numpy(), 0
+            while a < rows.num_rows:
+                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + DECODED, "right")) - 1)
+                texts = [m.decode(flat[x:y]) for x, y in zip(bounds[a:b], bounds[a + 1 : b + 1])]
+                yield rows.slice(a, b - a).append_column(text, pa.array(texts, pa.string()))
+                a = b
 
     return df.mapInArrow(run, _typed(df, (text, T.StringType())))
-
