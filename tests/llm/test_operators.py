@@ -266,9 +266,22 @@ def test_maximal_repeats_have_all_occurrences():
     assert found == {(61, ((0, 1), (1, 1))), (55, ((0, 1), (1, 1), (2, 1)))}
 
 
-def test_toxicity(spark, none):
+def test_toxicity(spark, none, tmp_path):
     queries.on_workers(spark)
-    folder = "/root/testdata/check_s"
+    folder, rng = f"file://{tmp_path}", random.Random(12)
+    parts = "ba ke lo mi nu ra se ti vo za chi dra fen gor hul".split()
+    ordinary = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) for _ in range(1500)]
+    toxic = ["".join(rng.choice("grk vex wuz pid sko yab".split()) for _ in range(rng.randint(2, 3))) for _ in range(24)]
+    made = []
+    for k in range(3000):
+        words = rng.choices(ordinary, k=rng.randint(20, 90))
+        if k % 9 == 0:
+            for _ in range(rng.randint(3, 7)):
+                words.insert(rng.randrange(len(words)), rng.choice(toxic))
+        made.append((k, " ".join(words), int(k % 9 == 0)))
+    made = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    made.drop("toxic").write.parquet(f"{folder}/documents.parquet")
+    made.drop("text").write.parquet(f"{folder}/labels.parquet")
     out = queries.QUERIES["op10_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")
     rows = out.select("toxic", "score", "predicted").collect()
     good = sum(r["toxic"] == r["predicted"] for r in rows) / len(rows)
