@@ -17,6 +17,8 @@ from placewise.functions.grid import Grid
 GRID = Grid.world(10.0)
 CELL_COUNT = GRID.width * GRID.height
 MONEY = "decimal(18,2)"
+#: The years that orders have, at every scale.
+ORDER_YEARS = list(range(1995, 2002))
 _SCHEMAS: dict[str, StructType] = {}
 
 

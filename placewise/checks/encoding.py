@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from placewise import dims
-from placewise.bind import GRID
+from placewise.bind import GRID, ORDER_YEARS
 from placewise.checks import check
 from placewise.functions import encode as e
 from placewise.functions.geometry import rings_area_km2
@@ -11,6 +11,7 @@ from placewise.operators.aggregate import CELL
 from placewise.operators.quantile import exact_quantiles
 from placewise.operators.ranking import share_pct
 from placewise.operators.score import validate_formulas
+from placewise.sources import sinks
 
 
 def byte_sql(value, lo, hi, invert=False, log=False):
@@ -79,10 +80,10 @@ def f08(t):
     return t.crop_cells().groupBy(*CELL).agg(F.sum("value").alias("total")).where(F.col("total") > 2000.0)
 
 
-@check("f09_drop_all_null", """SELECT row, col, y1996, y1998 FROM (SELECT row, col, max(CASE WHEN year = 1996 AND value > 50000 THEN value END) AS y1996, max(CASE WHEN year = 1998 AND value > 50000 THEN value END) AS y1998 FROM b_gdp GROUP BY row, col) WHERE y1996 IS NOT NULL OR y1998 IS NOT NULL""")
+@check("f09_drop_all_null", "SELECT * FROM (SELECT row, col, " + ", ".join(f"max(CASE WHEN year = {y} AND value > 50000 THEN value END) AS y{y}" for y in ORDER_YEARS) + " FROM b_gdp GROUP BY row, col) WHERE coalesce(" + ", ".join(f"y{y}" for y in ORDER_YEARS) + ") IS NOT NULL")
 def f09(t):
-    pick = lambda y: F.max(F.when((F.col("year") == y) & (F.col("value") > 50000), F.col("value"))).alias(f"y{y}")
-    return t.layer_gdp().groupBy(*CELL).agg(pick(1996), pick(1998)).na.drop(how="all", subset=["y1996", "y1998"])
+    rich = t.layer_gdp().withColumn("value", F.when(F.col("value") > 50000, F.col("value")))
+    return sinks.drop_all_null(sinks.year_columns(rich, CELL, ORDER_YEARS, prefix="y"), "y")
 
 
 def formulas(t):

@@ -385,15 +385,16 @@ def p15i(t):
     return layers.speed_layer(t.speedtests().withColumnsRenamed({"west": "lon", "south": "lat"}), GRID)
 
 
-FUELS = {"e_oil": ["ECONOMY", "PROMO"], "e_coal": ["STANDARD"], "e_geo": ["LARGE"]}
+#: The kinds of parts, dealt to all eight fuel axes; some count for two.
+FUELS = {"e_oil": ["ECONOMY", "PROMO"], "e_coal": ["STANDARD"], "e_gas": ["SMALL", "PROMO"], "e_nuke": ["MEDIUM"], "e_hydro": ["LARGE"], "e_wind": ["SMALL"], "e_solar": ["ECONOMY"], "e_geo": ["LARGE"]}
+FUEL_TOPS = {a: 5001 if a == "e_geo" else 10001 for a in FUELS}
 
 
 @check("p15_fuel_layers", " UNION ALL ".join(
-    f"SELECT '{a}' AS axis, row, col, {byte_sql('v', 0.0, f'ln({top})', log=True)} AS byte FROM (SELECT row, col, sum(capacity) AS v FROM (SELECT capacity, {POINT_CELL} FROM b_plants WHERE fuel IN ({', '.join(repr(x) for x in f)})) GROUP BY row, col)"
-    for (a, f), top in zip(FUELS.items(), (10001, 10001, 5001))))
+    f"SELECT '{a}' AS axis, row, col, {byte_sql('v', 0.0, f'ln({FUEL_TOPS[a]})', log=True)} AS byte FROM (SELECT row, col, sum(capacity) AS v FROM (SELECT capacity, {POINT_CELL} FROM b_plants WHERE fuel IN ({', '.join(repr(x) for x in f)})) GROUP BY row, col)"
+    for a, f in FUELS.items()))
 def p15f(t):
-    made = [layers.fuel_layer(t.plants(), a, GRID, f).select(F.lit(a).alias("axis"), *CELL, "byte") for a, f in FUELS.items()]
-    return reduce(DataFrame.unionByName, made)
+    return layers.fuel_layers(t.plants(), GRID, FUELS)
 
 
 CAPACITY = f"(SELECT row, col, sum(CAST(capacity AS DECIMAL(18,2)))::DOUBLE AS v FROM (SELECT capacity, {POINT_CELL} FROM b_plants) GROUP BY row, col)"

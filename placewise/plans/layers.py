@@ -14,6 +14,7 @@ from placewise.operators.aggregate import CELL, grid_mean, grid_sum
 from placewise.operators.masks import lake_mask, ocean_mask, water_mask
 from placewise.operators.quantile import exact_quantiles
 from placewise.operators.resample import resample_down
+from placewise.operators.score import encode_layers
 
 DEFAULT_CAP = 5000.0
 
@@ -85,6 +86,16 @@ def fuel_layer(plants: DataFrame, axis: str, grid: Grid, fuels: list[str] | None
     return encoded(grid_sum(cell_clamped(wanted, grid), "capacity"), axis)
 
 
+def fuel_layers(plants: DataFrame, grid: Grid, fuels: dict[str, list[str]] | None = None) -> DataFrame:
+    """axis, row, col, byte of all fuel axes from one scan of the plants; a fuel may count for several axes.
+
+    The fuels of an axis are a few dozen rows, and the axis is a grouping key.
+    """
+    pairs = [(fuel, axis) for axis, names in (fuels or dims.FUEL_AXES).items() for fuel in names]
+    keyed = plants.join(F.broadcast(dims.small_table(plants.sparkSession, pairs, "fuel string, axis string")), "fuel")
+    return encode_layers(grid_sum(cell_clamped(keyed, grid), "capacity", ["axis"]))
+
+
 def generation_layer(plants: DataFrame, grid: Grid) -> DataFrame:
     """All capacity per cell, log bytes between the layer's own p1 and p99."""
     layer = grid_sum(cell_clamped(plants, grid), "capacity")

@@ -88,6 +88,18 @@ def layer_fingerprint(layer: DataFrame, columns: list[str]) -> DataFrame:
     return folded.select("cells", F.substring(digest, 1, 10).alias("version"))
 
 
+def year_columns(rows: DataFrame, key: list[str], years: list[int], value: str = "value", prefix: str = "gdp_pc_") -> DataFrame:
+    """(key, year, value) rows to one row per key with a '<prefix><year>' column for each year, NULL where there is none."""
+    per_year = [F.max(F.when(F.col("year") == y, F.col(value))).alias(f"{prefix}{y}") for y in years]
+    return rows.groupBy(*key).agg(*per_year)
+
+
+def drop_all_null(df: DataFrame, prefix: str = "gdp_pc_") -> DataFrame:
+    """Rows that have a value in one '<prefix><year>' column at least."""
+    columns = [c for c in df.columns if c.startswith(prefix)]
+    return df.na.drop(how="all", subset=columns) if columns else df
+
+
 def split_year_columns(df: DataFrame, key: str, prefix: str = "gdp_pc_") -> DataFrame:
     """Wide '<prefix><year>' columns to (key, year, value) rows, one decimal, NULLs left out."""
     columns = [c for c in df.columns if c.startswith(prefix)]
