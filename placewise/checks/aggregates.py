@@ -10,7 +10,7 @@ from placewise.functions.grid import Grid, cell_bounded, cell_clamped
 from placewise.operators import aggregate as a
 from placewise.operators import climate, hazard, resample
 from placewise.operators.aggregate import CELL
-from placewise.operators.zones import assign_zones
+from placewise.operators.zones import assign_zones, row_sums, span_means, zone_spans
 from placewise.sources import readers
 
 CELL1 = "CAST(least(greatest(trunc((90 - lat) / 10), 0), 17) AS INTEGER) AS row, CAST(least(greatest(trunc((lon + 180) / 10), 0), 35) AS INTEGER) AS col"
@@ -70,7 +70,7 @@ def a06y(t):
 
 @check("a07_zonal_mean", "SELECT zone, round(avg(value), 4) AS mean, CAST(count(*) AS BIGINT) AS n FROM b_water JOIN b_cell_adm1 USING (row, col) GROUP BY zone")
 def a07(t):
-    return rounded(a.zonal_mean(t.layer_water(), assign_zones(t.zones_adm1(), GRID)), "mean", digits=4)
+    return rounded(span_means(row_sums(t.layer_water()), zone_spans(t.zones_adm1(), GRID)), "mean", digits=4)
 
 
 RATES_SQL = "(SELECT l_linenumber AS hazard, l_suppkey % 25 AS zone, CAST(count(*) AS DOUBLE) / 100 AS rate FROM lineitem WHERE l_suppkey % 25 <> 4 GROUP BY 1, 2)"

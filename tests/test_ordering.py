@@ -62,6 +62,33 @@ def test_blocked_order_operators(spark):
             last = o
 
 
+def test_blocks_of_sparse_order_values_are_even(spark):
+    rng = random.Random(8)
+    hashed = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(6000)]
+    data = [("hot", o) for o in hashed] + [("cold", o) for o in hashed[:50]] + [(None, o) for o in hashed[:300]]
+    df = spark.createDataFrame(data, "k string, o bigint").repartition(7)
+    for keys in (["k"], []):
+        sizes = prefix._blocked(df, keys, "o", 100).groupBy(*keys, "_block").count().collect()
+        hot = [r["count"] for r in sizes if not keys or r.k == "hot"]
+        assert 60 <= len(hot) <= 130 and max(hot) <= 125 and min(hot) >= 20
+        assert not keys or [r["count"] for r in sizes if r.k == "cold"] == [50]
+    got = {(r.k, r.o): r.n for r in prefix.running_count(df, ["k"], "o", "n", block=100).collect()}
+    for k in ("hot", "cold", None):
+        assert [got[k, o] for o in sorted(o for name, o in data if name == k)] == list(range(1, sum(name == k for name, _ in data) + 1))
+
+
+def test_missing_order_values_come_first(spark):
+    df = spark.createDataFrame([(None, 5), *[(o * 1000, 1) for o in range(40)]], "o bigint, v int")
+    sums = {r.o: r.s for r in prefix.running_sum(df, [], "o", "v", "s", block=8).collect()}
+    assert sums[None] == 5 and sums[0] == 6 and sums[39_000] == 45
+
+
+def test_numbering_with_hashed_order_values(spark):
+    df = spark.range(900).select(F.xxhash64("id").alias("o"), (F.col("id") % 2).cast("string").alias("k"), F.lit("p").alias("p"), F.lit("n").alias("n"))
+    names = {r.unique_key for r in ranking.dedupe_keys(df, "k", "o", "p", "n").collect()}
+    assert names == {f"{k}" if i == 1 else f"{k}#{i}" for k in "01" for i in range(1, 451)}
+
+
 def test_dedupe_keys(spark):
     df = spark.createDataFrame([(0, "A", "c", "x"), (1, "A", "c", "x"), (2, "B", "c", "x"), (3, "A", "c", "x"), (4, None, "", "n"), (5, "", "q", None)], "o int, k string, p string, n string")
     got = [r.unique_key for r in ranking.dedupe_keys(df, "k", "o", "p", "n").orderBy("o").collect()]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions.geometry import ring_centroid, rings_area_km2, wkt_ring
 from placewise.functions.grid import Grid
-from placewise.operators import focal, resample, zones
+from placewise.operators import aggregate, focal, resample, zones
 
 GRID = Grid.world(10.0)
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -79,6 +79,39 @@ def test_polygon_past_the_map_is_cut(spark):
     assert zones.assign_zones(polygons(spark, shapes), GRID).count() == 648
 
 
+def test_spans_grow_with_height(spark):
+    wide = Grid(0.05, 7200, 3600)
+    shapes = [[box(-170.02, -20.02, 150.03, 30.03)], [box(-30.0, 0.0, -10.0, 10.0)]]
+    spans = zones.zone_spans(polygons(spark, shapes), wide)
+    n, covered = spans.agg(F.count(F.lit(1)), F.sum(F.col("last") - F.col("first") + 1)).first()
+    rows, columns = (50.05 / 0.05), (320.05 / 0.05)
+    assert n <= (rows + 1) * (columns / zones.SPAN + 4) and abs(covered - rows * columns) < rows + columns
+
+
+def test_overlapping_ranges_are_settled_once(spark):
+    rng = random.Random(3)
+    shapes = [[box(x, y, x + rng.uniform(10, 90), y + rng.uniform(10, 60))] for x, y in ((rng.uniform(-180, 120), rng.uniform(-85, 40)) for _ in range(40))]
+    cells = zones.assign_zones(polygons(spark, shapes), GRID).collect()
+    got = {(r.row, r.col): r.zone for r in cells}
+    assert len(got) == len(cells) and got == brute(shapes)
+
+
+def test_means_from_row_sums(spark):
+    """Holes, repeated cells, missing, NaN and infinite values, two layers; equal to the mean over joined cells."""
+    rng, odd = random.Random(5), [None, float("nan"), float("inf"), float("-inf")]
+    data = [(k, r, c, rng.choice(odd) if rng.random() < 0.01 else rng.uniform(-9, 9)) for k in "ab" for r in range(18) for c in range(36) if rng.random() < 0.8]
+    data += rng.sample(data, 60)
+    layer = spark.createDataFrame(data, "axis string, row int, col int, value double")
+    shapes = polygons(spark, [[box(-180.0 + 60 * i, -90.0 + 30 * j, -135.0 + 60 * i, -60.0 + 30 * j)] for i in range(6) for j in range(6)])
+    want = {(r.axis, r.zone): r for r in aggregate.zonal_mean(layer, zones.assign_zones(shapes, GRID), ["axis"]).collect()}
+    got = {(r.axis, r.zone): r for r in zones.span_means(zones.row_sums(layer, ["axis"]), zones.zone_spans(shapes, GRID), ["axis"]).collect()}
+    assert got.keys() == want.keys() and any(r.mean != r.mean for r in want.values())
+    for k, r in want.items():
+        assert got[k].n == r.n and (got[k].mean == pytest.approx(r.mean, rel=1e-9, nan_ok=True))
+    none = layer.limit(0)
+    assert zones.span_means(zones.row_sums(none), zones.zone_spans(shapes, GRID)).count() == 0
+
+
 def test_wkt_centroid_and_area(spark):
     df = spark.createDataFrame([("POLYGON ((0 0, 4 0, 4 2, 0 2, 0 0))",)], "w string")
     row = df.select(ring_centroid(wkt_ring(F.col("w"))).alias("c")).first().c
