@@ -7,7 +7,9 @@ from placewise.bind import ORDER_YEARS, point_lat, point_lon
 from placewise.checks import check
 from placewise.checks.sqlbind import lat, lon
 from placewise.functions.encode import to_byte
+from placewise.session import shared_path
 from placewise.sources import readers, sinks
+from placewise.sources.store import LayerStore
 
 
 def text(column):
@@ -257,12 +259,16 @@ def s19(t):
 
 
 @check("s20_layer_write_once", """
-SELECT 'gdp' AS axis, CAST(NULL AS VARCHAR) AS scenario, year, CAST(count(*) AS BIGINT) AS cells FROM b_gdp WHERE year NOT IN (1996, 1997) GROUP BY year""")
+SELECT 'gdp' AS axis, CAST(NULL AS VARCHAR) AS scenario, year, CAST(count(*) AS BIGINT) AS cells, round(sum(CASE WHEN year IN (1996, 1997) THEN value ELSE value + 1 END), 3) AS total FROM b_gdp GROUP BY year""")
 def s20(t):
-    """Rows a second write would add when two years are stored already."""
-    layer = t.layer_gdp().withColumns({"axis": F.lit("gdp"), "scenario": F.lit(None).cast("string")})
-    fresh = sinks.skip_present(layer, layer.where(F.col("year").isin(1996, 1997)))
-    return fresh.groupBy("axis", "scenario", "year").agg(F.count(F.lit(1)).alias("cells"))
+    """Two years are stored; a write of all years (with other values) ends half way, is done again, and the store is read."""
+    layer = t.layer_gdp().select(F.lit("gdp").alias("axis"), F.lit(None).cast("string").alias("scenario"), "year", "row", "col", "value")
+    store = LayerStore(layer.sparkSession, shared_path(layer.sparkSession, "store"))
+    store.write(layer.where(F.col("year").isin(1996, 1997)))
+    late = layer.withColumn("value", F.col("value") + 1)
+    store._stage(late, "never-listed")
+    store.write(late)
+    return store.read().groupBy("axis", "scenario", "year").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("value"), 3).alias("total"))
 
 
 @check("s21_catalog", """

@@ -33,23 +33,6 @@ def skip_present(layer: DataFrame, stored: DataFrame) -> DataFrame:
     return layer.join(F.broadcast(present), [layer[k].eqNullSafe(present[k]) for k in LAYER_KEYS], "left_anti")
 
 
-def write_layer(layer: DataFrame, path: str) -> None:
-    """Append layer cells partitioned by axis, scenario and year, skipping partitions already there.
-
-    Files are clustered by 256-cell blocks so that a bounding box prunes row groups. Only the
-    partition keys of what is already stored are read.
-    """
-    spark = layer.sparkSession
-    try:
-        layer = skip_present(layer, spark.read.parquet(path))
-    except Exception as error:  # the store does not exist yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-    block = [F.floor(F.col(c) / TILE_PX).alias(f"_{c}") for c in ("row", "col")]
-    clustered = layer.select("*", *block).repartition(*LAYER_KEYS, "_row").sortWithinPartitions(*LAYER_KEYS, "_row", "_col", "row", "col")
-    clustered.drop("_row", "_col").write.mode("append").partitionBy(*LAYER_KEYS).parquet(path)
-
-
 def build_catalog(artefacts: DataFrame) -> DataFrame:
     """Per axis: static or not, sorted years, projection years per scenario, first static file.
 

@@ -11,6 +11,7 @@ from placewise.functions.grid import Grid
 from placewise.operators import aggregate, climate, hazard, names, years
 from placewise.plans import describe, energy, freedom, gdp
 from placewise.sources import readers, sinks
+from placewise.sources.store import LayerStore
 
 
 def write(folder, name, text):
@@ -111,17 +112,57 @@ def test_speed_tests_need_wkt(spark):
         readers.clean_speedtests(spark.createDataFrame([("0123", 5)], "quadkey string, avg_d_kbps bigint"))
 
 
+LAYER = "axis string, scenario string, year int, row int, col int, byte int"
+
+
+def layer_rows(spark, years, more=0):
+    rows = [("temp", None if y == 2002 else "historical", y, r, 0, r + y % 7 + more) for y in years for r in range(5)]
+    return spark.createDataFrame(rows, LAYER)
+
+
 def test_layer_store_is_write_once(spark, tmp_path):
-    path = str(tmp_path / "layers")
-    rows = [("temp", "historical", y, r, 0, r + y % 7) for y in (2000, 2001) for r in range(5)]
-    layer = spark.createDataFrame(rows, "axis string, scenario string, year int, row int, col int, byte int")
-    sinks.write_layer(layer.where("year = 2000"), path)
-    sinks.write_layer(layer.withColumn("byte", F.col("byte") + 100), path)
-    stored = readers.read_cells(spark, path, years=[2000, 2001, 1900]).collect()
-    assert len(stored) == 10 and {r.byte >= 100 for r in stored if r.year == 2000} == {False}
-    assert {r.byte >= 100 for r in stored if r.year == 2001} == {True}
-    plan = readers.read_cells(spark, path, years=[2000])._jdf.queryExecution().toString()
+    store = LayerStore(spark, str(tmp_path / "layers"))
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    assert store.write(layer_rows(spark, [2000])) == 1
+    assert store.write(layer_rows(spark, [2000, 2001, 2002], 100)) == 2
+    assert store.write(layer_rows(spark, [2000, 2001, 2002], 200)) == 0
+    cells = store.read().collect()
+    assert len(cells) == 15 and {r.year: r.byte >= 100 for r in cells} == {2000: False, 2001: True, 2002: True}
+    assert {r.year: r.scenario for r in cells} == {2000: "historical", 2001: "historical", 2002: None}
+    plan = store.read().where("year = 2000")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan or "PartitionFilters: [(year" in plan
+    assert store.write(spark.createDataFrame([], LAYER)) == 0
+    with pytest.raises(ValueError):
+        store.write(layer_rows(spark, [2005]).drop("byte"))
+
+
+def test_layer_store_after_a_write_that_ended_half_way(spark, tmp_path):
+    store = LayerStore(spark, str(tmp_path / "layers"))
+    store._stage(layer_rows(spark, [2000, 2001], 50), "lost")
+    assert store.stored().isEmpty()
+    assert store.write(layer_rows(spark, [2000])) == 1
+    store._stage(layer_rows(spark, [2001], 70), "lost-too")
+    assert sorted((r.year, r.byte) for r in store.read().collect()) == [(2000, 5 + r) for r in range(5)]
+    assert store.sweep() == 3 and store.sweep() == 0
+    assert store.write(layer_rows(spark, [2001])) == 1
+    assert store.read().count() == 10
+
+
+def test_of_two_writers_one_looks_again(spark, tmp_path, monkeypatch):
+    one, two = (LayerStore(spark, str(tmp_path / "layers")) for _ in range(2))
+    one.write(layer_rows(spark, [1999]))
+    stage, first = one._stage, []
+
+    def late(layer, commit):
+        stage(layer, commit)
+        if not first:
+            first.append(two.write(layer_rows(spark, [2000, 2001], 100)))
+
+    monkeypatch.setattr(one, "_stage", late)
+    assert one.write(layer_rows(spark, [2001, 2002])) == 1 and first == [2]
+    assert {r.year: r.byte >= 100 for r in one.read().collect()} == {1999: False, 2000: True, 2001: True, 2002: False}
+    assert one.read().count() == 20
 
 
 def test_lookup_sink(spark, tmp_path):
