@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from placewise import dims
 from placewise.functions.encode import is_country, number_or_null
 from placewise.functions.geometry import RINGS_TYPE, ring_centroid, wkt_ring
+from placewise.sources.records import json_records
 
 
 def _csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
@@ -197,18 +198,32 @@ INDICATOR_ENTRY = "struct<countryiso3code:string,country:struct<value:string>,da
 
 
 def read_indicator(spark: SparkSession, path: str) -> DataFrame:
-    """iso3, year, value from '[meta, [entry, ...]]' files, one document per file."""
-    return indicator_by_year(indicator_entries(spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc")))
+    """iso3, year, value from '[meta, [entry, ...]]' files, one document per file; large files are read by many tasks."""
+    return indicator_by_year(clean_indicator(_stored_entries(spark, path)))
 
 
 def read_indicator_latest(spark: SparkSession, path: str) -> DataFrame:
-    return indicator_by_name(indicator_entries(spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc")))
+    return indicator_by_name(clean_indicator(_stored_entries(spark, path)))
+
+
+def _stored_entries(spark: SparkSession, path: str) -> DataFrame:
+    records = json_records(spark, path, lists=2, objects=0)
+    return records.select(global_place().alias("pos"), F.from_json("doc", INDICATOR_ENTRY).alias("_e"))
+
+
+def global_place() -> Column:
+    """A record's place over all files: by file, then by its place there."""
+    return F.col("file_no") * (1 << 32) + F.col("pos")
 
 
 def indicator_entries(docs: DataFrame) -> DataFrame:
-    """Entries of each document with their position; a document of another shape has none."""
+    """Entries of documents held one per row in ``doc``, with their position; a document of another shape has none."""
     entries = F.from_json(F.get_json_object("doc", "$[1]"), f"array<{INDICATOR_ENTRY}>")
-    return docs.select(F.posexplode(entries).alias("pos", "_e")).select(
+    return clean_indicator(docs.select(F.posexplode(entries).alias("pos", "_e")))
+
+
+def clean_indicator(entries: DataFrame) -> DataFrame:
+    return entries.select(
         "pos", F.trim("_e.countryiso3code").alias("iso3"), F.col("_e.country.value").alias("name"),
         F.col("_e.date").try_cast("int").alias("year"), F.col("_e.value").try_cast("double").alias("value"),
     ).where(is_country(F.col("iso3")) & F.col("value").isNotNull())
@@ -301,22 +316,27 @@ def clean_fiw_cats(raw: DataFrame) -> DataFrame:
 
 
 def read_zones(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
-    """Features of GeoJSON collections, one collection per file, numbered by file, then place in it."""
-    docs = spark.read.text(path, wholetext=True)
-    files = F.array(*map(F.lit, sorted(docs.inputFiles())))
-    docs = docs.select(F.col("value").alias("doc"), F.array_position(files, F.input_file_name()).alias("file_no"))
-    return geojson_zones(docs, properties)
+    """Features of GeoJSON collections, one collection per file, numbered by file, then place in it.
+
+    Large files are read by many tasks, feature by feature.
+    """
+    records = json_records(spark, path, lists=1, objects=1)
+    return zone_rings(records.select(global_place().alias("ord"), F.from_json("doc", _feature(properties)).alias("_f")), properties)
+
+
+def _feature(properties: list[str]) -> str:
+    fields = ",".join(f"`{p}`:string" for p in properties)
+    return f"struct<properties:struct<{fields}>,geometry:struct<type:string,coordinates:string>>"
 
 
 def geojson_zones(docs: DataFrame, properties: list[str]) -> DataFrame:
+    """Features of collections held one per row in ``doc``, numbered by place."""
+    features = F.from_json(F.get_json_object("doc", "$.features"), f"array<{_feature(properties)}>")
+    return zone_rings(docs.select(F.posexplode(features).alias("ord", "_f")), properties)
+
+
+def zone_rings(rows: DataFrame, properties: list[str]) -> DataFrame:
     """ord, the wanted properties, rings (all rings of Polygon and MultiPolygon features together)."""
-    fields = ",".join(f"`{p}`:string" for p in properties)
-    feature = f"struct<properties:struct<{fields}>,geometry:struct<type:string,coordinates:string>>"
-    features = F.from_json(F.get_json_object("doc", "$.features"), f"array<{feature}>")
-    if "file_no" in docs.columns:
-        rows = docs.select("file_no", F.posexplode(features).alias("pos", "_f")).select(((F.col("file_no") - 1) * (1 << 32) + F.col("pos")).alias("ord"), "_f")
-    else:
-        rows = docs.select(F.posexplode(features).alias("ord", "_f"))
     coordinates = F.col("_f.geometry.coordinates")
     polygon = F.from_json(coordinates, "array<array<array<double>>>")
     multi = F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>"))

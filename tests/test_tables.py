@@ -11,6 +11,7 @@ from placewise.functions.grid import Grid
 from placewise.operators import aggregate, climate, hazard, names, years
 from placewise.plans import describe, energy, freedom, gdp
 from placewise.sources import readers, sinks
+from placewise.sources.records import json_records
 from placewise.sources.store import LayerStore
 
 
@@ -107,6 +108,31 @@ def test_geojson(spark, tmp_path):
     assert [(r.ord, r.NAME, len(r.rings), r.rings[0][1].x) for r in got] == [(0, "A", 2, 4.0), (1, "B", 2, 1.0)]
 
 
+def test_records_of_one_file_read_by_many_tasks(spark, tmp_path):
+    """Braces, quotes and escapes in strings, objects outside the list, nested ones, borders of splits anywhere."""
+    nasty = ['plain', '{', '}}', '"', '\\', '\\"{', 'a "b": [{', ']', "line\nbreak", "Å{é", ""]
+    features = [{"type": "Feature", "properties": {"NAME": f"{nasty[i % len(nasty)]}{i}", "more": {"deep": [{"x": [{}]}]}}, "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i + 1, 2], [i, 0]]]}} for i in range(400)]
+    folder = tmp_path / "zones"
+    folder.mkdir()
+    for name, indent in (("b.geojson", 1), ("a.geojson", None)):
+        write(folder, name, json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}, "features": features, "after": {"a": {"b": [{"c": {}}]}}}, indent=indent, ensure_ascii=indent is None))
+    write(folder, "c.geojson", json.dumps({"message": "nothing"}))
+    write(folder, "d.geojson", json.dumps({"features": []}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert spark.read.option("lineSep", "{").text(str(folder)).rdd.getNumPartitions() > 20
+        found = readers.read_zones(spark, str(folder), ["NAME"]).orderBy("ord").collect()
+        records = json_records(spark, str(folder), 1, 1).orderBy("file_no", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    names = [f["properties"]["NAME"] for f in features]
+    assert [r.NAME for r in found] == names * 2
+    assert [r.ord for r in found] == [*range(400), *((1 << 32) + i for i in range(400))]
+    assert all(r.rings[0][0].x == r.ord % (1 << 32) for r in found)
+    assert [json.JSONDecoder().raw_decode(r.doc)[0] for r in records] == features * 2
+
+
 def test_speed_tests_need_wkt(spark):
     with pytest.raises(ValueError):
         readers.clean_speedtests(spark.createDataFrame([("0123", 5)], "quadkey string, avg_d_kbps bigint"))
