@@ -7,6 +7,7 @@ document where its marked words reach a share of it. As tiles may lie in any ord
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,59 +27,113 @@ FILTER_BITS = 1 << 24
 _BASE = np.uint64(0x9FB21C651E98DF25)
 
 
-def _rolling(hashes: np.ndarray, free: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and Karp-Rabin hash of each run of ``length`` unmarked words."""
-    n = len(hashes) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(length - 1, _BASE, np.uint64)], dtype=np.uint64)
-    value = np.zeros(n, np.uint64)
-    for k in range(length):
-        value += hashes[k : k + n] * power[k]
-    gaps = np.r_[0, np.cumsum(~free)]
-    starts = np.flatnonzero(gaps[length:] == gaps[:-length])
-    return starts, value[starts]
+class _Words:
+    """A sequence of word hashes with Karp-Rabin hashes of any run in constant time, and marks of words that are taken."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.free = hashes, np.ones(len(hashes), bool)
+        self.power = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), _BASE, np.uint64)], dtype=np.uint64)
+        # sum of hash * base ** -place, so that runs are told by one subtraction and one product
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        self.shift = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), inverse, np.uint64)], dtype=np.uint64)
+        self.upto = np.r_[np.uint64(0), np.cumsum(hashes * self.shift[:-1], dtype=np.uint64)]
+
+    def run(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return (self.upto[at + n] - self.upto[at]) * self.power[at]
+
+    def free_starts(self, length: int) -> np.ndarray:
+        taken = np.r_[0, np.cumsum(~self.free)]
+        return np.flatnonzero(taken[length:] == taken[:-length])
+
+    def room(self) -> np.ndarray:
+        """How many free words follow from each place on."""
+        ends = np.r_[np.flatnonzero(~self.free), len(self.free)]
+        at = np.arange(len(self.free))
+        return ends[np.searchsorted(ends, at)] - at
+
+    def before(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The word before each place, and whether there is a free one."""
+        has = (at > 0) & self.free[at - 1]
+        return np.where(has, self.hashes[at - 1], np.uint64(0)), has
+
+
+def _left_maximal(a: _Words, b: _Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all matches of ``length`` free words that can't be carried on to the left.
+
+    Starts with the same run are grouped by the word before them; only starts of different groups, or at a border, pair.
+    A word said a thousand times thus gives thousands of pairs, not a million.
+    """
+    at_a, at_b = a.free_starts(length), b.free_starts(length)
+    of_a, of_b = a.run(at_a, length), b.run(at_b, length)
+    at_a, of_a = at_a[(met := np.isin(of_a, of_b))], of_a[met]
+    at_b, of_b = at_b[(met := np.isin(of_b, of_a))], of_b[met]
+    left, right = [], []
+
+    def groups(words: _Words, at: np.ndarray, of: np.ndarray) -> dict[int, dict]:
+        prior, has = words.before(at)
+        out: dict[int, dict] = {}
+        for i, h, p, inside in zip(at.tolist(), of.tolist(), prior.tolist(), has.tolist()):
+            out.setdefault(h, {}).setdefault(p if inside else None, []).append(i)
+        return out
+
+    of_b_groups = groups(b, at_b, of_b)
+    for h, by_prior in groups(a, at_a, of_a).items():
+        others = of_b_groups[h]
+        for p, mine in by_prior.items():
+            for q, theirs in others.items():
+                if p is None or q is None or p != q:
+                    left.append(np.repeat(mine, len(theirs)))
+                    right.append(np.tile(theirs, len(mine)))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _lengths(a: _Words, b: _Words, at_a: np.ndarray, at_b: np.ndarray, length: int) -> np.ndarray:
+    """Words that match from each pair of starts on, at least ``length``, by bisection over run hashes."""
+    low, high = np.full(len(at_a), length), np.minimum(a.room()[at_a], b.room()[at_b])
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        same = a.run(at_a, middle) == b.run(at_b, middle)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    return low
 
 
 def tiles(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word hashes: ``(start in a, start in b, length)``, longest first.
 
-    The search length starts at the shorter sequence and halves until something of that length matches; a longer match
-    than twice the length raises it again. No word lies in two tiles. Ties go to the first place in ``a``, then in ``b``.
+    Of all matches of unmarked words the longest is marked, again and again, until none of ``shortest`` words is left; no
+    word lies in two tiles, and ties go to the first place in ``a``, then in ``b``. The search length starts at the shorter
+    sequence and halves. Matches of one search length wait in a heap; one that others have cut into goes back in parts.
     """
-    free_a, free_b, found = np.ones(len(a), bool), np.ones(len(b), bool), []
-    length = max(shortest, min(len(a), len(b)))
-    while length >= shortest:
-        at_a, of_a = _rolling(a, free_a, length)
-        at_b, of_b = _rolling(b, free_b, length)
-        table: dict[int, list[int]] = {}
-        for i, h in zip(at_b.tolist(), of_b.tolist()):
-            table.setdefault(h, []).append(i)
-        matches = []
-        for i, h in zip(at_a.tolist(), of_a.tolist()):
-            for j in table.get(h, ()):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                    n += 1
-                if n >= length:
-                    matches.append((-n, i, j))
-        longest = -min(matches)[0] if matches else 0
-        if longest > 2 * length:
-            length = longest
-            continue
-        for n, i, j in sorted(matches):
-            n = -n
-            while n >= length and not (free_a[i : i + n].all() and free_b[j : j + n].all()):
-                n -= 1
-            if n >= length:
-                free_a[i : i + n] = free_b[j : j + n] = False
-                found.append((i, j, n))
-        if length == shortest:
-            break
-        length = max(shortest, length // 2)
+    x, y, found = _Words(a), _Words(b), []
+    length = min(len(a), len(b))
+    while length >= shortest > 0:
+        at_a, at_b = _left_maximal(x, y, length)
+        heap = [(-n, i, j) for n, i, j in zip(_lengths(x, y, at_a, at_b, length).tolist(), at_a.tolist(), at_b.tolist())]
+        heapq.heapify(heap)
+        while heap:
+            n, i, j = heapq.heappop(heap)
+            free = x.free[i : i - n] & y.free[j : j - n]
+            if free.all():
+                x.free[i : i - n] = y.free[j : j - n] = False
+                found.append((i, j, -n))
+                continue
+            edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
+            for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if stop - start >= length:
+                    heapq.heappush(heap, (start - stop, i + start, j + start))
+        length = 0 if length == shortest else max(shortest, length // 2)
     return found
 
 
+def _spare(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _seed_filter(items: DataFrame, text: str):
     """A fixed number of bits, set where a seed of the benchmark falls."""
 
@@ -189,16 +244,18 @@ def findings(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text
 
 def report(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``contaminated``, ``n_items`` and the best ``coverage`` (0.0 where nothing is found)."""
+    h = _spare("_h", docs.columns)
     hits = findings(docs, items, coverage, text).groupBy("h").agg(F.count("*").alias("n_items"), F.max("coverage").alias("coverage"))
     rest = [c for c in docs.columns if c not in (text, "contaminated", "n_items", "coverage")]
-    out = docs.select(*rest, F.xxhash64(text).alias("_h")).join(hits.withColumnRenamed("h", "_h"), "_h", "left")
+    out = docs.select(*rest, F.xxhash64(text).alias(h)).join(hits.withColumnRenamed("h", h), h, "left")
     return out.select(*rest, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def remove(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds an item. Only texts that share a seed are joined; all others stay where they are."""
     field, widths = _seed_filter(items, "text"), _widths(items, "text")
-    bad = findings(docs, items, coverage, text).select(F.col("h").alias("_h")).distinct()
+    h = _spare("_h", docs.columns)
+    bad = findings(docs, items, coverage, text).select(F.col("h").alias(h)).distinct()
 
     def part_of(touched: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +271,6 @@ def remove(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text:
 
         return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
-    return part_of(False).unionByName(part_of(True).withColumn("_h", F.xxhash64(text)).join(bad, "_h", "left_anti").drop("_h"))
+    return part_of(False).unionByName(part_of(True).withColumn(h, F.xxhash64(text)).join(bad, h, "left_anti").drop(h))
 
 
