@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placewise.llm.blocks import bit_filter, may_hold
-from placewise.llm.text import shingle_sets, shingles, text_blocks, words
+from placewise.llm.text import shingle_sets, shingles, spare, text_blocks, words
 from placewise.session import written
 
 #: Words of the shortest tile, and share of an item's words that tiles must cover.
@@ -126,14 +126,6 @@ def tiles(a: np.ndarray, b: np.ndarray, shortest: int = SHORTEST) -> list[tuple[
     return found
 
 
-def _spare(name: str, columns: list[str]) -> str:
-    """``name``, made longer until no column has it."""
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _seed_filter(items: DataFrame, text: str):
     """A fixed number of bits, set where a seed of the benchmark falls."""
 
@@ -244,7 +236,7 @@ def findings(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text
 
 def report(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``contaminated``, ``n_items`` and the best ``coverage`` (0.0 where nothing is found)."""
-    h = _spare("_h", docs.columns)
+    h = spare("_h", docs.columns)
     hits = findings(docs, items, coverage, text).groupBy("h").agg(F.count("*").alias("n_items"), F.max("coverage").alias("coverage"))
     rest = [c for c in docs.columns if c not in (text, "contaminated", "n_items", "coverage")]
     out = docs.select(*rest, F.xxhash64(text).alias(h)).join(hits.withColumnRenamed("h", h), h, "left")
@@ -254,7 +246,7 @@ def report(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text:
 def remove(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds an item. Only texts that share a seed are joined; all others stay where they are."""
     field, widths = _seed_filter(items, "text"), _widths(items, "text")
-    h = _spare("_h", docs.columns)
+    h = spare("_h", docs.columns)
     bad = findings(docs, items, coverage, text).select(F.col("h").alias(h)).distinct()
 
     def part_of(touched: bool):

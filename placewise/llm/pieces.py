@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewise.llm.text import text_blocks
+from placewise.llm.text import spare, text_blocks
 from placewise.llm.units import UnitEncoder, loaded
 from placewise.session import written
 
@@ -274,8 +274,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 yield part.append_column(ids, _lists(m.encode(pc.fill_null(part.column(text), "").to_pylist())))
 
     short = whole.mapInArrow(run, _typed(whole, (ids, T.ArrayType(T.IntegerType()))))
-    giants = written(docs.where(long).withColumn("_row", F.monotonically_increasing_id()), "giants")
-    return short.unionByName(giants.join(_giants(giants, path, text).withColumnRenamed("ids", "_ids"), "_row").withColumnRenamed("_ids", ids).drop("_row"))
+    row = spare("_row", docs.columns)
+    giants = written(docs.where(long).withColumn(row, F.monotonically_increasing_id()), "giants")
+    made = _giants(giants.select(F.col(row).alias("_row"), F.col(text).alias("t")), path, "t").select(F.col("_row").alias(row), F.col("ids").alias(spare("_ids", docs.columns)))
+    return short.unionByName(giants.join(made, row).withColumnRenamed(made.columns[1], ids).drop(row))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:

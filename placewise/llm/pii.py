@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewise.llm.text import spare
 from placewise.session import written
 
 # fixed values: kinds in order, and what an entity of each looks like. Repetitions take all they can and give nothing
@@ -157,10 +158,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Only texts with a digit or ``@`` are looked at further; all others go on as they are.
     """
     maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
-    touched = docs.where(maybe).withColumn("_h", F.xxhash64(text)).withColumn("_base", base_spans(F.col(text)))
-    added = new_spans(touched.select(F.col("_h").alias("h"), F.col(text).alias("t"), F.col("_base").alias("base")))
-    joined = touched.join(added.withColumnRenamed("h", "_g"), F.col("_h") == F.col("_g"), "left")
-    spans = F.array_sort(F.concat("_base", F.coalesce("added", F.array().cast(SPAN))))
+    h, base, g, more, done = (spare(name, docs.columns) for name in ("_h", "_base", "_g", "_added", "_done"))
+    touched = docs.where(maybe).withColumn(h, F.xxhash64(text)).withColumn(base, base_spans(F.col(text)))
+    added = new_spans(touched.select(F.col(h).alias("h"), F.col(text).alias("t"), F.col(base).alias("base"))).select(F.col("h").alias(g), F.col("added").alias(more))
+    joined = touched.join(added, F.col(h) == F.col(g), "left")
+    spans = F.array_sort(F.concat(base, F.coalesce(more, F.array().cast(SPAN))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -168,7 +170,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         after = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
         return F.when(s["stop"] <= acc["at"], acc).otherwise(F.struct(s["stop"].alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], after, F.get(names, s["kind"]))).alias("out")))
 
-    done = F.aggregate(spans, start, step)
-    joined = joined.withColumn("_done", done)
-    clean = F.concat(F.col("_done.out"), F.substring(F.col(text), F.col("_done.at") + 1, F.length(text)))
+    joined = joined.withColumn(done, F.aggregate(spans, start, step))
+    clean = F.concat(F.col(f"{done}.out"), F.substring(F.col(text), F.col(f"{done}.at") + 1, F.length(text)))
     return docs.where(~maybe).unionByName(joined.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns]))

@@ -119,3 +119,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
         s = np.sort(runs[a:b])
         out.append(s[np.concatenate(([True], s[1:] != s[:-1]))] if b > a else s)
     return out
+
+
+def spare(name: str, columns: list[str]) -> str:
+    """``name``, made longer until none of ``columns`` has it, so that a caller's columns may have any names."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placewise.llm.text import spare
+
 # fixed values: terms that reject on one hit, and terms of which SOFT_LIMIT distinct ones reject
 STRICT = ("casino", "casinos", "pills", "porn", "xxx", "viagra", "spam", "malware", "phishing", "warez", "escort")
 SOFT = ("cheap", "free", "win", "bet", "bets", "bonus", "jackpot", "poker", "ads", "ad", "track", "tracker", "click", "farm", "deal", "deals", "discount", "loan", "loans", "adult", "sexy", "crack", "torrent", "download", "prize")
@@ -88,7 +90,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = (), strict: Seque
     """
     host, path = parse(F.col(url))
     out = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    out = out.withColumns({"_rule": matched_rule(F.col("host"), F.col("path"), rules), "_hits": vocabulary_hits(F.col(url), strict, soft)})
-    own = F.when((F.col("_hits.strict") > 0) | (F.col("_hits.soft") >= soft_limit), "block").otherwise("allow")
-    added = {"rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.verdict"), own), "strict_hits": F.col("_hits.strict"), "soft_hits": F.col("_hits.soft")}
-    return out.withColumns(added).drop("_rule", "_hits")
+    r, h = spare("_rule", out.columns), spare("_hits", out.columns)
+    out = out.withColumns({r: matched_rule(F.col("host"), F.col("path"), rules), h: vocabulary_hits(F.col(url), strict, soft)})
+    own = F.when((F.col(f"{h}.strict") > 0) | (F.col(f"{h}.soft") >= soft_limit), "block").otherwise("allow")
+    added = {"rule": F.col(f"{r}.rule"), "verdict": F.coalesce(F.col(f"{r}.verdict"), own), "strict_hits": F.col(f"{h}.strict"), "soft_hits": F.col(f"{h}.soft")}
+    return out.withColumns(added).drop(r, h)
