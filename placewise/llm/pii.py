@@ -2,8 +2,11 @@
 
 All of it is column expressions and joins. Known entities are seeds. The words around a seed make lexical patterns, and
 whatever looks like an identifier between the same words is an instance of the pattern. A pattern is as good as the share
-of its distinct instances that are known or believed to be of a kind, an instance as good as its patterns; both are
-scored in turn on the graph of patterns and instances. Instances of high confidence are new identifiers.
+of its distinct instances that are known or believed to be of a kind, an instance as good as its best pattern; both are
+scored in turn on the graph of patterns and instances. Instances of high confidence are new identifiers. Secrets (kind
+``key``: tokens, passwords) have no exact pattern; long hexadecimal values that are given a name are their seeds.
+
+Work on a text grows with its length and its matches, not with pairs of them.
 """
 
 from __future__ import annotations
@@ -24,28 +27,71 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be an identifier: a run without blanks with four digits or more.
-CANDIDATE = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){4})\S++"
+#: Kinds of spans that are only found by bootstrapping come after the others: secrets such as tokens and passwords.
+ALL_KINDS = (*KINDS, "key")
+KEY = len(KINDS)
+_SPELLED = r"[A-Za-z0-9._%+-]++\x20?[(\[]\x20?(?i:at)\x20?[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]\x20?(?i:dot)\x20?[)\]])\x20?[A-Za-z0-9-]++)*+"
+_GROUP = r"[0-9]++(?![A-Za-z_@+/]|[.-][A-Za-z])"
+#: What may be an identifier: an address with its signs spelled out, up to six groups of digits, or a run of Latin letters and
+#: digits with single marks inside. Other marks and other scripts end it, so no run of text is one candidate; none is too long.
+CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){_SPELLED}|(?<![A-Za-z0-9])(?:{_GROUP}(?:[\x20().-]{{1,2}}+{_GROUP}){{0,5}}+|[A-Za-z0-9]++(?:[._@+/-][A-Za-z0-9]++)*+)"
+#: What a candidate must look like before it may be taken for a kind.
+SHAPES = {
+    "email": r"[@(\[]",
+    "ip": r"^[0-9]+([.\x20-]{1,2}[0-9]+){3}$",
+    "card": r"^([0-9][\x20.-]*){12,19}$",
+    "phone": r"^[(]?([0-9][().\x20-]*){7,15}$",
+    "key": r"^(?=.*[0-9])(?=.*[A-Za-z])[^\x20@]{12,}$",
+}
+#: A candidate like this, given as the value of something, is a seed of a key.
+KEY_SEED = "^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
 #: Texts without any of these hold nothing of interest.
-MAYBE = "[0-9@]"
+MAYBE = r"[0-9@]|[(\[]\x20?(?i:at)\x20?[)\]]"
 #: Characters of context that are looked at, distinct seeds that a pattern needs, rounds of scoring, and confidence.
 REACH, SUPPORT, ROUNDS, CONFIDENCE = 48, 5, 4, 0.8
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
+#: Items that :func:`scan` takes at once.
+AT_ONCE = 128
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where it is used inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scan(items: Column, first: Column, step, emit, kind: str) -> Column:
+    """What ``emit(state, item)`` gives for each item in turn, as an array of type ``kind``; ``step`` makes the next state.
+
+    Results are gathered in pieces, so arrays of any length are copied a bounded number of times.
+    """
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / AT_ONCE).cast("int")), lambda c: F.slice(items, c * AT_ONCE + 1, AT_ONCE))
+
+    def one(acc, x):
+        return F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x)).cast(kind)).alias("out"))
+
+    def some(acc, piece):
+        inner = F.aggregate(piece, F.struct(acc["state"].alias("state"), F.array().cast(kind).alias("out")), one)
+        return let(inner, lambda i: F.struct(i["state"].alias("state"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+    zero = F.struct(first.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(pieces, zero, some, lambda acc: F.flatten(acc["out"]))
+
+
+def cut(wide: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from ``start`` of a text given in UTF-32, without reading what is before them."""
+    return F.decode(F.substring(wide, start * 4 + 1, size * 4), "UTF-32")
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
-    """``start, stop, kind, value`` of the leftmost matches, in code points: texts between matches give the places."""
+    """``start, kind, stop, value`` of the leftmost matches, in code points: texts between matches give the places."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
+    pairs = F.zip_with(found, gaps, lambda v, g: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value")))
+    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
 
-    def step(acc, pair):
-        begin = acc["at"] + F.length(pair["gap"])
-        stop = begin + F.length(pair["value"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), pair["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), F.array(span)).alias("out"))
+    def span(at, p):
+        return F.struct((at + p["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + p["gap"] + p["size"]).alias("stop"), p["value"].alias("value"))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
-    return F.coalesce(F.aggregate(pairs, start, step)["out"], F.array().cast(SPAN))
+    return let(pairs, lambda p: scan(p, F.lit(0), lambda at, x: at + x["gap"] + x["size"], span, SPAN))
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -77,48 +123,89 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _context(text: Column, span: Column) -> tuple[Column, Column]:
-    """Words before (at most two, last one last) and after (at most one) a span, lower-cased and bare."""
-    before = F.substring(text, F.greatest(span["start"] - REACH, F.lit(0)) + 1, F.least(span["start"], F.lit(REACH)))
-    after = F.substring(text, span["stop"] + 1, F.lit(REACH))
-    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    return F.slice(F.reverse(words(before)), 1, 2), F.slice(words(after), 1, 1)
+def _apart(spans: Column) -> Column:
+    """Sorted spans without the candidates (negative kind) that overlap an entity: one pass each way over entities' ends."""
+    is_base = lambda s: s["kind"] >= 0
+    marked = "array<struct<start:int,kind:int,stop:int,value:string>>"
+
+    def ahead(stop, s):
+        return F.when(is_base(s), F.greatest(stop, s["stop"])).otherwise(stop)
+
+    def behind(start, s):
+        return F.when(is_base(s), F.least(start, s["start"])).otherwise(start)
+
+    free = lambda ok: lambda state, s: F.when(is_base(s) | ok(state, s), s)
+    forth = scan(spans, F.lit(0), ahead, free(lambda stop, s: stop <= s["start"]), marked)
+    kept = let(forth, lambda a: F.reverse(F.filter(a, lambda s: s.isNotNull())))
+    back = let(kept, lambda a: scan(a, F.lit(2**31 - 1), behind, free(lambda start, s: start >= s["stop"]), marked))
+    return F.filter(back, lambda s: s.isNotNull())
+
+
+def _words(context: Column) -> Column:
+    """Words, lower-cased and bare; runs of words with digits are one ``#``, whatever they are."""
+    bare = F.trim(F.regexp_replace(F.lower(context), r"[^\p{L}\p{N}]+", " "))
+    return F.filter(F.split(F.regexp_replace(bare, r"\p{L}*+\p{N}[\p{L}\p{N}]*+(?:\x20\p{L}*+\p{N}[\p{L}\p{N}]*+)*+", "#"), " "), lambda w: w != "")
+
+
+def _patterns(before: Column, after: Column) -> Column:
+    """Lexical patterns of a place: the two words before, a word on either side, the word before alone, the name of a value."""
+    ahead, behind = F.reverse(_words(before)), _words(after)
+    two = F.when(F.size(ahead) >= 2, F.concat(F.lit("<"), F.get(ahead, F.lit(1)), F.lit(" "), F.get(ahead, F.lit(0))))
+    around = F.when((F.size(ahead) > 0) & (F.size(behind) > 0), F.concat(F.lit("="), F.get(ahead, F.lit(0)), F.lit(" _ "), F.get(behind, F.lit(0))))
+    one = F.when(F.size(ahead) > 0, F.concat(F.lit(">"), F.get(ahead, F.lit(0))))
+    name = F.regexp_extract(F.lower(before), NAME, 1)
+    return F.array_compact(F.array(two, around, one, F.when(name != "", F.concat(F.lit(":"), name))))
+
+
+#: The name of a value that begins at the end of the text: ``phone=``, ``"token": "``, ``key = '``.
+NAME = r"""([\p{L}][\p{L}\p{N}_-]*+)["']?\s{0,2}[=:]\s{0,2}["']?$"""
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``h, start, stop, kind, instance, patterns``: entities (with their kind) and other candidates (kind null) of each text."""
-    text = F.col("t")
-    base = docs.where(text.rlike(MAYBE)).select("h", "t", F.col("base"), F.filter(matches(text, CANDIDATE, -1), lambda s: F.length(s["value"]) <= 200).alias("other"))
-    apart = lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    all_of = base.select("h", "t", F.explode(F.concat("base", F.filter("other", apart))).alias("s"))
-    lead = F.length(F.regexp_extract("s.value", r"^[^\p{L}\p{N}+]*", 0))
-    trail = F.length(F.regexp_extract("s.value", r"[^\p{L}\p{N}]*$", 0))
-    bare = F.struct((F.col("s.start") + lead).alias("start"), F.col("s.kind").alias("kind"), (F.col("s.stop") - trail).alias("stop"), F.substring("s.value", lead + 1, F.length("s.value") - lead - trail).alias("value"))
-    made = all_of.withColumn("s", F.when(F.col("s.kind") < 0, bare).otherwise(F.col("s")))
-    before, after = _context(text, F.col("s"))
-    two = F.when(F.size(before) == 2, F.concat(F.lit("<"), F.array_join(F.reverse(before), " ")))
-    around = F.when((F.size(before) > 0) & (F.size(after) > 0), F.concat(F.lit("="), F.get(before, F.lit(0)), F.lit(" _ "), F.get(after, F.lit(0))))
-    return made.select("h", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), F.when(F.col("s.kind") >= 0, F.col("s.kind")).alias("kind"), F.lower("s.value").alias("instance"), F.array_compact(F.array(two, around)).alias("patterns"))
+    """``h, start, stop, kind, instance, patterns``: entities (with their kind) and other candidates (kind null) of each text.
+
+    A candidate that could be of no kind is left out of the places, not of the text around others. Contexts are cut
+    where they stand, so the text itself is neither shuffled nor repeated. Copies of a text are looked at once.
+    """
+    digits = F.length(F.regexp_replace("s.value", "[^0-9]", ""))
+    maybe = lambda s: s["value"].rlike(r"^(?:[^0-9]*+[0-9]){4}|[(\[]")
+    other = F.filter(matches(F.col("t"), CANDIDATE, -1), maybe)
+    held = docs.where(F.col("t").rlike(MAYBE)).select("h", "t", F.array_sort(F.concat("base", other)).alias("all"))
+    places = let(F.encode("t", "UTF-32"), lambda wide: F.transform(_apart(F.col("all")), lambda s: F.struct(
+        s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value"),
+        cut(wide, F.greatest(s["start"] - REACH, F.lit(0)), F.least(s["start"], F.lit(REACH))).alias("before"),
+        cut(wide, s["stop"], F.lit(REACH)).alias("after"))))
+    once = held.select("h", places.alias("places")).where(F.size("places") > 0).groupBy("h").agg(F.first("places").alias("places"))
+    made = once.select("h", F.explode("places").alias("s"))
+    seed = (F.col("s.kind") < 0) & F.col("s.value").rlike(KEY_SEED) & (F.regexp_extract(F.lower("s.before"), NAME, 1) != "")
+    kind = F.when(F.col("s.kind") >= 0, F.col("s.kind")).when(seed, F.lit(KEY))
+    return made.where((F.col("s.kind") >= 0) | (digits >= 4) | F.col("s.value").rlike(SHAPES["email"])).select("h", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), kind.alias("kind"), F.lower("s.value").alias("instance"), _patterns(F.col("s.before"), F.col("s.after")).alias("patterns"))
+
+
+def _may_be(instance: Column, kind: Column) -> Column:
+    """Whether a candidate looks enough like a kind to be of it."""
+    return F.coalesce(*[F.when(kind == i, instance.rlike(SHAPES[k])) for i, k in enumerate(ALL_KINDS)], F.lit(False))
 
 
 def bootstrap(found: DataFrame) -> DataFrame:
     """``instance, kind``: unseen identifiers of high confidence among the occurrences, with the pattern that carries them.
 
     Edges join distinct patterns and instances, so copies of a text count once. A pattern's confidence in a kind is the
-    belief in its instances over their number plus one; a candidate's is the mean over its patterns that have support.
+    belief in its instances over their number plus one; a candidate's is that of its best pattern, among those that have
+    support and whose kind it looks like. Seeds of keys are judged like candidates; the four other kinds are exact.
     """
     edges = written(found.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"), F.count("kind").alias("seeds")).where(F.col("seeds") >= SUPPORT).select("pattern", "size")
     live = written(edges.alias("e").join(sizes.alias("z"), (F.xxhash64("e.pattern") == F.xxhash64("z.pattern")) & (F.col("e.pattern") == F.col("z.pattern"))).select("e.pattern", "e.instance", "e.kind", "z.size"), "live")
     seeds = live.where("kind IS NOT NULL").select("pattern", "instance", "size", "kind", F.lit(1.0).alias("belief"))
-    candidates = live.where("kind IS NULL").select("pattern", "instance", "size")
+    candidates = live.where(f"kind IS NULL OR kind = {KEY}").select("pattern", "instance", "size", F.col("kind").alias("_seed"))
     beliefs = None
     for _ in range(ROUNDS):
-        known = seeds if beliefs is None else seeds.unionByName(candidates.join(beliefs, "instance"))
+        known = seeds if beliefs is None else seeds.unionByName(candidates.where("_seed IS NULL").drop("_seed").join(beliefs, "instance"))
         patterns = known.groupBy("pattern", "kind").agg((F.sum("belief") / (F.max("size") + 1)).alias("confidence"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
         patterns = patterns.withColumnRenamed("pattern", "_p")
-        judged = candidates.join(patterns, (F.xxhash64("pattern") == F.xxhash64("_p")) & (F.col("pattern") == F.col("_p")))
-        beliefs = written(judged.groupBy("instance", "kind").agg(F.round(F.avg("confidence"), 9).alias("belief")), "beliefs")
+        judged = candidates.join(patterns, (F.xxhash64("pattern") == F.xxhash64("_p")) & (F.col("pattern") == F.col("_p")) & _may_be(F.col("instance"), F.col("kind")))
+        beliefs = written(judged.groupBy("instance", "kind").agg(F.round(F.max("confidence"), 9).alias("belief")), "beliefs")
     best = beliefs.groupBy("instance").agg(F.max(F.struct("belief", F.negative("kind").alias("k"))).alias("b"))
     return best.where(F.col("b.belief") >= CONFIDENCE).select("instance", F.negative("b.k").alias("kind"))
 
@@ -127,12 +214,12 @@ def new_spans(docs: DataFrame) -> DataFrame:
     """``h, added``: spans that the bootstrapping adds to each distinct text."""
     found = written(occurrences(docs), "occurrences")
     fresh = bootstrap(found).withColumnRenamed("instance", "_i").withColumnRenamed("kind", "_k")
-    hits = found.where("kind IS NULL").join(fresh, (F.xxhash64("instance") == F.xxhash64("_i")) & (F.col("instance") == F.col("_i")))
+    hits = found.where(f"kind IS NULL OR kind = {KEY}").join(fresh, (F.xxhash64("instance") == F.xxhash64("_i")) & (F.col("instance") == F.col("_i")))
     return hits.groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", F.col("_k").alias("kind"), "stop", F.col("instance").alias("value")))).alias("added"))
 
 
 def _shown(spans: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
 
 
@@ -155,7 +242,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named after the first.
 
-    Only texts with a digit or ``@`` are looked at further; all others go on as they are.
+    Only texts with a digit, ``@`` or a spelled-out one are looked at further; all others, null and empty ones too, go on
+    as they are. Equal texts are redacted alike; rows are never merged or dropped.
     """
     maybe = F.coalesce(F.col(text).rlike(MAYBE), F.lit(False))
     h, base, g, more, done = (spare(name, docs.columns) for name in ("_h", "_base", "_g", "_added", "_done"))
@@ -163,13 +251,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     added = new_spans(touched.select(F.col(h).alias("h"), F.col(text).alias("t"), F.col(base).alias("base"))).select(F.col("h").alias(g), F.col("added").alias(more))
     joined = touched.join(added, F.col(h) == F.col(g), "left")
     spans = F.array_sort(F.concat(base, F.coalesce(more, F.array().cast(SPAN))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
+
+    def shown(wide):
+        def piece(at, s):
+            return F.when(s["start"] < at, F.lit("")).otherwise(F.concat(cut(wide, at, s["start"] - at), F.get(names, s["kind"])))
 
-    def step(acc, s):
-        after = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["stop"] <= acc["at"], acc).otherwise(F.struct(s["stop"].alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], after, F.get(names, s["kind"]))).alias("out")))
+        parts = scan(F.col(done), F.lit(0), lambda at, s: F.greatest(at, s["stop"]), piece, "array<string>")
+        last = F.coalesce(F.array_max(F.transform(done, lambda s: s["stop"])), F.lit(0))
+        return F.concat(F.array_join(parts, ""), cut(wide, last, F.greatest(F.length(text) - last, F.lit(0))))
 
-    joined = joined.withColumn(done, F.aggregate(spans, start, step))
-    clean = F.concat(F.col(f"{done}.out"), F.substring(F.col(text), F.col(f"{done}.at") + 1, F.length(text)))
+    joined = joined.withColumn(done, spans)
+    clean = let(F.encode(text, "UTF-32"), shown)
     return docs.where(~maybe).unionByName(joined.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns]))
