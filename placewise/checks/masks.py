@@ -37,6 +37,29 @@ def d02l(t):
     return expand(brush.fold_mask(t.quad_events()))
 
 
+def batches(t, n=3):
+    """The compacted events after ``n`` batches whose sequence numbers are mixed."""
+    events = t.quad_events()
+    part = lambda k: events.where(F.pmod("seq", F.lit(n)) == k)
+    state = brush.compact_events(part(n - 1))
+    for k in range(n - 1):
+        state = brush.merge_events(state, part(k))
+    return state
+
+
+@check("d02_fold_in_batches", f"SELECT x, CAST(y AS INTEGER) AS y FROM {FINE} WHERE op = 'paint'")
+def d02b(t):
+    return expand(brush.fold_mask(batches(t)))
+
+
+@check("d02_events_in_batches", """WITH l AS (SELECT level, cx, cy, max_by(op, seq) AS op, max(seq) AS seq FROM b_quad GROUP BY level, cx, cy),
+up AS (SELECT l.level, l.cx, l.cy, CAST(unnest(range(l.level)) AS INTEGER) AS a, l.seq FROM l),
+hidden AS (SELECT DISTINCT up.level, up.cx, up.cy FROM up JOIN l ON l.level = up.a AND l.cx = up.cx >> (up.level - up.a) AND l.cy = up.cy >> (up.level - up.a) AND l.seq > up.seq)
+SELECT level, cx, cy, op, seq FROM l ANTI JOIN hidden USING (level, cx, cy)""")
+def d02e(t):
+    return batches(t)
+
+
 @check("d03_mask_has", "SELECT DISTINCT CAST(l AS INTEGER) AS level, CAST(cx >> (level - l) AS INTEGER) AS cx, CAST(cy >> (level - l) AS INTEGER) AS cy FROM b_quad, range(0, 8) a(l) WHERE l <= level")
 def d03(t):
     return brush.mask_has(t.quad_events().select("level", "cx", "cy"))

@@ -85,6 +85,42 @@ def _events_above(cells: DataFrame, latest: DataFrame, strict: bool) -> DataFram
     return _join_ancestors(rows, latest.withColumnsRenamed({"op": "_op", "seq": "_seq"}), "inner")
 
 
+def _newest(events: DataFrame, *marks: str) -> DataFrame:
+    """The newest event of each cell; ``marks`` are columns that go with it."""
+    kept = [F.max_by(c, "seq").alias(c) for c in ("op", *marks)]
+    return events.groupBy(*QUAD).agg(*kept, F.max("seq").alias("seq"))
+
+
+def _visible(events: DataFrame, above: DataFrame) -> DataFrame:
+    """``events`` without those on whose ancestors ``above`` has a newer one."""
+    newer = _events_above(events, above, strict=True).groupBy(*QUAD).agg(F.max("_seq").alias("_newer"))
+    return events.join(newer, QUAD, "left").where(F.coalesce(F.col("_newer") <= F.col("seq"), F.lit(True))).drop("_newer")
+
+
+def compact_events(events: DataFrame) -> DataFrame:
+    """The events (level, cx, cy, op, seq) that still decide something: the newest of each cell, unless an ancestor has a newer one.
+
+    What lies in a hidden event's cell also lies in that of the newer one, so ``fold_mask`` gives the same rows for the
+    events and for the compacted ones, with any later events added to either.
+    """
+    latest = materialised(_newest(events))
+    return _visible(latest, latest)
+
+
+def merge_events(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """The compacted events after another batch; ``state`` is what ``compact_events`` or this gave before.
+
+    Batches may come in any order of ``seq``, and may be empty or repeated. Only pairs of a new event with another are
+    looked at: kept events meet new ones above them, new events meet both. Events of the state never meet each other.
+    """
+    fresh = materialised(_newest(batch.select(*QUAD, "op", "seq")))
+    state = state.select(*QUAD, "op", "seq")
+    both = materialised(_newest(state.withColumn("_new", F.lit(False)).unionByName(fresh.withColumn("_new", F.lit(True))), "_new"))
+    kept = _visible(both.where(~F.col("_new")), fresh)
+    added = _visible(_visible(both.where("_new"), fresh), state)
+    return kept.unionByName(added).drop("_new")
+
+
 def fold_mask(events: DataFrame) -> DataFrame:
     """The painted cells (level, cx, cy) after all paint/erase events, the newest event winning each area.
 
@@ -94,7 +130,7 @@ def fold_mask(events: DataFrame) -> DataFrame:
     use; no cell is expanded to its descendants. The result covers each painted area once, with the
     coarsest cells the erases allow.
     """
-    latest = materialised(events.groupBy(*QUAD).agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq")))
+    latest = materialised(_newest(events))
     outer = _events_above(latest, latest, strict=True).groupBy(*QUAD).agg(
         F.max_by("_op", "_seq").alias("_outer"), F.max("_seq").alias("_outer_seq"), F.min("a_level").alias("_top")
     )

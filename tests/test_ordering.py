@@ -127,6 +127,23 @@ def test_fold_matches_a_replayed_canvas(spark, seed):
     assert (seen == canvas).all()
 
 
+def test_merging_batches_keeps_what_decides(spark):
+    rng = random.Random(7)
+    log = [(seq, rng.choice(["paint", "erase"]), (level := rng.choice([0, 2, 4, 5, 5])), rng.randrange(1 << level), rng.randrange(1 << level)) for seq in range(150)]
+    schema = "seq bigint, op string, level int, cx int, cy int"
+    late, early, none = log[60:], log[:80], []
+    state = brush.compact_events(spark.createDataFrame(late, schema))
+    for batch in (early, none, early[:20]):
+        state = brush.merge_events(state, spark.createDataFrame(batch, schema))
+    newest = {}
+    for seq, op, level, cx, cy in log:
+        newest[level, cx, cy] = (op, seq)
+    above = lambda c: [newest[u] for k in range(1, c[0] + 1) if (u := (c[0] - k, c[1] >> k, c[2] >> k)) in newest]
+    want = sorted((*c, op, seq) for c, (op, seq) in newest.items() if all(s < seq for _, s in above(c)))
+    assert sorted(tuple(r) for r in state.select("level", "cx", "cy", "op", "seq").collect()) == want
+    assert cells(brush.fold_mask(state)) == cells(brush.fold_mask(spark.createDataFrame(log, schema)))
+
+
 def test_erase_far_below_a_coarse_cell_stays_small(spark):
     events = spark.createDataFrame([(1, "paint", 0, 0, 0), (2, "erase", 16, 40000, 12345)], "seq bigint, op string, level int, cx int, cy int")
     assert len(cells(brush.fold_mask(events))) == 3 * 16
