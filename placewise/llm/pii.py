@@ -126,7 +126,6 @@ def base_spans(text: Column) -> Column:
 def _apart(spans: Column) -> Column:
     """Sorted spans without the candidates (negative kind) that overlap an entity: one pass each way over entities' ends."""
     is_base = lambda s: s["kind"] >= 0
-    marked = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
     def ahead(stop, s):
         return F.when(is_base(s), F.greatest(stop, s["stop"])).otherwise(stop)
@@ -135,9 +134,9 @@ def _apart(spans: Column) -> Column:
         return F.when(is_base(s), F.least(start, s["start"])).otherwise(start)
 
     free = lambda ok: lambda state, s: F.when(is_base(s) | ok(state, s), s)
-    forth = scan(spans, F.lit(0), ahead, free(lambda stop, s: stop <= s["start"]), marked)
+    forth = scan(spans, F.lit(0), ahead, free(lambda stop, s: stop <= s["start"]), SPAN)
     kept = let(forth, lambda a: F.reverse(F.filter(a, lambda s: s.isNotNull())))
-    back = let(kept, lambda a: scan(a, F.lit(2**31 - 1), behind, free(lambda start, s: start >= s["stop"]), marked))
+    back = let(kept, lambda a: scan(a, F.lit(2**31 - 1), behind, free(lambda start, s: start >= s["stop"]), SPAN))
     return F.filter(back, lambda s: s.isNotNull())
 
 
