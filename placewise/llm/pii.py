@@ -79,7 +79,8 @@ def scan(items: Column, first: Column, step, emit, kind: str) -> Column:
 
 def cut(wide: Column, start: Column, size: Column) -> Column:
     """``size`` characters from ``start`` of a text given in UTF-32, without reading what is before them."""
-    return F.decode(F.substring(wide, start * 4 + 1, size * 4), "UTF-32")
+    mark = F.lit(bytearray(b"\x00\x00\xfe\xff"))  # taken off by the decoder, which would take one of the text's own
+    return F.decode(F.concat(mark, F.substring(wide, start * 4 + 1, size * 4)), "UTF-32")
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:

@@ -37,3 +37,8 @@ def test_many_addresses_in_one_text(spark):
     df = spark.createDataFrame([(1, text)], FIELDS)
     assert pii.report(df).first()["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in brute.base_spans(text))
     assert pii.redact(df).first()["text"] == "é" + " ".join(["[EMAIL]"] * 1500) + " end"
+
+
+def test_byte_order_marks_stay(spark):
+    df = spark.createDataFrame([(1, "\ufeffx a@b.cd\ufeff\U0001f600 e@f.gh")], FIELDS)
+    assert pii.redact(df).first()["text"] == "\ufeffx [EMAIL]\ufeff\U0001f600 [EMAIL]"
