@@ -27,8 +27,8 @@ from placewise.session import written
 
 #: Rounds of expectation maximisation, and what is added to each expected count.
 ROUNDS, ADDED = 3, 0.05
-#: Longer words are not learnt from (they are scored as all others are).
-LEARNT = 256
+#: Longer words are learnt from after the others, by length, so that short ones don't wait for their stages.
+LONG = 256
 #: Bytes of words that one forward pass takes, and bytes of a longer word that it takes at once.
 PASS = 1 << 17
 #: Bytes of scores of known words that a worker keeps.
@@ -166,6 +166,55 @@ def _long_word(pieces: Pieces, data: np.ndarray, logs: np.ndarray) -> np.ndarray
     return tail[-1]
 
 
+def _long_expected(pieces: Pieces, data: np.ndarray, logs: np.ndarray, times: float) -> np.ndarray:
+    """Expected count of each piece in one word that is longer than ``PASS``: both passes a stretch at a time.
+
+    What stays is a number for each byte and pass; the pieces of a stretch are found again on the way back.
+    """
+    width, size = pieces.width, len(data)
+
+    def stretch(a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and id of the pieces that end in the stretch after ``a``."""
+        b, back = min(a + PASS, size), max(a - width, 0)
+        start, length, ids = pieces.matches(data[back:b], b - back - np.arange(b - back), a - back)
+        return start + back, start + back + length, ids
+
+    def edges(sorted_: np.ndarray) -> Iterator[tuple[int, int]]:
+        at = np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])), len(sorted_))
+        return zip(at[:-1].tolist(), at[1:].tolist())
+
+    alpha, beta, out = np.zeros(size + 1), np.full(size + 1, -np.inf), np.zeros(len(logs))
+    for a in range(0, size, PASS):
+        begin, end, ids = stretch(a)
+        order = np.lexsort((begin, end))
+        begin, end, weight = begin[order], end[order], logs[ids[order]]
+        for x, y in edges(end):
+            alpha[end[x]] = np.logaddexp.reduce(alpha[begin[x:y]] + weight[x:y])
+    beta[size] = 0.0
+    for a in reversed(range(0, size, PASS)):
+        begin, end, ids = stretch(a)
+        order = np.lexsort((begin, end))[::-1]  # a state's own sum is whole when the first piece that ends there comes
+        begin, end, weight = begin[order], end[order], logs[ids[order]]
+        for x, y in edges(end):
+            beta[begin[x:y]] = np.logaddexp(beta[begin[x:y]], weight[x:y] + beta[end[x]])
+        out += np.bincount(ids[order], np.exp(alpha[begin] + weight + beta[end] - alpha[size]), len(logs))
+    return out * times
+
+
+def expected_counts(pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, times: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Expected count of each piece under one language in words of any length that occur ``times``, each after its mark."""
+    order = np.argsort(np.maximum(ends - starts, LONG), kind="stable")
+    starts, ends, times = starts[order], ends[order], times[order]
+    total = np.zeros(len(logs))
+    for a, b in _groups(ends - starts + 1):
+        marked, lengths = _marked(data, starts[a:b], ends[a:b])
+        if lengths[0] > PASS:
+            total += _long_expected(pieces, marked, logs, times[a])
+        else:
+            total += Lattice(pieces, marked, lengths).expected(logs, times[a:b])
+    return total
+
+
 def word_scores(pieces: Pieces, data: np.ndarray, lengths: np.ndarray, logs: np.ndarray) -> np.ndarray:
     """Log probabilities of words laid end to end, a column per language."""
     out = np.zeros((len(lengths), logs.shape[1]))
@@ -245,7 +294,7 @@ def held_out(key: Column) -> Column:
 
 
 def count_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """``lang, word, n``: how often each word of up to ``LEARNT`` bytes stands in the texts of each language."""
+    """``lang, word, n``: how often each word, of any length, stands in the texts of each language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -254,9 +303,7 @@ def count_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 starts, ends = _spans(data, offsets)
                 owner = np.searchsorted(offsets, starts, "right") - 1
                 code = names.indices.to_numpy()[owner].astype(np.uint64)
-                short = ends - starts <= LEARNT
-                hashes = mix(span_hash(prefix_sums(BYTE[data]), starts, ends) ^ mix(code + np.uint64(1)))[short]
-                starts, ends, code = starts[short], ends[short], code[short]
+                hashes = mix(span_hash(prefix_sums(BYTE[data]), starts, ends) ^ mix(code + np.uint64(1)))
                 _, first, n = np.unique(hashes, return_index=True, return_counts=True)
                 raw = data.tobytes()
                 words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
@@ -269,7 +316,8 @@ def count_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
 def train(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", rounds: int = ROUNDS) -> Model:
     """Piece probabilities of every language of ``docs``, learnt from all its texts.
 
-    Rows with a null text or language teach nothing; without any the model knows no language. The words are counted
+    Rows with a null text or language teach nothing; without any the model knows no language. Words of any length are
+    learnt from, so also languages that write without blanks. They are counted
     and written once, each round reads them in tasks that send one expected count per language and piece: the driver
     holds languages x vocabulary and nothing that grows with the texts.
     """
@@ -287,12 +335,10 @@ def train(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", ro
             for rows in batches:
                 for name in pc.unique(rows.column("lang")).to_pylist():
                     mine = rows.filter(pc.equal(rows.column("lang"), name))
-                    raw = [b" " + w for w in mine.column("word").to_pylist()]
-                    data, lengths, times = np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw]), mine.column("n").to_numpy()
-                    at, column = np.append(0, np.cumsum(lengths)), np.ascontiguousarray(m.logs[:, m.languages.index(name)])
+                    found, column = mine.column("word").cast(pa.large_binary()), np.ascontiguousarray(m.logs[:, m.languages.index(name)])
+                    data, at = np.frombuffer(found.buffers()[2], np.uint8), np.frombuffer(found.buffers()[1], np.int64)[found.offset :]
                     total = totals.setdefault(name, np.zeros(len(column)))
-                    for a, b in _groups(lengths):
-                        total += Lattice(m.pieces, data[at[a] : at[b]], lengths[a:b]).expected(column, times[a:b])
+                    total += expected_counts(m.pieces, data, at[: len(found)], at[1 : len(found) + 1], mine.column("n").to_numpy(), column)
             for name, total in totals.items():
                 ids = np.flatnonzero(total)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(ids), pa.string()), "id": ids, "n": total[ids]})
