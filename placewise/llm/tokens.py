@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.llm.text import text_blocks
-from placewise.llm.units import LONGEST, MOST, UnitEncoder, loaded
+from placewise.llm.units import LONGEST, cut, loaded
 from placewise.session import shared_path
 
 #: Tokens of a sequence, and sequences of a record batch.
@@ -31,13 +33,16 @@ _MANIFEST = "shard int, sequences string, documents string, n_tokens long, n_doc
 # fixed values of byte-level BPE: how text is cut, and the characters that stand for bytes which aren't printed
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHOWN = {b: 256 + k for k, b in enumerate([*range(0, 33), *range(127, 161), 173])}
+#: Units that a worker remembers, at most, and where the letters end that all versions of Unicode share.
+REMEMBERED, _BEYOND = 500_000, "\u0250"
 
 
 def encoder(path: str, dtype: str, added: bool = False) -> Callable[[list[str]], list[bytes]]:
     """The byte-level BPE of a tokenizers file; with ``added``, the file's added tokens in a text get their own ids, as the
     library gives by default, else they are ordinary text.
 
-    A unit is cut as the byte-level pre-tokenizer does, and the file's merges are applied to each distinct piece.
+    Texts are cut into units at single blanks, a unit is cut as the byte-level pre-tokenizer does, and the file's merges are
+    applied to the pieces of each distinct unit.
     """
     return loaded(("tokens", path, dtype, added), lambda: _encoder(path, dtype, added))
 
@@ -47,18 +52,41 @@ def _encoder(path: str, dtype: str, added: bool) -> Callable[[list[str]], list[b
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    cut, merge = regex.compile(PIECES).findall, model.model.tokenize
+    split, merge = regex.compile(PIECES).findall, model.model.tokenize
     raw = [i.to_bytes(np.dtype(dtype).itemsize, "little") for i in range(model.get_vocab_size())]
-    pieces: dict[str, bytes] = {}
+    shown = [chr(_SHOWN.get(b, b)) for b in range(256)]
+    units: dict[str, bytes] = {}
 
-    def piece(p: str) -> bytes:
-        if (ids := pieces.get(p)) is None:
-            ids = b"".join([raw[t.id] for t in merge(p.encode().decode("latin-1").translate(_SHOWN))])
-            if len(pieces) < MOST and len(p) <= LONGEST:
-                pieces[p] = ids
-        return ids
+    def merged(p: str) -> bytes:
+        return b"".join([raw[t.id] for t in merge("".join(map(shown.__getitem__, p.encode())))])
+
+    marks = lru_cache(1 << 14)(merged)
+
+    def unit(u: str) -> bytes:
+        """A unit and the blank before it; letters after a blank are one piece, and marks after them another."""
+        word = u.rstrip(punctuation)
+        if not word.isalpha() or not (word.isascii() or max(word) < _BEYOND):
+            return b"".join([merged(p) for p in split(" " + u)])
+        if len(word) == len(u):
+            return merged(" " + word)
+        return (units.get(word) or merged(" " + word)) + marks(u[len(word) :])
+
+    def encode(texts: list[str]) -> list[bytes]:
+        first, rest, ends = [], [], [0]
+        for text in texts:
+            head, *tail = cut(text)
+            first.append(b"".join([merged(p) for p in split(head)]))
+            rest += tail
+            ends.append(len(rest))
+        parts = list(map(units.get, rest))
+        new = [k for k, p in enumerate(parts) if p is None]
+        made = {u: unit(u) for u in {rest[k] for k in new}}
+        for k in new:
+            parts[k] = made[rest[k]]
+        if len(units) < REMEMBERED:
+            units.update((u, ids) for u, ids in made.items() if len(u) <= LONGEST)
+        return [ids + b"".join(parts[a:b]) for ids, a, b in zip(first, ends, ends[1:])]
 
-    encode = UnitEncoder(lambda units: [b"".join([piece(p) for p in cut(u)]) for u in units])
     known = {t.content: (i, t) for i, t in model.get_added_tokens_decoder().items()} if added else {}
     if not known:
         return encode
@@ -66,15 +94,13 @@ def _encoder(path: str, dtype: str, added: bool) -> Callable[[list[str]], list[b
     plain = not any(t.lstrip or t.rstrip or t.single_word for _, t in known.values())
 
     def run(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            parts = part(text)
-            if len(parts) == 1:
-                out += encode(parts)
-            elif plain:
-                out.append(b"".join([raw[known[p][0]] if k % 2 else encode([p])[0] for k, p in enumerate(parts)]))
+        holds = [any(map(text.__contains__, known)) for text in texts]
+        out = encode(["" if h else text for text, h in zip(texts, holds)])
+        for k in [k for k, h in enumerate(holds) if h]:
+            if plain:
+                out[k] = b"".join([raw[known[p][0]] if i % 2 else encode([p])[0] for i, p in enumerate(part(texts[k]))])
             else:
-                out.append(b"".join([raw[i] for i in model.encode(text, add_special_tokens=False).ids]))
+                out[k] = b"".join([raw[i] for i in model.encode(texts[k], add_special_tokens=False).ids])
         return out
 
     return run
