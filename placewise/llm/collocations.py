@@ -3,7 +3,8 @@
 The tree of all word sequences of up to ``DEPTH`` words is partitioned vertically: word prefixes that occur no more often
 than a task's budget are put together into groups of about that many occurrences; a prefix above the budget is extended
 by a further word until its extensions fit. Every occurrence (suffix) of a group's prefixes, cut at ``DEPTH`` words, is
-sent to its group, equal ones of a stretch of text already counted. A group is sorted once and is then a subtree: its
+sent to its group, equal ones of a stretch of text already counted; the commonest words, a fixed number at most, go as
+places in an array that all tasks have, so what a suffix takes doesn't depend on how many groups there are. A group is sorted once and is then a subtree: its
 leaves are runs of equal suffixes, and a node's count is the sum over the leaves below it.
 
 Words are 64-bit hashes of language and bytes from the counts on; two words of one corpus of 10^8 different words share
@@ -34,6 +35,9 @@ DEPTH = 4
 STRETCH = (1 << 16) - DEPTH
 #: Occurrences that a group holds, up to one more prefix of as many.
 BUDGET = 1 << 20
+#: Words that are sent as places in a shared array, at most, and stretches that are sent together: with the words of these
+#: that aren't in the array there are less than 2^24 places.
+HEAD, SENT = 1 << 20, 16
 #: Tasks that build subtrees, at most; beyond, a task builds one after another.
 TASKS = 1 << 15
 #: Bytes of text that are counted together.
@@ -224,14 +228,62 @@ def _word_lists(words: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(words), pa.int32()), pa.array(flat.ravel()))
 
 
-def _subtree(group: pa.Table, least: int, shortest: int) -> Iterator[pa.RecordBatch]:
+def common_words(words: DataFrame) -> np.ndarray:
+    """Hashes of the commonest words, ``HEAD`` at most, ascending after the empty place.
+
+    Counts are taken in narrow classes, and a class goes in whole or not at all.
+    """
+    step = F.floor(F.log2("n") * 16)
+    sizes = sorted(map(tuple, words.groupBy(step.alias("step")).agg(F.count("*")).collect()), reverse=True)
+    fit = int(np.searchsorted(np.cumsum([n for _, n in sizes]), HEAD, "right"))
+    found = words.where(step >= sizes[fit - 1][0]).select("h").toArrow().column("h").to_numpy() if fit else np.zeros(0, np.int64)
+    return np.unique(np.append(found.view(np.uint64), np.uint64(0)))
+
+
+def records(stretches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], groups: Groups, head: np.ndarray) -> pa.RecordBatch:
+    """A row for each group: its suffixes as the places of their words, three bytes each, byte by byte, and their counts.
+
+    Places beyond ``head`` are those in the row's own dictionary.
+    """
+    group, place, count, tail, n_tail = [], [], [], [], 0
+    for dictionary, suffix, n in stretches:
+        group.append(groups.of(_unpacked(dictionary, suffix)))
+        code = np.searchsorted(head, dictionary)
+        other = head[np.minimum(code, len(head) - 1)] != dictionary
+        code[other] = len(head) + n_tail + np.arange(other.sum())
+        tail.append(dictionary[other])
+        n_tail += len(tail[-1])
+        place.append(np.stack(_unpacked(code, suffix)))
+        count.append(n.astype(np.int32))
+    group, place, count, tail = np.concatenate(group), np.concatenate(place, axis=1), np.concatenate(count), np.concatenate(tail)
+    order = np.argsort(group, kind="stable")
+    group, place, count = group[order], place[:, order], count[order]
+    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    edges = np.append(begins, len(group))
+    row = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
+    k, at = np.nonzero(place >= len(head))
+    own, which = np.unique(row[at] * max(n_tail, 1) + place[k, at] - len(head), return_inverse=True)
+    first = np.searchsorted(own, np.arange(len(begins) + 1) * max(n_tail, 1))
+    place[k, at] = len(head) + which - first[row[at]]
+    hashes = tail[own % max(n_tail, 1)] if len(own) else tail[:0]
+    planes = np.ascontiguousarray(place, "<u4").view(np.uint8).reshape(DEPTH, -1, 4)[:, :, :3].transpose(0, 2, 1).reshape(3 * DEPTH, -1)
+    spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+    d = [hashes[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    return pa.RecordBatch.from_pydict({"group": group[begins], "d": d, "s": [planes[:, a:b].tobytes() for a, b in spans], "c": [count[a:b].tobytes() for a, b in spans]})
+
+
+def _subtree(group: pa.Table, least: int, shortest: int, head: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The nodes of a group's tree that are of two words and ``shortest`` or more and occur ``least`` times."""
     dictionaries = [np.frombuffer(b, np.uint64) for b in group.column("d").to_pylist()]
-    every = np.unique(np.concatenate(dictionaries))
+    tail = np.unique(np.concatenate(dictionaries))
+    every = np.concatenate([head, tail])
     high, low = [], []
     for own, packed in zip(dictionaries, group.column("s").to_pylist()):
-        suffix, place = np.frombuffer(packed, np.uint64), np.searchsorted(every, own).astype(np.uint64)
-        at = [place[((suffix >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.int64)] for k in range(DEPTH)]
+        low_, middle, top = np.frombuffer(packed, np.uint8).reshape(DEPTH, 3, -1).astype(np.uint64).transpose(1, 0, 2)
+        at = low_ | middle << np.uint64(8) | top << np.uint64(16)
+        if len(own):
+            other = at >= len(head)
+            at[other] = np.uint64(len(head)) + np.searchsorted(tail, own).astype(np.uint64)[(at[other] - np.uint64(len(head))).astype(np.int64)]
         high.append(at[0] << np.uint64(32) | at[1])
         low.append(at[2] << np.uint64(32) | at[3])
     high, low = np.concatenate(high), np.concatenate(low)
@@ -264,30 +316,23 @@ def phrases(docs: DataFrame, words: DataFrame, least: int, budget: int) -> DataF
     groups, extended = partition(docs, words, frequent, budget)
     known = docs.sparkSession.sparkContext.broadcast(groups)
 
+    head = docs.sparkSession.sparkContext.broadcast(common_words(words))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for part, data, offsets in text_blocks(rows, "text", COUNTED):
-                for dictionary, suffix, n in _stretches(split(part, data, offsets), frequent.value):
-                    group = known.value.of(_unpacked(dictionary, suffix))
-                    order = np.argsort(group, kind="stable")
-                    group, suffix, n = group[order], suffix[order], n[order].astype(np.int32)
-                    edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-                    d, s, c = [], [], []
-                    for a, b in zip(edges[:-1], edges[1:]):
-                        place = np.unique(np.concatenate([(suffix[a:b] >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(DEPTH)]))
-                        to = np.zeros(len(dictionary), np.uint64)
-                        to[place.astype(np.int64)] = np.arange(len(place), dtype=np.uint64)
-                        own = np.zeros(b - a, np.uint64)
-                        for k in range(DEPTH):
-                            own |= to[((suffix[a:b] >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)] << np.uint64(16 * k)
-                        d.append(dictionary[place.astype(np.int64)].tobytes())
-                        s.append(own.tobytes())
-                        c.append(n[a:b].tobytes())
-                    yield pa.RecordBatch.from_pydict({"group": group[edges[:-1]], "d": d, "s": s, "c": c})
+                held = []
+                for stretch in _stretches(split(part, data, offsets), frequent.value):
+                    held.append(stretch)
+                    if len(held) == SENT:
+                        yield records(held, known.value, head.value)
+                        held = []
+                if held:
+                    yield records(held, known.value, head.value)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["group"]):
-            yield from _subtree(group, least, known.value.depth(group.column("group")[0].as_py()))
+            yield from _subtree(group, least, known.value.depth(group.column("group")[0].as_py()), head.value)
 
     sent = docs.mapInArrow(send, "group long, d binary, s binary, c binary")
     # a task for each group as far as Spark likes so many tasks, so that what a task reads follows from the budget
